@@ -31,7 +31,8 @@ from pyspark.sql import types as T
 from ._words import NON_WORD, chunks, run_hashes
 
 SHINGLE = 5
-BLOCK = 64
+GROUP = 8
+COMMON_SHARE = 0.3
 K1, B = 1.2, 0.75
 HITS = "array<struct<item_id:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 
@@ -47,14 +48,19 @@ class Item:
 
 @dataclass
 class Index:
-    """Postings of term k: ``items[at[k]:at[k + 1]]`` in item order with weights; a maximum per block of 64."""
+    """Postings of term k: ``items[at[k]:at[k + 1]]`` in item order with weights; maxima per term and
+    per block of GROUP neighbouring items."""
 
     terms: np.ndarray
     at: np.ndarray
     items: np.ndarray
     weights: np.ndarray
     best: np.ndarray
-    block_best: list[np.ndarray]
+    group_at: np.ndarray  # for each term, the best weight in every group of GROUP neighbouring items that holds it
+    groups: np.ndarray
+    group_best: np.ndarray
+    rare_best: np.ndarray  # ``best``, but 0 for the commonest terms, which give any one item ``common`` at most
+    common: float
     entries: list[Item]
     length: int
 
@@ -103,26 +109,53 @@ def build_index(items: list[tuple[int, str]]) -> Index:
     flat = [p for x in lists for p in x]
     weights = np.array([p[1] for p in flat])
     best = np.array([max(p[1] for p in x) for x in lists])
-    blocks = [np.array([max(p[1] for p in x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)]) for x in lists]
     length = max([len(e.terms) for e in entries], default=1)
-    return Index(terms, at, np.array([p[0] for p in flat], np.int64), weights, best, blocks, entries, length)
+    by_group = []
+    for x in lists:
+        most: dict[int, float] = {}
+        for i, w in x:
+            most[i // GROUP] = max(w, most.get(i // GROUP, 0.0))
+        by_group.append(sorted(most.items()))
+    group_at = np.concatenate([[0], np.cumsum([len(x) for x in by_group])]).astype(np.int64)
+    grouped = [p for x in by_group for p in x]
+    rare_best, mine, common = best.copy(), np.zeros(len(docs)), 0.0
+    for k in sorted(range(len(lists)), key=lambda k: (-len(lists[k]), k)):
+        for i, w in lists[k]:
+            mine[i] += w
+        if mine.max() > COMMON_SHARE:
+            break
+        common, rare_best[k] = float(mine.max()), 0.0
+    return Index(terms, at, np.array([p[0] for p in flat], np.int64), weights, best, group_at, np.array([p[0] for p in grouped], np.int64), np.array([p[1] for p in grouped]), rare_best, common, entries, length)
+
+
+def reachable(index: Index, terms: np.ndarray, threshold: float) -> list[int]:
+    """The groups of neighbouring items that could reach the threshold, by the maxima of each group: the block-max
+    test for all blocks at once."""
+    lo, n = index.group_at[terms], index.group_at[terms + 1] - index.group_at[terms]
+    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    return np.flatnonzero(np.bincount(index.groups[at], weights=index.group_best[at]) >= threshold).tolist() if len(at) else []
 
 
 def search(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """All (item, score) with a score of at least ``threshold``, by block-max WAND over distinct term numbers."""
-    at, items, weights = index.at, index.items, index.weights
-    cursors = [[int(items[at[t]]), int(t), int(at[t])] for t in terms]
+    """All (item, score) with a score of at least ``threshold``, by block-max WAND over distinct term numbers: blocks
+    that cannot reach it are skipped, within a block the cursors jump to the pivot."""
     found = []
+    for g in reachable(index, terms, threshold):
+        found += _wand(index, terms, threshold, g * GROUP, (g + 1) * GROUP)
+    return found
 
-    def forward(c: list[int], to: int) -> bool:
-        """Moves to the first posting of item ``to`` or later; False at the end."""
-        end = int(at[c[1] + 1])
-        c[2] += int(np.searchsorted(items[c[2] : end], to))
-        if c[2] >= end:
-            return False
-        c[0] = int(items[c[2]])
-        return True
 
+def _wand(index: Index, terms: np.ndarray, threshold: float, first: int, end: int) -> list[tuple[int, float]]:
+    """WAND over the items from ``first`` to before ``end``. A cursor is [item, term, posting, last posting + 1]."""
+    items, weights, cursors, found = index.items, index.weights, [], []
+    for t in terms.tolist():
+        lo, hi = int(index.at[t]), int(index.at[t + 1])
+        if hi - lo > 8:
+            lo += int(items[lo:hi].searchsorted(first))
+        while lo < hi and items[lo] < first:
+            lo += 1
+        if lo < hi and items[lo] < end:
+            cursors.append([int(items[lo]), t, lo, hi])
     while cursors:
         cursors.sort()
         bound, pivot = 0.0, -1
@@ -134,26 +167,19 @@ def search(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int,
         if pivot < 0:
             break
         item = cursors[pivot][0]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-            pivot += 1
         if cursors[0][0] == item:
-            head = cursors[: pivot + 1]
-            block = sum(float(index.block_best[c[1]][(c[2] - at[c[1]]) // BLOCK]) for c in head)
-            if block >= threshold:
-                score = sum(float(weights[c[2]]) for c in head)
-                if score >= threshold:
-                    found.append((item, score))
-                to = item + 1
-            else:  # nothing before the nearest end of these blocks, or the next list's item, can reach it
-                ends = [int(items[min(at[c[1]] + ((c[2] - at[c[1]]) // BLOCK + 1) * BLOCK, at[c[1] + 1]) - 1]) for c in head]
-                to = min([min(ends) + 1, *([cursors[pivot + 1][0]] if pivot + 1 < len(cursors) else [])])
-            moved = head
-        else:
-            to = item
-            moved = [c for c in cursors[:pivot] if c[0] < item]
-        gone = {id(c) for c in moved if not forward(c, to)}
-        if gone:
-            cursors = [c for c in cursors if id(c) not in gone]
+            score = sum(float(weights[c[2]]) for c in cursors if c[0] == item)
+            if score >= threshold:
+                found.append((item, score))
+            item += 1
+        left = []
+        for c in cursors:
+            while c[2] < c[3] and items[c[2]] < item:
+                c[2] += 1
+            if c[2] < c[3] and items[c[2]] < end:
+                c[0] = int(items[c[2]])
+                left.append(c)
+        cursors = left
     return found
 
 
@@ -178,13 +204,15 @@ def find_hits(index: Index, texts: pa.Array, threshold: float, overlap: float, a
         term[term == len(index.terms)] = 0
         known = index.terms[term] == h
         bound = np.concatenate([[0.0], np.cumsum(np.where(known, index.best[term], 0.0))])
+        rare = np.concatenate([[0.0], np.cumsum(np.where(known, index.rare_best[term], 0.0))])
         counts = c.counts()
         passages = np.maximum(1, -(-(counts - stride) // stride))
         owner = np.repeat(np.arange(c.n), passages)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(passages) - passages, passages)
         lo = c.at[owner] + nth * stride
         hi = np.minimum(lo + 2 * stride, c.at[owner + 1])
-        for p in np.flatnonzero(bound[hi] - bound[lo] >= threshold):
+        possible = (bound[hi] - bound[lo] >= threshold - 1e-9) & (rare[hi] - rare[lo] >= threshold - index.common - 1e-9)
+        for p in np.flatnonzero(possible):
             distinct = np.unique(term[lo[p] : hi[p]][known[lo[p] : hi[p]]])
             if index.best[distinct].sum() < threshold:
                 continue
