@@ -2,6 +2,7 @@
 
 import json
 import os
+
 import time
 
 from sievework import registry
