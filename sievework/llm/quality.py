@@ -143,8 +143,9 @@ def base_failed(f: str = "_f") -> Column:
 
 def judge(docs: DataFrame, text_col: str = "text", min_quality: float = 0.5) -> DataFrame:
     """``docs`` with ``_f`` (measurements), ``_quality`` (posterior) and ``_kept``. Columns of ``docs`` of these
-    names would be replaced."""
-    measured = features(docs, text_col)
+    names would be replaced. The measured documents are kept in the shared folder: a filter on the verdict would
+    otherwise be pushed below the measurements and copy them into every term of the verdict."""
+    measured = durable(features(docs, text_col), "quality-measured")
     patterns, votes, n_rules = vote_patterns(measured)
     model = fit(patterns, n_rules)
     scored = measured.withColumn("_quality", posterior(votes, model))
