@@ -11,7 +11,8 @@ from ._base import CELLS, DERIVED, SCORED, Plan, scored, table
 
 query = Plan()
 r6 = m.r6
-PRED, PRED_B = (F.col("prob") >= 0.5).cast("int"), (F.col("prob_b") >= 0.5).cast("int")
+flag_a = lambda: (F.col("prob") >= 0.5).cast("int")
+flag_b = lambda: (F.col("prob_b") >= 0.5).cast("int")
 count_if = lambda c: F.count(F.when(c, 1))
 
 
@@ -60,7 +61,7 @@ def a05_full_metrics(spark, d):
 
 @query(f"WITH {SCORED}, c AS (SELECT lang, CASE WHEN min(label) = max(label) THEN CASE WHEN min(label) = 0 THEN 'all_safe' ELSE 'all_unsafe' END ELSE 'mixed' END AS assumption, {CELLS}, round(avg(power(prob - label, 2)), 6) AS brier FROM scored GROUP BY lang) SELECT lang, assumption, brier, CASE WHEN assumption <> 'all_unsafe' THEN round(fp::DOUBLE / nullif(fp + tn, 0), 6) END AS fpr, CASE WHEN assumption <> 'all_safe' THEN round(tp::DOUBLE / nullif(tp + fn, 0), 6) END AS recall FROM c")
 def a06_assumption_metrics(spark, d):
-    c = scored(spark, d).groupBy("lang").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *[x.alias(k) for k, x in m.cells(PRED).items()], r6(F.avg(F.pow(F.col("prob") - F.col("label"), 2))).alias("brier"))
+    c = scored(spark, d).groupBy("lang").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *[x.alias(k) for k, x in m.cells(flag_a()).items()], r6(F.avg(F.pow(F.col("prob") - F.col("label"), 2))).alias("brier"))
     kind = F.when(F.col("lo") != F.col("hi"), "mixed").when(F.col("lo") == 0, "all_safe").otherwise("all_unsafe")
     c = c.withColumn("assumption", kind)
     return c.select("lang", "assumption", "brier", F.when(kind != "all_unsafe", r6(m.ratio(F.col("fp"), F.col("fp") + F.col("tn")))).alias("fpr"), F.when(kind != "all_safe", r6(m.ratio(F.col("tp"), F.col("tp") + F.col("fn")))).alias("recall"))
@@ -142,14 +143,14 @@ WILSON = "greatest(0, (k / n + 3.841458881296::DOUBLE / (2 * n)) / (1 + 3.841458
 
 @query(f"WITH {SCORED}, g AS (SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (prob >= 0.5::DOUBLE))::DOUBLE AS k, avg(prob) AS p FROM scored GROUP BY source) SELECT source, n::BIGINT AS n, round(k / n, 6) AS rate, round({WILSON}, 6) AS low, round(least(1, {WILSON.replace('greatest(0, ', '(').replace('::DOUBLE / n) - 1.959964', '::DOUBLE / n) + 1.959964')}), 6) AS high, round(p, 6) AS mean_prob, n < 20 AS descriptive_only FROM g")
 def a19_wilson_strata(spark, d):
-    g = scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"), count_if(PRED == 1).cast("double").alias("k"), F.avg("prob").alias("p"))
+    g = scored(spark, d).groupBy("source").agg(F.count(F.lit(1)).cast("double").alias("n"), count_if(flag_a() == 1).cast("double").alias("k"), F.avg("prob").alias("p"))
     low, high = m.wilson(F.col("k"), F.col("n"))
     return g.select("source", F.col("n").cast("long").alias("n"), r6(F.col("k") / F.col("n")).alias("rate"), low.alias("low"), high.alias("high"), r6("p").alias("mean_prob"), (F.col("n") < 20).alias("descriptive_only"))
 
 
 @query(f"WITH {SCORED}, g AS (SELECT source, avg((prob >= 0.5::DOUBLE)::INTEGER) FILTER (quality = 1) AS a, avg((prob >= 0.5::DOUBLE)::INTEGER) FILTER (quality = 0) AS b FROM scored GROUP BY source) SELECT source, round(a, 6) AS good, round(b, 6) AS bad, round(a - b, 6) AS delta FROM g")
 def a20_interaction(spark, d):
-    g = scored(spark, d).withColumn("pred", PRED).groupBy("source").pivot("quality", [1, 0]).agg(F.avg("pred"))
+    g = scored(spark, d).withColumn("pred", flag_a()).groupBy("source").pivot("quality", [1, 0]).agg(F.avg("pred"))
     return g.select("source", r6("1").alias("good"), r6("0").alias("bad"), r6(F.col("1") - F.col("0")).alias("delta"))
 
 
@@ -168,7 +169,7 @@ def a22_keyword_sides(spark, d):
 
 @query()
 def a24_clopper_pearson(spark, d):
-    g = scored(spark, d).groupBy("lang").agg(count_if(PRED == 1).alias("k"), F.count(F.lit(1)).alias("n"))
+    g = scored(spark, d).groupBy("lang").agg(count_if(flag_a() == 1).alias("k"), F.count(F.lit(1)).alias("n"))
     ci = g.withColumn("ci", stats.cp_interval("k", "n"))
     return ci.select("lang", "k", "n", r6("ci.low").alias("low"), r6("ci.high").alias("high"))
 
@@ -178,7 +179,7 @@ Z = "((a / na - b / nb) / sqrt((a + b) / (na + nb) * (1 - (a + b) / (na + nb)) *
 
 @query(f"WITH {SCORED}, g AS (SELECT (count(*) FILTER (prob >= 0.5::DOUBLE AND quality = 1))::DOUBLE AS a, (count(*) FILTER (quality = 1))::DOUBLE AS na, (count(*) FILTER (prob >= 0.5::DOUBLE AND quality = 0))::DOUBLE AS b, (count(*) FILTER (quality = 0))::DOUBLE AS nb FROM scored) SELECT a::BIGINT AS a, na::BIGINT AS na, b::BIGINT AS b, nb::BIGINT AS nb, round({Z}, 6) AS z FROM g")
 def a25_two_proportion(spark, d):
-    g = scored(spark, d).agg(count_if((PRED == 1) & (F.col("quality") == 1)).alias("a"), count_if(F.col("quality") == 1).alias("na"), count_if((PRED == 1) & (F.col("quality") == 0)).alias("b"), count_if(F.col("quality") == 0).alias("nb"))
+    g = scored(spark, d).agg(count_if((flag_a() == 1) & (F.col("quality") == 1)).alias("a"), count_if(F.col("quality") == 1).alias("na"), count_if((flag_a() == 1) & (F.col("quality") == 0)).alias("b"), count_if(F.col("quality") == 0).alias("nb"))
     a, na, b, nb = (F.col(c).cast("double") for c in ("a", "na", "b", "nb"))
     p = (a + b) / (na + nb)
     return g.select("a", "na", "b", "nb", r6(m.ratio(a / na - b / nb, F.sqrt(p * (1 - p) * (1 / na + 1 / nb)))).alias("z"))
@@ -187,7 +188,7 @@ def a25_two_proportion(spark, d):
 @query(f"WITH {SCORED} SELECT count(*) FILTER ((prob >= 0.5::DOUBLE)::INTEGER = label AND (prob_b >= 0.5::DOUBLE)::INTEGER <> label) AS a_only, count(*) FILTER ((prob >= 0.5::DOUBLE)::INTEGER <> label AND (prob_b >= 0.5::DOUBLE)::INTEGER = label) AS b_only FROM scored")
 def a26_mcnemar_counts(spark, d):
     y = F.col("label")
-    return scored(spark, d).agg(count_if((PRED == y) & (PRED_B != y)).alias("a_only"), count_if((PRED != y) & (PRED_B == y)).alias("b_only"))
+    return scored(spark, d).agg(count_if((flag_a() == y) & (flag_b() != y)).alias("a_only"), count_if((flag_a() != y) & (flag_b() == y)).alias("b_only"))
 
 
 @query()
@@ -215,7 +216,7 @@ def a29_spearman(spark, d):
 
 @query(f"WITH {SCORED} SELECT count(*) FILTER ((prob >= 0.5::DOUBLE)::INTEGER <> label AND (prob_b >= 0.5::DOUBLE)::INTEGER <> label) AS both_wrong, count(*) FILTER ((prob >= 0.5::DOUBLE)::INTEGER <> label AND (prob_b >= 0.5::DOUBLE)::INTEGER = label) AS a_only, count(*) FILTER ((prob >= 0.5::DOUBLE)::INTEGER = label AND (prob_b >= 0.5::DOUBLE)::INTEGER <> label) AS b_only FROM scored")
 def a30_orthogonality(spark, d):
-    a, b = PRED != F.col("label"), PRED_B != F.col("label")
+    a, b = flag_a() != F.col("label"), flag_b() != F.col("label")
     return scored(spark, d).agg(count_if(a & b).alias("both_wrong"), count_if(a & ~b).alias("a_only"), count_if(b & ~a).alias("b_only"))
 
 
@@ -227,25 +228,25 @@ def a31_youden(spark, d):
 
 @query(f"WITH {SCORED} SELECT round(avg((prob >= 0.5::DOUBLE)::INTEGER) FILTER (label = 0), 6) AS fpr, round(1 - avg((prob >= 0.5::DOUBLE)::INTEGER) FILTER (label = 1), 6) AS fnr FROM scored")
 def a32_ood_rates(spark, d):
-    return scored(spark, d).agg(r6(F.avg(F.when(F.col("label") == 0, PRED))).alias("fpr"), r6(1 - F.avg(F.when(F.col("label") == 1, PRED))).alias("fnr"))
+    return scored(spark, d).agg(r6(F.avg(F.when(F.col("label") == 0, flag_a()))).alias("fpr"), r6(1 - F.avg(F.when(F.col("label") == 1, flag_a()))).alias("fnr"))
 
 
 @query(f"WITH {SCORED}, g AS (SELECT source, avg((prob >= 0.5::DOUBLE)::INTEGER) FILTER (lang = 'en') AS a, avg((prob >= 0.5::DOUBLE)::INTEGER) FILTER (lang <> 'en') AS b FROM scored GROUP BY source) SELECT source, round(a, 6) AS inside, round(b, 6) AS outside, round(a / nullif(b, 0), 6) AS selectivity FROM g")
 def a33_selectivity(spark, d):
-    g = scored(spark, d).groupBy("source").agg(F.avg(F.when(F.col("lang") == "en", PRED)).alias("a"), F.avg(F.when(F.col("lang") != "en", PRED)).alias("b"))
+    g = scored(spark, d).groupBy("source").agg(F.avg(F.when(F.col("lang") == "en", flag_a())).alias("a"), F.avg(F.when(F.col("lang") != "en", flag_a())).alias("b"))
     return g.select("source", r6("a").alias("inside"), r6("b").alias("outside"), r6(m.ratio(F.col("a"), F.col("b"))).alias("selectivity"))
 
 
 @query(f"WITH {SCORED} SELECT source, count(*) FILTER (prob >= 0.5::DOUBLE) AS n_base, round((count(*) FILTER (prob >= 0.5::DOUBLE AND prob_b < 0.5::DOUBLE))::DOUBLE / nullif(count(*) FILTER (prob >= 0.5::DOUBLE), 0), 6) AS success_rate, round(avg(((prob >= 0.5::DOUBLE)::INTEGER = label)::INTEGER) - avg(((prob_b >= 0.5::DOUBLE)::INTEGER = label)::INTEGER), 6) AS degradation FROM scored GROUP BY source")
 def a34_attack_success(spark, d):
     right = lambda p: F.avg((p == F.col("label")).cast("int"))
-    return scored(spark, d).groupBy("source").agg(count_if(PRED == 1).alias("n_base"), r6(m.ratio(count_if((PRED == 1) & (PRED_B == 0)), count_if(PRED == 1))).alias("success_rate"), r6(right(PRED) - right(PRED_B)).alias("degradation"))
+    return scored(spark, d).groupBy("source").agg(count_if(flag_a() == 1).alias("n_base"), r6(m.ratio(count_if((flag_a() == 1) & (flag_b() == 0)), count_if(flag_a() == 1))).alias("success_rate"), r6(right(flag_a()) - right(flag_b())).alias("degradation"))
 
 
 @query(f"WITH {SCORED}, a AS (SELECT source, avg((prob >= 0.5::DOUBLE)::INTEGER) AS pre FROM scored GROUP BY source), b AS (SELECT source, avg((prob_b >= 0.5::DOUBLE)::INTEGER) AS post FROM scored GROUP BY source) SELECT source, round(pre, 6) AS pre, round(post, 6) AS post, CASE WHEN round(post - pre, 6) > 0.05::DOUBLE THEN 'worse' WHEN round(post - pre, 6) < -0.05::DOUBLE THEN 'better' WHEN pre = 0 THEN 'none' ELSE 'same' END AS contribution FROM a JOIN b USING (source)")
 def a35_pre_post(spark, d):
     s = scored(spark, d)
-    j = s.groupBy("source").agg(F.avg(PRED).alias("pre")).join(s.groupBy("source").agg(F.avg(PRED_B).alias("post")), "source")
+    j = s.groupBy("source").agg(F.avg(flag_a()).alias("pre")).join(s.groupBy("source").agg(F.avg(flag_b()).alias("post")), "source")
     delta = r6(F.col("post") - F.col("pre"))
     return j.select("source", r6("pre").alias("pre"), r6("post").alias("post"), F.when(delta > 0.05, "worse").when(delta < -0.05, "better").when(F.col("pre") == 0, "none").otherwise("same").alias("contribution"))
 
@@ -269,7 +270,7 @@ def a37_class_weights(spark, d):
 
 @query(f"WITH {SCORED} SELECT source, count(*) AS n, round(avg((prob >= 0.5::DOUBLE)::INTEGER), 6) AS fpr FROM scored WHERE label = 0 GROUP BY GROUPING SETS ((source), ())")
 def a38_over_refusal(spark, d):
-    return scored(spark, d).where("label = 0").groupingSets([["source"], []], "source").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(PRED)).alias("fpr"))
+    return scored(spark, d).where("label = 0").groupingSets([["source"], []], "source").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(flag_a())).alias("fpr"))
 
 
 @query("SELECT o_custkey AS question, bool_or(o_orderstatus = 'F' AND o_totalprice >= 100000) AS hit FROM orders GROUP BY 1")
@@ -279,7 +280,7 @@ def a39_question_hit(spark, d):
 
 @query(f"WITH {SCORED} SELECT source, count(*) AS n, count(*) FILTER (prob >= 0.5::DOUBLE) AS n_flag, count(*) FILTER (prob < 0.5::DOUBLE) AS miss FROM scored WHERE label = 1 GROUP BY ROLLUP (source)")
 def a40_miss_breakdown(spark, d):
-    return scored(spark, d).where("label = 1").rollup("source").agg(F.count(F.lit(1)).alias("n"), count_if(PRED == 1).alias("n_flag"), count_if(PRED == 0).alias("miss"))
+    return scored(spark, d).where("label = 1").rollup("source").agg(F.count(F.lit(1)).alias("n"), count_if(flag_a() == 1).alias("n_flag"), count_if(flag_a() == 0).alias("miss"))
 
 
 @query("SELECT role, count(*) AS n, count(DISTINCT text) AS n_distinct, round(count(DISTINCT text)::DOUBLE / count(*), 6) AS share FROM conversations GROUP BY role")
@@ -304,18 +305,18 @@ def a43_sentinel_counts(spark, d):
 
 @query(f"WITH {SCORED}, v AS (SELECT item_id, label, variant, (CASE variant WHEN 'original' THEN prob ELSE prob_b END >= 0.5::DOUBLE)::INTEGER AS pred, (prob >= 0.5::DOUBLE)::INTEGER AS base FROM scored, (VALUES ('original'), ('swapped')) t(variant)) SELECT variant, round(avg(pred), 6) AS flag_rate, round(avg(pred) FILTER (label = 1), 6) AS tpr, round(avg(pred) FILTER (label = 0), 6) AS fpr, round(avg((pred <> base)::INTEGER), 6) AS flip_rate FROM v GROUP BY variant")
 def a45_template_invariance(spark, d):
-    v = scored(spark, d).select("label", PRED.alias("base"), F.inline(F.array(F.struct(F.lit("original").alias("variant"), PRED.alias("pred")), F.struct(F.lit("swapped").alias("variant"), PRED_B.alias("pred")))))
+    v = scored(spark, d).select("label", flag_a().alias("base"), F.inline(F.array(F.struct(F.lit("original").alias("variant"), flag_a().alias("pred")), F.struct(F.lit("swapped").alias("variant"), flag_b().alias("pred")))))
     return v.groupBy("variant").agg(r6(F.avg("pred")).alias("flag_rate"), r6(F.avg(F.when(F.col("label") == 1, F.col("pred")))).alias("tpr"), r6(F.avg(F.when(F.col("label") == 0, F.col("pred")))).alias("fpr"), r6(F.avg((F.col("pred") != F.col("base")).cast("int"))).alias("flip_rate"))
 
 
 @query(f"WITH {SCORED} SELECT lang, round(avg(prob_b - prob), 6) AS mean_shift, count(*) FILTER ((prob >= 0.5::DOUBLE) <> (prob_b >= 0.5::DOUBLE)) AS n_changed FROM scored GROUP BY lang")
 def a46_ablation_shift(spark, d):
-    return scored(spark, d).groupBy("lang").agg(r6(F.avg(F.col("prob_b") - F.col("prob"))).alias("mean_shift"), count_if(PRED != PRED_B).alias("n_changed"))
+    return scored(spark, d).groupBy("lang").agg(r6(F.avg(F.col("prob_b") - F.col("prob"))).alias("mean_shift"), count_if(flag_a() != flag_b()).alias("n_changed"))
 
 
 @query(f"WITH {SCORED} SELECT round(avg((prob_b < 0.5::DOUBLE)::INTEGER) FILTER (label = 1 AND prob >= 0.5::DOUBLE), 6) AS evasion, avg((prob_b < 0.5::DOUBLE)::INTEGER) FILTER (label = 1 AND prob >= 0.5::DOUBLE) <= 0.2::DOUBLE AS passed FROM scored")
 def a47_evasion(spark, d):
-    e = F.avg(F.when((F.col("label") == 1) & (PRED == 1), 1 - PRED_B))
+    e = F.avg(F.when((F.col("label") == 1) & (flag_a() == 1), 1 - flag_b()))
     return scored(spark, d).agg(r6(e).alias("evasion"), (e <= 0.2).alias("passed"))
 
 
@@ -327,7 +328,7 @@ def a49_rate_by_tau(spark, d):
 
 @query(f"WITH {SCORED} SELECT source, count(*) AS n, count(*) FILTER (prob > 0.9::DOUBLE) AS confident, count(*) FILTER (prob <= 0.9::DOUBLE) AS borderline, count(*) FILTER (n_chars < 60) AS near_empty, min(n_chars) AS min_len, round(median(n_chars), 6) AS med_len, max(n_chars) AS max_len FROM scored WHERE label = 0 AND prob >= 0.5::DOUBLE GROUP BY source")
 def a50_fp_diagnosis(spark, d):
-    f = scored(spark, d).where((F.col("label") == 0) & (PRED == 1))
+    f = scored(spark, d).where((F.col("label") == 0) & (flag_a() == 1))
     return f.groupBy("source").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("prob") > 0.9).alias("confident"), count_if(F.col("prob") <= 0.9).alias("borderline"), count_if(F.col("n_chars") < 60).alias("near_empty"), F.min("n_chars").alias("min_len"), r6(F.percentile("n_chars", F.lit(0.5))).alias("med_len"), F.max("n_chars").alias("max_len"))
 
 
@@ -360,7 +361,7 @@ def w05_length_quartiles(spark, d):
     s = scored(spark, d)
     q = s.agg(F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
     k = F.when(F.col("n_chars") <= F.col("q")[0], 1).when(F.col("n_chars") <= F.col("q")[1], 2).when(F.col("n_chars") <= F.col("q")[2], 3).otherwise(4)
-    return s.crossJoin(F.broadcast(q)).groupBy(k.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(PRED)).alias("rate"))
+    return s.crossJoin(F.broadcast(q)).groupBy(k.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(flag_a())).alias("rate"))
 
 
 @query(f"WITH {SWEEP}, k AS (SELECT threshold, coalesce(fp::DOUBLE / nullif(fp + tn, 0), 0) <= 0.4::DOUBLE AS ok FROM c), r AS (SELECT threshold, bool_and(ok) OVER (ORDER BY threshold DESC) AS kept FROM k) SELECT min(threshold) AS tau FROM r WHERE kept")
