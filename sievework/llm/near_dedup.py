@@ -9,8 +9,9 @@
    probability of 8e-6, at 0.2 it meets in one with 2e-4.
 4. In each band bucket the smallest id is paired with all others, never all pairs. Pairs pass the collision-corrected
    Jaccard estimate (with a margin of six standard errors, so that it drops no link), then the full sets decide.
-5. Components come from large-star / small-star rounds. Buckets that still hold several components get their missing
-   cross-component pairs, the exact way for the rest; those of one component need no more.
+5. Components come from large-star / small-star rounds. Buckets of one component need no more. Of the others, cut into
+   blocks of bounded size, all members of different components are held against each other, and only pairs that may
+   be links leave their group: the exact way for the rest.
 
 A hot bucket costs one pair a member. Joins on hot keys are left to Spark's skew handling; only ids, sketches of
 candidates and the texts of candidate pairs move.
@@ -34,6 +35,8 @@ from ._words import SPACES, chunks, mix, run_hashes
 
 BUCKETS, ROWS = 512, 8
 BANDS = BUCKETS // ROWS
+#: Rows of a bucket that one block takes; columns of one slice of an incidence matrix.
+BLOCK, SLICE = 256, 8192
 _LZ_BITS = 4
 _MANTISSA = 4
 SKETCH_SCHEMA = "id bigint, n bigint, set_hi bigint, set_lo bigint, registers binary"
@@ -165,23 +168,139 @@ def confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int,
     s = sketches.select("id", "n", "registers")
     side = lambda x: s.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimated(threshold), "a bigint, b bigint")
-    likely = durable(likely.distinct() if repeated else likely, "near-likely")
-    wanted = durable(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-wanted")
-    one = texts.select("id", "text").join(maybe_broadcast(wanted, 500_000), "id", "left_semi")
+    return verify(likely.distinct() if repeated else likely, texts, size, threshold, repeated)
+
+
+def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int, repeated: bool) -> DataFrame:
+    """The pairs (a, b) that are links by the full sets of their texts."""
+    likely = durable(pairs, "near-likely")
+    one = texts_of(likely.select(F.explode(F.array("a", "b")).alias("id")), texts)
     if repeated:
         one = one.distinct()
     both = likely.join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, threshold), "a bigint, b bigint")
 
 
+def texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts (id, text) of some ids."""
+    wanted = durable(ids.distinct(), "near-wanted")
+    return texts.select("id", "text").join(maybe_broadcast(wanted, 500_000), "id", "left_semi")
+
+
+def _signatures(size: int, small: int):
+    """(id, n, sig) of each text: up to ``small`` shingles their hashes cut to 32 bits, registers from 256 shingles on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ns, hashes, regs = [], [], [], []
+            for i, s in shingle_sets(batch.column("text"), size):
+                rows.append(i)
+                ns.append(len(s))
+                hashes.append((s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() if len(s) <= small else None)
+                regs.append(registers(s).tobytes() if len(s) >= BUCKETS // 2 else None)
+            ids = batch.column("id").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "hashes", "registers"])
+
+    return run
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Intersection sizes of the sets at ``left`` with those at ``right``, by products of slices of the incidence matrix."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint32), return_inverse=True, return_counts=True)
+    owner, token = owner[count[token] > 1], token[count[token] > 1]
+    _, token = np.unique(token, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(token[-1]) + 1 if len(token) else 0, SLICE):
+        f, t = np.searchsorted(token, [lo, lo + SLICE])
+        m = np.zeros((len(sets), min(SLICE, int(token[-1]) + 1 - lo)), np.float32)
+        m[owner[f:t], token[f:t] - lo] = 1
+        out += m[left] @ m[right].T
+    return out
+
+
+def _block_pairs(threshold: int, small: int):
+    """The pairs of one (key, p, q) whose rows lie in different components and whose sizes and signatures allow a
+    link. Rows come sorted by (key, p, q); a group has about two blocks of rows, whatever the bucket's size."""
+    t = threshold / 100.0
+    least = t - 6.0 * (t * (1 - t) / BUCKETS) ** 0.5 / (1 - COLLISION)
+
+    def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, comp, n, at = (rows.column(c).to_numpy() for c in ("b", "c", "n", "at"))
+        p, q = rows.column("p")[0].as_py(), rows.column("q")[0].as_py()
+        left, right = np.flatnonzero(at == p), np.flatnonzero(at == q)
+        nl, nr = n[left][:, None], n[right][None, :]
+        ok = (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(nl, nr) >= threshold * np.maximum(nl, nr))
+        if p == q:
+            ok &= np.triu(np.ones(ok.shape, bool), 1)
+        both = (nl <= small) & (nr <= small)
+        if (ok & both).any():
+            sets = [np.frombuffer(x, np.uint32) if x is not None else np.zeros(0, np.uint32) for x in rows.column("hashes").to_pylist()]
+            # one more than counted: two hashes of a set may agree in 32 bits; the full sets decide later
+            shared = _shared(sets, left, right) + 1
+            ok &= ~both | (100 * shared >= threshold * (nl + nr - shared))
+        if (ok & ~both).any():
+            regs = [np.frombuffer(x, np.uint8) if x is not None else np.zeros(BUCKETS, np.uint8) for x in rows.column("registers").to_pylist()]
+            table = np.stack([regs[i] for i in right])
+            for i in np.flatnonzero((ok & ~both).any(axis=1)):
+                equal = np.count_nonzero(table == regs[left[i]], axis=1) / BUCKETS
+                ok[i] &= both[i] | ((equal - COLLISION) / (1.0 - COLLISION) >= least)
+        x, y = np.nonzero(ok)
+        return ids[left[x]], ids[right[y]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+            each = [pairs(rows.slice(f, e - f)) for f, e in zip(cuts[:-1], cuts[1:], strict=True)]
+            x, y = (np.concatenate([np.zeros(0, np.int64), *[e[k] for e in each]]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+        kept: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if kept is None else pa.concat_tables([kept, rows])).combine_chunks()
+            if not len(rows):
+                continue
+            key, p, q = (rows.column(c).to_numpy() for c in ("key", "p", "q"))
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+            if len(cuts):
+                yield found(rows, np.concatenate([[0], cuts]))
+            kept = rows.slice(int(cuts[-1]) if len(cuts) else 0)
+        if kept is not None and len(kept):
+            yield found(kept, np.array([0, len(kept)]))
+
+    return run
+
+
+def cross_pairs(members: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Of (key, b, c, m): likely pairs (a, b) of rows that share a key and not the component c; m rows have the key.
+    A bucket is cut into hashed blocks of about ``BLOCK`` rows, each block meets each other block of its bucket in one
+    group of bounded size, and only pairs that pass the signatures leave the group."""
+    small = -(-100 * (BUCKETS // 2) // max(1, threshold))
+    sig = durable(texts_of(members.select(F.col("b").alias("id")), texts).mapInArrow(_signatures(size, small), "id bigint, n bigint, hashes binary, registers binary"), "near-signatures")
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
+    placed = members.select("key", "b", "c", blocks.alias("g"), F.pmod(F.xxhash64("b", F.lit(7)), blocks).cast("int").alias("at"))
+    met = placed.select("key", "b", "c", "at", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    met = met.select("key", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "b", "c")
+    rows = met.join(sig, met["b"] == sig["id"]).drop("id")
+    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return rows.mapInArrow(_block_pairs(threshold, small), "a bigint, b bigint").distinct()
+
+
+def is_settled(edges: DataFrame) -> bool:
+    """Whether every u has one edge and no v has an edge of its own: then each v is its component's smallest id."""
+    end = lambda c, out: F.struct(F.col(c).alias("id"), F.lit(out).alias("out"), F.lit(1 - out).alias("hit"))
+    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).select("e.*")
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("hit").alias("hit")).where("out > 1 OR (out > 0 AND hit > 0)").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id reachable, for every id on an edge, by alternating large-star and small-star
     steps on tables in the shared folder. A step hooks all neighbours of an id to the smallest one; its minimum is a
-    pre-aggregated count-like sum, so hubs don't gather."""
+    pre-aggregated sum-like aggregate, so hubs don't gather."""
     spark = edges.sparkSession
-    at = durable_path(spark, "near-edges")
-    now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), path=at)
-    mark = None
+    at, now = None, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     for _ in range(max_rounds):
         for large in (True, False):
             if large:
@@ -193,13 +312,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 step = now.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
             new_at = durable_path(spark, "near-edges")
             now = durable(step.where("u <> v").distinct(), path=new_at)
-            discard(spark, at)
+            if at:
+                discard(spark, at)
             at = new_at
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == mark:
+        if is_settled(now):
             break
-        mark = (seen["n"], seen["h"])
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
@@ -219,19 +339,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     shared = durable(members.join(buckets, "key").select("key", "a", F.col("id").alias("b")), "near-buckets")
     pairs = shared.where("a <> b").select("a", "b").distinct()
-    links = durable(confirm(pairs, reps, texts, size, threshold, repeated), "near-links")
+    links = confirm(pairs, reps, texts, size, threshold, repeated)
     edges = durable(copies.unionByName(links), "near-links")
     parts = durable(components(edges), "near-parts")
     # the rest: buckets whose members are in several components; pairs with the smallest id are settled already
     tagged = shared.join(parts.select(F.col("id").alias("b"), F.col("component")), "b", "left").select("key", "a", "b", F.coalesce("component", "b").alias("c"))
-    several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 2").select("key")
-    open_ = durable(tagged.where("a <> b").join(several, "key").select("key", "b", "c"), "near-open")
-    rest = open_.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.c") != F.col("y.c")))
-    rest = durable(rest.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        more = durable(confirm(rest, reps, texts, size, threshold, repeated), "near-links")
+    several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 2").select("key", "m")
+    open_ = durable(tagged.where("a <> b").join(several, "key").select("key", "b", "c", "m"), "near-open")
+    if not open_.isEmpty():
+        rest = cross_pairs(open_, texts, size, threshold).join(pairs, ["a", "b"], "left_anti")
+        more = durable(verify(rest, texts, size, threshold, repeated), "near-links")
         if not more.isEmpty():
-            parts = durable(components(edges.unionByName(more)), "near-parts")
+            known = parts.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            parts = durable(components(known.unionByName(more)), "near-parts")
     parts = parts.withColumnRenamed("id", "_part")
     out = sketches.select("id", "n").join(parts, F.col("id") == F.col("_part"), "left")
     component = F.coalesce("component", "id")
