@@ -9,9 +9,10 @@
    probability of 8e-6, at 0.2 it meets in one with 2e-4.
 4. In each band bucket the smallest id is paired with all others, never all pairs. Pairs pass the collision-corrected
    Jaccard estimate (with a margin of six standard errors, so that it drops no link), then the full sets decide.
-5. Components come from large-star / small-star rounds. Buckets of one component need no more. Of the others, cut into
-   blocks of bounded size, all members of different components are held against each other, and only pairs that may
-   be links leave their group: the exact way for the rest.
+5. Components come from large-star / small-star rounds. Buckets of one component need no more. Of the others, documents
+   leave whose shingles occur too rarely in other components to make a link. Those left, cut into blocks of bounded
+   size, are held against all members of other components, and only pairs that may be links leave their group: the
+   exact way for the rest.
 
 A hot bucket costs one pair a member. Joins on hot keys are left to Spark's skew handling; only ids, sketches of
 candidates and the texts of candidate pairs move.
@@ -188,22 +189,31 @@ def texts_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _signatures(size: int, small: int):
-    """(id, n, sig) of each text: up to ``small`` shingles their hashes cut to 32 bits, registers from 256 shingles on."""
+    """(id, n, digest, shingles, hashes, registers) of each text: the set, up to ``small`` shingles their hashes cut to
+    32 bits, registers from 256 shingles on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ns, hashes, regs = [], [], [], []
+            rows, ns, digests, sets, hashes, regs = [], [], [], [], [], []
             for i, s in shingle_sets(batch.column("text"), size):
                 rows.append(i)
                 ns.append(len(s))
+                digests.append(np.bitwise_xor.reduce(mix(s)) if len(s) else np.uint64(0))
+                sets.append(s.view(np.int64))
                 hashes.append((s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() if len(s) <= small else None)
                 regs.append(registers(s).tobytes() if len(s) >= BUCKETS // 2 else None)
             ids = batch.column("id").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "hashes", "registers"])
+            ends = np.concatenate([[0], np.cumsum(ns)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            digest = pa.array(np.array(digests, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), digest, shingles, pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "digest", "shingles", "hashes", "registers"])
 
     return run
 
 
+SIGNATURE_SCHEMA = "id bigint, n bigint, digest bigint, shingles array<bigint>, hashes binary, registers binary"
+
+
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Intersection sizes of the sets at ``left`` with those at ``right``, by products of slices of the incidence matrix."""
     owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
@@ -273,17 +283,35 @@ def _block_pairs(threshold: int, small: int):
     return run
 
 
+def able_to_link(docs: DataFrame, signatures: DataFrame, threshold: int) -> DataFrame:
+    """Of documents (b, c) the b that may have a link to another component c: at least ``threshold`` per cent of the
+    shingles occur in another component as well. Fewer can't make up that share of any union, so no link is lost."""
+    each = signatures.join(docs, F.col("id") == F.col("b")).select("b", "c", "n", "digest", F.explode("shingles").alias("shingle"))
+    spanning = each.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("shingle")
+    met = each.join(spanning, "shingle").groupBy("b", "n", "digest").agg(F.count(F.lit(1)).alias("met"))
+    return met.where(F.lit(100) * F.col("met") >= F.lit(threshold) * F.col("n")).select("b").distinct()
+
+
 def cross_pairs(members: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Of (key, b, c, m): likely pairs (a, b) of rows that share a key and not the component c; m rows have the key.
-    A bucket is cut into hashed blocks of about ``BLOCK`` rows, each block meets each other block of its bucket in one
-    group of bounded size, and only pairs that pass the signatures leave the group."""
+    """Of (key, b, c): likely pairs (a, b) of rows that share a key and not the component c.
+    Documents that can link to no other component leave first. A bucket's largest component (major) is never held
+    against itself: its rows and the others (minor) are cut into hashed blocks of about ``BLOCK`` rows, each minor block
+    meets each block of its bucket in one group of bounded size, and only pairs that pass the signatures leave it."""
     small = -(-100 * (BUCKETS // 2) // max(1, threshold))
-    sig = durable(texts_of(members.select(F.col("b").alias("id")), texts).mapInArrow(_signatures(size, small), "id bigint, n bigint, hashes binary, registers binary"), "near-signatures")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    placed = members.select("key", "b", "c", blocks.alias("g"), F.pmod(F.xxhash64("b", F.lit(7)), blocks).cast("int").alias("at"))
-    met = placed.select("key", "b", "c", "at", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("other"))
+    docs = durable(members.select("b", "c").distinct(), "near-docs")
+    sig = durable(texts_of(docs.select(F.col("b").alias("id")), texts).mapInArrow(_signatures(size, small), SIGNATURE_SCHEMA), "near-signatures")
+    able = durable(able_to_link(docs, sig, threshold), "near-able")
+    left = members.join(maybe_broadcast(able, 500_000), "b", "left_semi").select("key", "b", "c")
+    per = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
+    tops = per.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m")).where("m > top.k")
+    cuts = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
+    tops = tops.select("key", F.col("top.c").alias("major"), cuts(F.col("top.k")).alias("n_major"), cuts(F.col("m") - F.col("top.k")).alias("n_minor"))
+    is_major, place = F.col("c") == F.col("major"), F.xxhash64("b", F.lit(7))
+    at = F.when(is_major, F.col("n_minor") + F.pmod(place, F.col("n_major"))).otherwise(F.pmod(place, F.col("n_minor"))).cast("int")
+    others = F.when(is_major, F.col("n_minor")).otherwise(F.col("n_minor") + F.col("n_major"))
+    met = left.join(tops, "key").select("key", "b", "c", at.alias("at"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
     met = met.select("key", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "b", "c")
-    rows = met.join(sig, met["b"] == sig["id"]).drop("id")
+    rows = met.join(sig.drop("digest", "shingles"), met["b"] == sig["id"]).drop("id")
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return rows.mapInArrow(_block_pairs(threshold, small), "a bigint, b bigint").distinct()
 
@@ -344,8 +372,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = durable(components(edges), "near-parts")
     # the rest: buckets whose members are in several components; pairs with the smallest id are settled already
     tagged = shared.join(parts.select(F.col("id").alias("b"), F.col("component")), "b", "left").select("key", "a", "b", F.coalesce("component", "b").alias("c"))
-    several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 2").select("key", "m")
-    open_ = durable(tagged.where("a <> b").join(several, "key").select("key", "b", "c", "m"), "near-open")
+    several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 2").select("key")
+    open_ = durable(tagged.where("a <> b").join(several, "key").select("key", "b", "c"), "near-open")
     if not open_.isEmpty():
         rest = cross_pairs(open_, texts, size, threshold).join(pairs, ["a", "b"], "left_anti")
         more = durable(verify(rest, texts, size, threshold, repeated), "near-links")

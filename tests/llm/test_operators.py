@@ -85,10 +85,12 @@ def test_near_dedup(spark, small, rows, nasty):
     assert kept.columns == nasty.columns and kept.count() == len(NASTY) - 1
 
 
-def test_near_dedup_chain_in_one_bucket(spark):
-    """A chain of near copies whose ends are far apart is one component."""
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_dedup_chain_in_one_bucket(spark, monkeypatch, block):
+    """A chain of near copies whose ends are far apart is one component, however buckets are cut."""
     import random
 
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = random.Random(3)
     words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
     docs = [(0, " ".join(words))]
@@ -102,6 +104,29 @@ def test_near_dedup_chain_in_one_bucket(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in want.items()}
 
 
+def test_cross_pairs_lose_no_link(spark, monkeypatch):
+    """One bucket with a large component, many small ones and a doc_id with two texts: every link between components."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in range(rng.randrange(1, 9)):
+            words[rng.randrange(60)] = f"x{i}_{k}" if i % 3 else f"y{k}"
+        texts.append((i, " ".join(words)))
+    texts.append((7, "quite another text of few words"))
+    members = spark.createDataFrame([(1, i, 0 if i % 2 else i) for i in range(60)], "key bigint, b bigint, c bigint")
+    docs = spark.createDataFrame(texts, "id bigint, text string")
+    likely = near_dedup.cross_pairs(members, docs, 2, 80)
+    got = {(r["a"], r["b"]) for r in near_dedup.verify(likely, docs, 2, 80, True).distinct().collect()}
+    sets = [(i, {tuple(t.split()[j : j + 2]) for j in range(len(t.split()) - 1)}) for i, t in texts]
+    want = {(min(i, j), max(i, j)) for i, x in sets for j, y in sets if i != j and (i % 2 == 0 or j % 2 == 0) and 100 * len(x & y) >= 80 * len(x | y)}
+    assert want and got == want
+
+
 def test_hyperminhash_estimate():
     import numpy as np
 
