@@ -301,7 +301,7 @@ def cross_pairs(members: DataFrame, texts: DataFrame, size: int, threshold: int)
     docs = durable(members.select("b", "c").distinct(), "near-docs")
     sig = durable(texts_of(docs.select(F.col("b").alias("id")), texts).mapInArrow(_signatures(size, small), SIGNATURE_SCHEMA), "near-signatures")
     able = durable(able_to_link(docs, sig, threshold), "near-able")
-    left = members.join(maybe_broadcast(able, 500_000), "b", "left_semi").select("key", "b", "c")
+    left = durable(members.join(maybe_broadcast(able, 500_000), "b", "left_semi").select("key", "b", "c"), "near-left")
     per = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     tops = per.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m")).where("m > top.k")
     cuts = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
