@@ -1,11 +1,14 @@
 """Personal data by fixed patterns and by bootstrapped contextual extraction (DataFrame functions only).
 
-The fixed patterns find the seeds. Seeds induce lexical patterns (the words before and after them); patterns and the
-identifier-shaped words they surround form a graph that Spark scores in a few rounds: a pattern is trusted if most
-different values in its slot are known identifiers, a value becomes known if trusted patterns vouch for it. Values
-found that way are added to the spans; the spans of the fixed patterns always stay.
+The fixed patterns find the seeds. Seeds induce lexical patterns (the words before and after them); patterns and all
+words that fill their slots form a graph that Spark scores in rounds, until no value and no pattern is new: a pattern
+is trusted if most different values in its slot are known, a value becomes known if trusted patterns vouch for it.
+Known values with a digit or an at sign are found wherever they stand, other words (and those under four characters)
+in slots of trusted patterns only. Values found that way are added to the spans; the spans of the fixed patterns always
+stay.
 
-Texts are read once and never shuffled. Only spans and identifier-shaped words go on.
+Texts are never shuffled. They are kept beside their spans and read again for the fillers of newly supported patterns
+and for the places of known values, so a round costs two narrow passes at most.
 
 Defined results: a null text is an empty one; a null doc_id is kept as null; equal rows each get their own equal
 result; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, let, row_id, words
+from ._common import durable, let, maybe_broadcast, row_id, words
 
 #: The four base kinds in the order of the contract. Leftmost, non-overlapping, as the plain patterns match; the
 #: possessive forms and look-behinds only keep Java's matcher linear on very long runs.
@@ -28,8 +31,8 @@ KINDS = {
 }
 #: A cheap test that a text can hold the kind at all.
 _GATE = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-#: A word with a digit or an at sign: what contexts may reveal as an identifier.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+BLOCK = 128
+BROADCAST = 200_000
 CONTEXT = 64
 
 _IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
@@ -105,65 +108,140 @@ def _bare(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, r"^[^\p{L}\p{N}@+]+|[^\p{L}\p{N}]+$", ""))
 
 
-def _patterns(left: Column, right: Column) -> Column:
+def _patterns(two: Column, one: Column, nxt: Column) -> Column:
     """Lexical patterns of a slot: the word before, the two words before, the words on either side."""
-    ws, nxt = words(left), F.get(words(right), F.lit(0))
-    one, two = (_bare(F.try_element_at(ws, F.lit(-k))) for k in (1, 2))
-    each = F.array(F.concat(F.lit("L "), one), F.concat(F.lit("LL "), two, F.lit(" "), one), F.concat(F.lit("LR "), one, F.lit(" _ "), _bare(nxt)))
+    each = F.array(F.concat(F.lit("L "), one), F.concat(F.lit("LL "), two, F.lit(" "), one), F.concat(F.lit("LR "), one, F.lit(" _ "), nxt))
     return F.array_compact(each)
 
 
+def _span_patterns(left: Column, right: Column) -> Column:
+    ws = words(left)
+    one, two = (_bare(F.try_element_at(ws, F.lit(-k))) for k in (1, 2))
+    return _patterns(two, one, _bare(F.get(words(right), F.lit(0))))
+
+
+def _tokens(text: Column) -> Column:
+    """All words with their code point positions. Running sums go block by block, so no array grows with the text."""
+
+    def word(acc: Column, w: Column) -> Column:
+        one = F.array(F.struct(acc["at"].alias("start"), w.alias("w")))
+        return F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.when(w == "", acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+
+    none = F.array().cast("array<struct<start:bigint,w:string>>")
+    zero = F.lit(0).cast("long")
+
+    def blocks(pieces: Column) -> Column:
+        def block(acc: Column, b: Column) -> Column:
+            inner = F.aggregate(F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), word)
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+        start = F.struct(zero.alias("at"), F.array().cast("array<array<struct<start:bigint,w:string>>>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), start, block, lambda acc: F.flatten(acc["out"]))
+
+    return let(F.split(text, r"[\x20\x09-\x0D]", -1), blocks)
+
+
+def _slots(rows: DataFrame) -> DataFrame:
+    """One row per word outside the fixed spans: rid, start (without the punctuation before it), value, one, two, nxt."""
+    bare = lambda ts: F.transform(ts, lambda t: F.struct(t["start"].alias("start"), t["w"].alias("w"), _bare(t["w"]).alias("b")))
+
+    def around(ts: Column) -> Column:
+        b = lambda i: F.get(ts, i)["b"]
+        return F.transform(ts, lambda t, i: F.struct(t["start"].alias("start"), t["w"].alias("w"), t["b"].alias("value"), b(i - 2).alias("two"), b(i - 1).alias("one"), b(i + 1).alias("nxt")))
+
+    clear = lambda t: ~F.exists("base", lambda s: (s["start"] < t["start"] + F.length(t["w"])) & (t["start"] < s["end"]))
+    every = let(let(_tokens(F.col("text")), bare), around)
+    every = let(every, lambda ts: F.when(F.size("base") > 0, F.filter(ts, clear)).otherwise(ts))
+    return rows.select("rid", F.inline(every)).where("value <> ''")
+
+
+def _one(pattern: Column) -> Column:
+    """The word before the slot, which every pattern holds."""
+    parts = F.split(pattern, " ", -1)
+    return F.get(parts, F.when(F.get(parts, F.lit(0)) == "LL", 2).otherwise(1))
+
+
+def _fillers(slots: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct (pattern, value) of all words in the slots of ``patterns``."""
+    ones = patterns.select(_one(F.col("pattern")).alias("one")).distinct()
+    near = slots.join(maybe_broadcast(ones, BROADCAST), "one", "left_semi")
+    pairs = near.select(F.explode(_patterns(F.col("two"), F.col("one"), F.col("nxt"))).alias("pattern"), "value")
+    return pairs.join(maybe_broadcast(patterns.select("pattern"), BROADCAST), "pattern", "left_semi").distinct()
+
+
+def _wide(value: Column) -> Column:
+    """Whether a known value counts wherever it stands."""
+    return value.rlike("[0-9@]") & (F.length(value) >= 4)
+
+
+def _places(slots: DataFrame, known: DataFrame, trust: DataFrame) -> DataFrame:
+    """Places of known values: rid, start, w, value, kind, patterns."""
+    at = slots.join(maybe_broadcast(known, BROADCAST), "value").withColumn("patterns", _patterns(F.col("two"), F.col("one"), F.col("nxt")))
+    at = at.select("rid", "start", "w", "value", "kind", "patterns")
+    vouched = at.where(~_wide(F.col("value"))).withColumn("pattern", F.explode("patterns")).join(maybe_broadcast(trust.select("pattern"), BROADCAST), "pattern", "left_semi")
+    return durable(at.where(_wide(F.col("value"))).unionByName(vouched.select(at.columns)).distinct(), "pii-places")
+
+
 def text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def bootstrap(graph: DataFrame, rounds: int, min_support: int, min_confidence: float, min_score: float) -> DataFrame:
-    """(value, kind) of newly known values. ``graph``: distinct (pattern, value, kind), kind null where unknown."""
-    known = graph.where("kind IS NOT NULL").select("value", F.col("kind").alias("known")).distinct()
-    found = None
-    for _ in range(rounds):
-        edges = graph.join(known.groupBy("value").agg(F.min("known").alias("known")), "value", "left")
+def bootstrap(rows: DataFrame, seeds: DataFrame, min_support: int, min_confidence: float, min_score: float) -> DataFrame | None:
+    """Places of newly known values, None without any. ``seeds``: distinct (pattern, value, kind) of the fixed spans."""
+    slots = _slots(rows)
+    none = seeds.limit(0)
+    found, places, filled, done, before = none.select("value", "kind"), None, none.select("pattern", "value"), none.select("pattern"), (0, 0)
+    while True:
+        edges = seeds
+        if places is not None:
+            more = places.select(F.explode("patterns").alias("pattern"), "value", "kind")
+            edges = durable(seeds.unionByName(more).groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "pii-edges")
+        supported = edges.groupBy("pattern", "kind").agg(F.count("value").alias("f")).where(F.col("f") >= min_support).select("pattern").distinct()
+        todo = durable(supported.join(done, "pattern", "left_anti"), "pii-patterns")
+        if not todo.isEmpty():
+            filled = filled.unionByName(durable(_fillers(slots, todo), "pii-fillers"))
+            done = done.unionByName(todo)
+        wide = seeds.select("value", "kind").unionByName(found.where(_wide(F.col("value")))).groupBy("value").agg(F.min("kind").alias("any_kind"))
+        # every different value in the slots, with its kind where known there
+        graph = edges.join(done, "pattern", "left_semi").unionByName(filled.withColumn("kind", F.lit(None).cast("string")))
+        graph = graph.groupBy("pattern", "value").agg(F.min("kind").alias("kind")).join(wide, "value", "left")
+        graph = durable(graph.select("pattern", "value", F.coalesce("kind", "any_kind").alias("known")), "pii-graph")
         trust = (
-            edges.groupBy("pattern", "known").agg(F.count("value").alias("f"))
+            graph.groupBy("pattern", "known").agg(F.count("value").alias("f"))
             .groupBy("pattern").agg(F.sum("f").alias("n"), F.max(F.when(F.col("known").isNotNull(), F.struct("f", "known"))).alias("best"))
             .select("pattern", F.col("best.known").alias("as_kind"), F.col("best.f").alias("f"), (F.col("best.f") / F.col("n")).alias("confidence"))
             .where((F.col("f") >= min_support) & (F.col("confidence") >= min_confidence))
         )
+        trust = durable(trust, "pii-trust")
         new = (
-            edges.where("known IS NULL").join(trust, "pattern")
+            graph.where("known IS NULL").join(trust, "pattern").join(found, "value", "left_anti")
             .groupBy("value", "as_kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
             .groupBy("value").agg(F.max(F.struct("score", "as_kind")).alias("top"))
-            .where(F.col("top.score") >= min_score).select("value", F.col("top.as_kind").alias("known"))
+            .where(F.col("top.score") >= min_score).select("value", F.col("top.as_kind").alias("kind"))
         )
-        new = durable(new, "pii-new")
-        if new.isEmpty():
-            break
-        found = new if found is None else found.unionByName(new)
-        known = known.unionByName(new)
-    return found if found is not None else known.limit(0)
+        found = durable(found.unionByName(new), "pii-found")
+        # both only grow; without growth the places are those of the last round
+        size = (found.count(), trust.count())
+        if size[0] == 0 or size == before:
+            return places
+        before, places = size, _places(slots, found, trust)
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, min_support: int = 3, min_confidence: float = 0.5, min_score: float = 0.75) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = 3, min_confidence: float = 0.5, min_score: float = 0.75) -> DataFrame:
     """One row per document: doc_id, base and found spans (arrays of start, rank, kind, end, value, ...).
 
     min_support: different known values that a pattern must surround; min_confidence: their share of all values in
     its slot; min_score: the probability, by noisy-or over trusted patterns, from which a value becomes known."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), row_id(F.col(id_col), F.col(text_col)).alias("rid"), text.alias("text"))
-    rows = rows.select("doc_id", "rid", "text", base_spans(F.col("text")).alias("base"))
-    more = F.when(F.col("text").rlike("[0-9@]"), occurrences(F.col("text"), "word", CANDIDATE, len(KINDS), lambda m: F.length(_bare(m)) >= 4)).otherwise(F.array().cast(_SPAN))
-    clear = F.filter(more, lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    rows = durable(rows.select("doc_id", "rid", "base", clear.alias("candidates")), "pii-spans")
-    slots = rows.select("rid", F.explode(F.concat("base", "candidates")).alias("s")).select(
-        "rid", "s", F.when(F.col("s.rank") < len(KINDS), F.col("s.kind")).alias("kind"), _bare(F.col("s.value")).alias("value"), _patterns(F.col("s.left"), F.col("s.right")).alias("patterns")
-    )
-    graph = durable(slots.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-graph")
-    new = bootstrap(graph, rounds, min_support, min_confidence, min_score).groupBy("value").agg(F.min("known").alias("as_kind"))
-    trimmed = F.length(F.regexp_extract(F.col("s.value"), r"^[^\p{L}\p{N}@+]*", 0))
-    start = F.col("s.start") + trimmed
-    found = (
-        slots.where("kind IS NULL").join(new, "value")
-        .select("rid", F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), F.col("as_kind").alias("kind"), (start + F.length("value")).alias("end"), F.col("value"), F.col("s.left").alias("left"), F.col("s.right").alias("right")).alias("s"))
-        .groupBy("rid").agg(F.array_sort(F.collect_set("s")).alias("found"))
-    )
-    return rows.join(found, "rid", "left").select("doc_id", "base", F.coalesce("found", F.array().cast(_SPAN)).alias("found"))
+    rows = durable(rows.select("doc_id", "rid", "text", base_spans(F.col("text")).alias("base")), "pii-spans")
+    seeds = rows.select(F.explode("base").alias("s")).select(_bare(F.col("s.value")).alias("value"), F.col("s.kind").alias("kind"), F.explode(_span_patterns(F.col("s.left"), F.col("s.right"))).alias("pattern"))
+    seeds = durable(seeds.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-seeds")
+    places = bootstrap(rows, seeds, min_support, min_confidence, min_score)
+    none = F.array().cast(_SPAN)
+    if places is None:
+        return rows.select("doc_id", "base", none.alias("found"))
+    start = F.col("start") + F.length(F.regexp_extract("w", r"^[^\p{L}\p{N}@+]*", 0))
+    span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("rank"), "kind", (start + F.length("value")).alias("end"), "value", F.lit("").alias("left"), F.lit("").alias("right"))
+    found = places.groupBy("rid").agg(F.array_sort(F.collect_set(span)).alias("found"))
+    return rows.select("doc_id", "rid", "base").join(found, "rid", "left").select("doc_id", "base", F.coalesce("found", none).alias("found"))

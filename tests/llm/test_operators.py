@@ -54,6 +54,34 @@ def test_pii_bootstrap_finds_unseen(spark):
     assert found[6] == []
 
 
+def _found(spark, texts):
+    got = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return {r["doc_id"]: [(s["kind"], s["value"]) for s in r["found"]] for r in got}
+
+
+def test_pii_bootstrap_takes_any_slot_word(spark):
+    texts = [f"staff record: contact mail {n}@corp.example for help" for n in ("ann", "bob", "cyd", "dee", "eve")]
+    texts += ["staff record: contact mail zed(at)corp.example for help"]
+    assert _found(spark, texts)[5] == [("email", "zed(at)corp.example")]
+
+
+def test_pii_bootstrap_counts_all_slot_words(spark):
+    texts = [f"the list of {n}@corp.example is here" for n in ("ann", "bob", "cyd", "dee", "eve", "fay", "guy")]
+    texts += [f"some talk of {w} now" for w in ("rain", "snow", "wind", "hail", "mist", "dew", "fog", "1999", "2001")]
+    found = _found(spark, texts)
+    assert all(found[i] == [] for i in range(len(texts)))
+
+
+def test_pii_bootstrap_runs_to_the_end(spark):
+    """Each slot vouches for the words that make the next one trusted."""
+    texts = [f"slot0 {w}@x.org end" for w in ("a", "b", "c", "d", "e")]
+    for k in range(6):
+        for i in range(5):
+            texts += [f"slot{k} key{k}a{i} end", f"slot{k + 1} key{k}a{i} end"]
+    found = _found(spark, texts)
+    assert all(found[i] for i in range(5, len(texts)))
+
+
 def test_quality(spark, small, rows, nasty):
     got = by_id(queries.op2_quality(spark, small))
     for i, t in rows:
