@@ -203,7 +203,7 @@ def a27_bootstrap_f1(spark, d):
 
 @query()
 def a28_paired_bootstrap(spark, d):
-    return stats.bootstrap_f1(scored(spark, d)).withColumn("model", F.lit("a")).unionByName(stats.bootstrap_f1(scored(spark, d).drop("prob").withColumnRenamed("prob_b", "prob")).withColumn("model", F.lit("b")))
+    return stats.paired_bootstrap(scored(spark, d))
 
 
 RANKS = "{0}, r AS (SELECT rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0::DOUBLE AS b FROM scored)"

@@ -71,6 +71,20 @@ def test_bootstrap_contains_point_and_repeats(spark):
     assert a == b and a["low"] <= a["f1"] <= a["high"]
 
 
+def test_paired_bootstrap_keeps_pairs(spark):
+    """Equal models never differ; a better one on the same rows does, though both intervals overlap."""
+    rows = [(i % 2, float(i % 7 != 0) if i % 2 else float(i % 5 == 0)) for i in range(400)]
+    same = spark.createDataFrame([(y, p, p) for y, p in rows], "label int, prob double, prob_b double")
+    for r in stats.paired_bootstrap(same).collect():
+        assert (r["delta"], r["low"], r["high"], r["p_a_le_b"], r["overlap"], r["n_valid"]) == (0, 0, 0, 1, True, 10_000)
+    worse = spark.createDataFrame([(y, p, 1 - p if i % 50 == 3 else p) for i, (y, p) in enumerate(rows)], "label int, prob double, prob_b double")
+    got = {r["metric"]: r for r in stats.paired_bootstrap(worse).collect()}
+    tp, fn, fp = (sum((y, p) == c for y, p in rows) for c in ((1, 1.0), (1, 0.0), (0, 1.0)))
+    assert set(got) == {"f1", "kappa", "fpr"} and abs(got["f1"]["a"] - 2 * tp / (2 * tp + fn + fp)) < 1e-12
+    assert got["f1"]["low"] <= got["f1"]["delta"] <= got["f1"]["high"] and got["f1"]["overlap"]
+    assert got["f1"]["high"] - got["f1"]["low"] < got["f1"]["high_a"] - got["f1"]["low_a"]
+
+
 def test_group_split_is_disjoint(spark):
     df = spark.range(400).select((F.col("id") % 60).alias("g"), (F.col("id") % 60 % 2).alias("label"), "id")
     got = splits.group_split(df, F.col("g"), "label")
