@@ -57,13 +57,20 @@ def _as_text(raw: Column) -> Column:
 
 
 def decode_base64(t: Column) -> Column:  # X06
-    bare = F.trim(t)
-    return F.when((F.length(bare) >= 20) & bare.rlike(r"^[A-Za-z0-9+/]+={0,2}$") & (F.length(bare) % 4 == 0), _as_text(F.try_to_binary(bare, F.lit("base64"))))
+    """White space anywhere and missing padding are allowed."""
+
+    def run(bare: Column) -> Column:
+        body = F.regexp_replace(bare, "=+$", "")
+        padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
+        return F.when((F.length(bare) >= 20) & bare.rlike(r"^[A-Za-z0-9+/]+=*$") & (F.length(body) % 4 != 1), _as_text(F.try_to_binary(padded, F.lit("base64"))))
+
+    return let(F.regexp_replace(t, r"(?U)\s", ""), run)
 
 
 def decode_hex(t: Column) -> Column:  # X08
-    bare = F.regexp_replace(F.regexp_replace(t, r"^0[xX]", ""), " ", "")
-    return F.when((F.length(bare) >= 20) & (F.length(bare) % 2 == 0) & bare.rlike("^[0-9A-Fa-f]+$"), _as_text(F.unhex(bare)))
+    """Prefixes 0x and white space anywhere are allowed; they count for the least length."""
+    wide = F.length(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")) >= 20
+    return let(F.regexp_replace(t, r"(?U)0[xX]|\s", ""), lambda bare: F.when(wide & (F.length(bare) % 2 == 0) & bare.rlike("^[0-9A-Fa-f]+$"), _as_text(F.unhex(bare))))
 
 
 def decode_url(t: Column) -> Column:  # X07
@@ -71,10 +78,18 @@ def decode_url(t: Column) -> Column:  # X07
     return F.when(t.rlike("%[0-9A-Fa-f]{2}") & plausible(out), out)
 
 
-def erase_backspaces(t: Column, rounds: int = 8) -> Column:  # X09
-    for _ in range(rounds):
-        t = F.regexp_replace(t, r"[^\x08]\x08", "")
-    return t
+def erase_backspaces(t: Column) -> Column:  # X09
+    """Each backspace takes away one character before it; those with none before them stay, at the front. One fold over
+    runs of characters and the backspaces after them."""
+
+    def step(acc: Column, part: Column) -> Column:
+        seg = F.regexp_replace(part, r"\x08+$", "")
+        n, back = F.length(acc["s"]) + F.length(seg), F.length(part) - F.length(seg)
+        return F.struct((acc["m"] + F.greatest(F.lit(0), back - n)).alias("m"), F.substring(F.concat(acc["s"], seg), F.lit(1), F.greatest(F.lit(0), n - back)).alias("s"))
+
+    parts = F.regexp_extract_all(t, F.lit(r"[^\x08]++\x08*+|\x08++"), F.lit(0))
+    folded = F.aggregate(parts, F.struct(F.lit(0).alias("m"), F.lit("").alias("s")), step, lambda acc: F.concat(F.repeat(F.lit("\b"), acc["m"]), acc["s"]))
+    return F.when(F.contains(t, F.lit("\b")), folded).otherwise(t)
 
 
 def strip_marks(t: Column) -> Column:  # X11

@@ -27,6 +27,59 @@ def test_normalize(spark, given, wanted):
     assert one(spark, x.normalize, given) == wanted
 
 
+def plain_normalize(t):
+    """X12 in plain Python."""
+    import re
+    import unicodedata
+    from urllib.parse import unquote
+
+    def text(raw):
+        try:
+            out = raw.decode("utf-8") if isinstance(raw, bytes) else raw
+        except UnicodeDecodeError:
+            return None
+        bad = sum(unicodedata.category(c)[0] == "C" or c == "�" for c in out)
+        return out if len(out) >= 3 and len(out) - bad >= 0.85 * len(out) else None
+
+    def score(v):
+        return sum(w in x.ENGLISH for w in re.findall("[a-z]+", v.lower()))
+
+    t = re.sub("[​-‏‪-‮⁠-⁤﻿­︀-️\U000e0000-\U000e007f\U000e0100-\U000e01ef]", "", t)
+    while re.search("[^\b]\b", t):
+        t = re.sub("[^\b]\b", "", t)
+    out = text(unquote(t)) if re.search("%[0-9A-Fa-f]{2}", t) else None
+    bare = re.sub(r"\s", "", t)
+    if out is None and len(bare) >= 20 and re.fullmatch("[A-Za-z0-9+/]+=*", bare):
+        body = bare.rstrip("=")
+        out = text(base64.b64decode(body + "=" * (-len(body) % 4))) if len(body) % 4 != 1 else None
+    bare = re.sub(r"0[xX]|\s", "", t)
+    if out is None and len(t.strip()) >= 20 and len(bare) % 2 == 0 and re.fullmatch("[0-9A-Fa-f]+", bare):
+        out = text(bytes.fromhex(bare))
+    if out is None:
+        turned = t.translate(str.maketrans(x.LOWER + x.UPPER, x.ROT + x.ROT.upper()))
+        out = turned if score(turned) > score(t) else t
+    out = out.translate(str.maketrans(*x.HOMOGLYPHS))
+    return unicodedata.normalize("NFKC", "".join(c for c in out if unicodedata.category(c) != "Mn"))
+
+
+def test_normalize_against_plain_python(spark, tiny):
+    said = "this is a plaintext sentence that is long enough for lines"
+    coded = base64.b64encode(said.encode()).decode()
+    hexed = said.encode().hex()
+    pairs = [hexed[i : i + 2] for i in range(0, len(hexed), 2)]
+    wanted = {
+        "keep" + "hidden words" + "\b" * 12: "keep", "ab" + "\b" * 5 + "cd": "\b" * 3 + "cd", "a\bb\b\bc😀\b": "\bc",
+        coded[:30] + "\n" + coded[30:]: said, coded[:30] + "\r\n " + coded[30:]: said, " ".join(coded): said, coded.rstrip("="): said,
+        " ".join("0x" + h for h in pairs): said, "\n".join(pairs): said, "0x" + hexed: said, "48 65 6c 6c 6f 20 77": "Hello w",
+    }
+    assert len(coded.rstrip("=")) < len(coded)
+    texts = list(wanted) + [r["text"] for r in spark.read.parquet(f"{tiny}/conversations.parquet").select("text").where("text IS NOT NULL").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["o"] for r in df.select("i", x.normalize(F.col("t")).alias("o")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == wanted.get(t, plain_normalize(t)) == plain_normalize(t), t
+
+
 def test_ngrams_and_windows(spark):
     w = F.array(*map(F.lit, "abcdef"))
     row = spark.range(1).select(x.ngrams(w, 7).alias("none"), x.ngrams(w, 5).alias("two"), x.windows(w, 4, 2).alias("w")).first()
