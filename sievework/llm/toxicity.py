@@ -1,14 +1,16 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Tokens (lower-cased words and their first 4 to 7 bytes, so that inflected and compound forms share evidence) get the
-log-odds ratio of toxic against clean labelled documents under an informative Dirichlet prior; those whose z-score is
-significant keep it, all others a small negative score. In each text the linear-time algorithm for all maximal scoring
+log-odds ratio of toxic against clean labelled documents under an informative Dirichlet prior; all whose z-score is
+significant keep it, toxic or clean, all others a small negative score. A token scores by the most toxic of its
+features, without one by the cleanest. In each text the linear-time algorithm for all maximal scoring
 segments finds the toxic passages. The best segment's score is turned into an expected number of such segments by
 chance in a text of that length (an extreme-value law whose rate and scale come from clean labelled documents), and a
 logistic curve over its logarithm, fitted on labelled documents, gives the probability.
 
 Three narrow passes: count tokens of labelled documents, score all documents, fit two curves on counts. Labels are
-sent to the executors; ``max_labelled`` bounds them (a hash sample beyond it) and ``max_features`` bounds the model.
+sent to the executors; ``max_labelled`` bounds them (a hash sample beyond it), and so the features, all of which
+are sent.
 
 Defined results: null and empty texts get the probability of a text without any hit; a null doc_id is not a labelled
 row; a doc_id labelled twice counts as toxic if any label says so; with no labels at all every score is 0; repeated
@@ -65,8 +67,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n1), pa.array(n - n1)], ["h", "n1", "n0"])
 
 
-def fit_log_odds(labelled: DataFrame, min_z: float, max_features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted feature hashes and their log-odds; the most significant ``max_features`` at most."""
+def fit_log_odds(labelled: DataFrame, min_z: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted feature hashes and the log-odds of all significant ones, positive and negative."""
     counts = durable(labelled.select("text", "toxic").mapInArrow(_count, "h bigint, n1 bigint, n0 bigint").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")), "tox-counts")
     total = counts.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
     if not total["n1"] or not total["n0"]:
@@ -78,22 +80,29 @@ def fit_log_odds(labelled: DataFrame, min_z: float, max_features: int) -> tuple[
     odds = lambda y, n: F.log((y + prior) / (n + mass - y - prior))
     delta = odds(F.col("n1"), n1) - odds(F.col("n0"), n0)
     z = delta / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    best = counts.where("n1 >= 2").select("h", delta.alias("delta"), z.alias("z")).where(F.col("z") >= min_z).orderBy(F.desc("z"), "h").limit(max_features).select("h", "delta").collect()
-    h = np.array([r["h"] for r in best], np.int64).view(np.uint64)
+    held = F.when(delta > 0, F.col("n1")).otherwise(F.col("n0"))
+    best = counts.where(held >= 2).select("h", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= min_z).select("h", "delta").toArrow()
+    h = best.column("h").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([r["delta"] for r in best])[order]
+    return h[order], best.column("delta").to_numpy()[order]
 
 
 def maximal_segments(at: list[int], score: list[float], background: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last position, score) in linear time. Positions not listed score
     ``background`` each; listed ones score positively."""
-    stack: list[list[float]] = []  # left sum, right sum, first, last
-    total, previous = 0.0, -1
+    sums, total, previous = [], 0.0, -1
     for p, s in zip(at, score):
-        total += background * (p - previous - 1)
-        previous = p
-        left, total = total, total + s
-        now = [left, total, p, p]
+        left = total + background * (p - previous - 1)
+        previous, total = p, left + s
+        sums.append((left, total))
+    return _segments(at, [x[0] for x in sums], [x[1] for x in sums])
+
+
+def _segments(at: list[int], lefts: list[float], rights: list[float]) -> list[tuple[int, int, float]]:
+    """The same from the positions that score positively and the sums of all scores before and after each."""
+    stack: list[list[float]] = []  # left sum, right sum, first, last
+    for p, left, right in zip(at, lefts, rights):
+        now = [left, right, p, p]
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][0] >= now[0]:
@@ -113,17 +122,20 @@ def _score(shared):
             n, best, segments = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), [[] for _ in range(batch.num_rows)]
             for c in chunks(batch.column("text"), NON_WORD, lower=True):
                 n[c.lo : c.lo + c.n] = c.counts()
-                worth = np.zeros(len(c.starts))
+                worth, clean = np.zeros(len(c.starts)), np.zeros(len(c.starts))
                 if len(hashes):
                     for words, h in token_features(c):
                         k = np.searchsorted(hashes, h)
                         k[k == len(hashes)] = 0
-                        worth[words] = np.maximum(worth[words], np.where(hashes[k] == h, odds[k], 0.0))
+                        mine = np.where(hashes[k] == h, odds[k], 0.0)
+                        worth[words], clean[words] = np.maximum(worth[words], mine), np.minimum(clean[words], mine)
                 hit = np.flatnonzero(worth)
+                each = np.where(worth > 0, worth, np.where(clean < 0, clean, BACKGROUND))
                 edges = np.searchsorted(hit, c.at)
                 for i in np.flatnonzero(np.diff(edges)):
-                    mine = hit[edges[i] : edges[i + 1]]
-                    found = maximal_segments((mine - c.at[i]).tolist(), worth[mine].tolist(), BACKGROUND)
+                    mine = hit[edges[i] : edges[i + 1]] - c.at[i]
+                    sums = np.concatenate([[0.0], np.cumsum(each[c.at[i] : c.at[i + 1]])])
+                    found = _segments(mine.tolist(), sums[mine].tolist(), sums[mine + 1].tolist())
                     best[c.lo + i] = max(s for _, _, s in found)
                     segments[c.lo + i] = [{"start": a, "end": b + 1, "score": s} for a, b, s in found]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -150,7 +162,7 @@ def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_folds: int = 5, min_z: float = 3.5, max_features: int = 20_000, max_labelled: int = 400_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_folds: int = 5, min_z: float = 3.5, max_labelled: int = 400_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, n_tokens, segments (word positions of all
     maximal segments and their scores) and e_value (expected better segments by chance).
 
@@ -163,7 +175,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("_l"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = fit_log_odds(rows.join(F.broadcast(known), F.col("doc_id") == F.col("_l")), min_z, max_features)
+    model = fit_log_odds(rows.join(F.broadcast(known), F.col("doc_id") == F.col("_l")), min_z)
     scored = rows.mapInArrow(_score(sc.broadcast(model)), f"doc_id {dict(rows.dtypes)['doc_id']}, n bigint, best double, segments {SEGMENT}")
     scored = durable(scored, "tox-scores")
     train = scored.join(F.broadcast(known), F.col("doc_id") == F.col("_l"))

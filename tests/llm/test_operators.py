@@ -225,6 +225,21 @@ def test_toxicity(spark, small):
     assert [r["predicted"] for r in none] == [0, 0, 0]
 
 
+def test_toxicity_keeps_every_significant_feature(spark):
+    """21,000 toxic and as many clean words, too short for prefixes."""
+    import itertools
+
+    every = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnop", repeat=4), 42_000)]
+    toxic, clean = every[::2], every[1::2]
+    docs = [(i, " ".join(toxic if i % 2 else clean)) for i in range(120)]
+    docs += [(1000 + i, w) for i, w in enumerate(toxic)] + [(999, f"{toxic[0]} {clean[0]} {clean[1]} {toxic[1]}")]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id bigint, toxic int")
+    out = toxicity.score_toxicity(docs, labels).where("doc_id >= 999").select("doc_id", F.size("segments").alias("n"))
+    assert out.where("doc_id > 999 AND n = 1").count() == 21_000
+    assert out.where("doc_id = 999").first()["n"] == 2
+
+
 def test_maximal_segments_brute():
     import random
 
