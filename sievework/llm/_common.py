@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -26,14 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. It is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a temporary folder chosen, and set for the session."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set on the context. Without
+    one a session on a single machine (tests) gets a folder under its warehouse; a cluster is refused, since a folder
+    of the driver is no one else's."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="sievework-")
-        spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sievework-shared")
         path = spark.sparkContext.getCheckpointDir()
     return path
 
@@ -96,10 +97,27 @@ def row_id(doc_id: Column, text: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows: the size check before a broadcast."""
+    """Whether ``df`` has at most ``rows`` rows: the size check before a broadcast. ``df`` should be a durable table
+    or cheap to run, since the check runs it."""
     return df.limit(rows + 1).count() <= rows
 
 
+SALTS = 32
+
+
+def salted_join(big: DataFrame, one: DataFrame, keys: list[str], place: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """``big`` joined with ``one``, which holds each key once. The rows of a hot key go to ``salts`` tasks by their
+    ``place``; each row of ``one`` goes to all of them."""
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    out = big.withColumn("_salt", F.pmod(F.xxhash64(place, F.lit(11)), F.lit(salts)).cast("int"))
+    return out.join(spread, [*keys, "_salt"], how).drop("_salt")
+
+
+def lookup(big: DataFrame, one: DataFrame, keys: list[str], place: Column, rows: int, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``one`` (durable, each key once): broadcast within the bound, otherwise salted."""
+    return big.join(F.broadcast(one), keys, how) if small(one, rows) else salted_join(big, one, keys, place, how)
+
+
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only within the bound; otherwise Spark joins by shuffle and splits skewed keys."""
+    """Broadcast only within the bound; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if small(df, rows) else df

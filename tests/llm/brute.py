@@ -6,6 +6,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import regex
+
+from sievework.llm import pii
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -38,6 +42,73 @@ def base_sha(text: str | None) -> str:
     return hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, k, e in base_spans(text)).encode()).hexdigest()
 
 
+def _plain(text: str) -> list[str]:
+    """Words in lower case without the punctuation around them; a label keeps one colon."""
+    out = []
+    for w in WORD.findall(text):
+        w = re.sub(r"[:=]+$", ":", w.lower())
+        w = regex.sub(r"^[^\p{L}\p{N}@+:]+", "", w)
+        w = regex.sub(r"[^\p{L}\p{N}:]+$", "", w)
+        if w:
+            out.append(w)
+    return out
+
+
+def _slot_patterns(two: str | None, one: str | None, nxt: str | None) -> list[str]:
+    out = [f"L {one}"] if one and one.endswith(":") and regex.search(r"\p{L}", one) else []
+    out += [f"LL {two} {one}"] if two is not None and one is not None else []
+    return out + ([f"LR {one} _ {nxt}"] if one is not None and nxt is not None else [])
+
+
+def bootstrap(texts: list[str], support: int = 3, confidence: float = 0.5, score: float = 0.6) -> dict[int, list[tuple[str, str]]]:
+    """Text number → (kind, value as written) of all values found beyond the fixed patterns, in order of place."""
+    around = lambda t, s, e: ((_plain(t[:s])[-2:-1] or [None])[0], (_plain(t[:s])[-1:] or [None])[0], (x := (_plain(t[e:])[:1] or [None])[0]) and x.rstrip(":"))
+    kinds, seeds, places, slots = list(BASE), {}, [], defaultdict(set)
+    for i, t in enumerate(texts):
+        base = base_spans(t)
+        for s, _, kind, e in base:
+            value = " ".join(_plain(t[s:e])).rstrip(":")
+            for p in _slot_patterns(*around(t, s, e)):
+                seeds[p, value] = max(kind, seeds.get((p, value), ""))
+        for m in regex.finditer(pii.CANDIDATE, t):
+            v = m[0].lower()
+            if any(regex.search(x, v) for x in pii.SHAPES.values()) and not any(s < m.end() and m.start() < e for s, _, _, e in base):
+                places.append((i, m[0], v, _slot_patterns(*around(t, m.start(), m.end()))))
+        ws = _plain(t)
+        for k, w in enumerate(ws):
+            for p in _slot_patterns(ws[k - 2] if k > 1 else None, ws[k - 1] if k else None, ws[k + 1].rstrip(":") if k + 1 < len(ws) else None):
+                slots[p].add(w.rstrip(":"))
+    found: dict[str, str] = {}
+    while True:
+        edges = dict(seeds)
+        for _, _, v, ps in places:
+            for p in ps:
+                if v in found:
+                    edges[p, v] = max(found[v], edges.get((p, v), ""))
+        trust = {}
+        for p in {p for p, _ in edges}:
+            per = Counter(k for (q, _), k in edges.items() if q == p)
+            f, kind = max((n, k) for k, n in per.items())
+            if f >= support:
+                firsts = {(_plain(v)[:1] or [""])[0].rstrip(":") for q, v in edges if q == p}
+                c = f / (f + len(slots[p] - firsts))
+                if c >= confidence:
+                    trust[p] = (kind, c)
+        doubt: dict[tuple[str, str], float] = defaultdict(lambda: 1.0)
+        for v, p in {(v, p) for _, _, v, ps in places for p in ps if v not in found and p in trust}:
+            if regex.search(pii.SHAPES[trust[p][0]], v):
+                doubt[v, trust[p][0]] *= max(1e-9, 1 - trust[p][1])
+        new: dict[str, tuple[float, str]] = {}
+        for (v, k), d in doubt.items():
+            new[v] = max((1 - d, k), new.get(v, (0.0, "")))
+        new = {v: k for v, (x, k) in new.items() if x >= score - 1e-12}
+        if not new:
+            break
+        found |= new
+    assert set(found.values()) <= set(kinds)
+    return {i: [(found[v], w) for j, w, v, _ in places if j == i and v in found] for i in range(len(texts))}
+
+
 def quality_base(text: str | None) -> dict:
     text = text or ""
     w = WORD.findall(text)
