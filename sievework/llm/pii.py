@@ -22,6 +22,8 @@ the places found in it; values with a blank in them are found by the fixed patte
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,9 @@ BROADCAST = 200_000
 CONTEXT = 64
 #: Patterns whose slots one pass over the texts counts.
 PASS_PATTERNS = 500_000
+#: Words before slots that a pass holds as literals (more are joined), and up to which it looks for texts with any of
+#: them before it takes texts apart.
+FEW, SOUGHT = 5_000, 32
 RSD, MARGIN = 0.02, 0.9
 
 _IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
@@ -165,10 +170,17 @@ def _clear_of(spans: Column, base: Column) -> Column:
     return F.when((F.size(spans) > 0) & (F.size(base) > 0), let(F.array_sort(F.concat(mark(base, False), mark(spans, True))), pick)).otherwise(spans)
 
 
+#: Punctuation around words: ASCII's but @ and +, the general and the CJK marks. A colon is treated by itself.
+_MARK = r"[!-*,-/;-?\[-`{-~\u00A1\u00A7\u00AB\u00B6\u00B7\u00BB\u00BF\u2010-\u205E\u3000-\u3003\u3008-\u3011]"
+_END = r"(?=[\x20\x09-\x0D]|$)"
+
+
 def _plain(text: Column) -> Column:
-    """Lower case; words lose the punctuation around them, but a label keeps one colon at its end."""
-    marked = F.regexp_replace(F.lower(text), r"(?<![:=])[:=]++(?![^\x20\x09-\x0D])", ":")
-    return F.regexp_replace(marked, r"(?<![^\x20\x09-\x0D])[^\p{L}\p{N}@+:\x20\x09-\x0D]++|(?<![^\p{L}\p{N}\x20\x09-\x0D])[^\p{L}\p{N}:\x20\x09-\x0D]++(?![^\x20\x09-\x0D])", "")
+    """Lower case; words lose the punctuation around them, but a label keeps one colon at its end. The look-behind
+    after the first mark keeps the matcher from starting again within a long run of marks."""
+    marked = F.regexp_replace(F.lower(text), rf"[:=](?<![:=][:=])[:=]*+{_END}", ":")
+    bare = F.regexp_replace(marked, rf"{_MARK}(?<!{_MARK}{_MARK}){_MARK}*+{_END}", "")
+    return F.regexp_replace(bare, rf"(^|[\x20\x09-\x0D]){_MARK}++", "$1")
 
 
 def _plain_words(text: Column) -> Column:
@@ -191,11 +203,22 @@ def _span_patterns(left: Column, right: Column) -> Column:
 
 
 def _slots(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, word) of every word in a slot of ``patterns``, of which there are at most `PASS_PATTERNS`."""
-    around = lambda ws: F.transform(ws, lambda w, i: F.struct(F.get(ws, i - 2).alias("two"), F.get(ws, i - 1).alias("one"), _value(w).alias("word"), _value(F.get(ws, i + 1)).alias("nxt")))
+    """(pattern, word) of every word in a slot of ``patterns``, of which there are at most `PASS_PATTERNS`. Words whose
+    predecessor begins no pattern are passed over: inside the text for a few predecessors, by a join for many."""
     parts = F.split("pattern", " ", -1)
-    one = F.get(parts, F.when(F.get(parts, F.lit(0)) == "LL", 2).otherwise(1))
-    near = texts.select(F.inline(let(_plain_words(F.col("text")), around))).join(F.broadcast(patterns.select(one.alias("one")).distinct()), "one", "left_semi")
+    ones = patterns.select(F.get(parts, F.when(F.get(parts, F.lit(0)) == "LL", 2).otherwise(1)).alias("one")).distinct()
+    few = [r["one"] for r in ones.limit(FEW + 1).collect()]
+    some = (lambda w: w.isin(few)) if len(few) <= FEW else (lambda w: F.lit(True))
+
+    def around(ws: Column) -> Column:
+        after = F.filter(F.transform(ws, lambda w, i: F.when(some(w), i)), lambda i: i.isNotNull())
+        return F.transform(after, lambda i: F.struct(F.get(ws, i - 1).alias("two"), F.get(ws, i).alias("one"), _value(F.get(ws, i + 1)).alias("word"), _value(F.get(ws, i + 2)).alias("nxt")))
+
+    if len(few) <= SOUGHT:
+        texts = texts.where(reduce(or_, [F.contains(F.lower("text"), F.lit(w.rstrip(":"))) for w in few], F.lit(False)))
+    near = texts.select(F.inline(let(_plain_words(F.col("text")), around))).where("word IS NOT NULL")
+    if len(few) > FEW:
+        near = near.join(F.broadcast(ones), "one", "left_semi")
     pairs = near.select(F.explode(_patterns(F.col("two"), F.col("one"), F.col("nxt"))).alias("pattern"), "word")
     return pairs.join(F.broadcast(patterns.select("pattern")), "pattern", "left_semi")
 

@@ -47,8 +47,8 @@ def _plain(text: str) -> list[str]:
     out = []
     for w in WORD.findall(text):
         w = re.sub(r"[:=]+$", ":", w.lower())
-        w = regex.sub(r"^[^\p{L}\p{N}@+:]+", "", w)
-        w = regex.sub(r"[^\p{L}\p{N}:]+$", "", w)
+        w = regex.sub(rf"{pii._MARK}+$", "", w)
+        w = regex.sub(rf"^{pii._MARK}+", "", w)
         if w:
             out.append(w)
     return out
