@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -167,3 +168,34 @@ def substring(rows: list[tuple[int, str | None]], window: int) -> dict[int, tupl
         kept = " ".join(x for k, x in enumerate(w) if k not in gone)
         out[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     return out
+
+
+def bm25_hits(texts: list, items: list, threshold: float, overlap: float, answer_overlap: float) -> list[tuple]:
+    """(doc_id, item_id, score) by scoring every item on every passage of its length class."""
+    words = lambda t: re.findall("[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    all_items = [(i, t, words(t)) for i, t in items if words(t)]
+    n, mean = len(all_items), sum(len(w) for _, _, w in all_items) / len(all_items)
+    df = Counter(t for _, _, w in all_items for t in set(w))
+    out = []
+    for d, text in texts:
+        ws, best = words(text), {}
+        for i, t, w in all_items:
+            tf, norm = Counter(w), 1.2 * (0.25 + 0.75 * len(w) / mean)
+            weight = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * k * 2.2 / (k + norm) for x, k in tf.items()}
+            m = re.match(r"(?s)(.*[.!?])\s+(\S.*)$", t.strip())
+            q, a = (words(m[1]), set(words(m[2]))) if m else (w, set())
+            if len(q) < 5:
+                q, a = w, set()
+            size = min(5, len(q))
+            grams = lambda x, k=size: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}
+            stride = 64
+            while stride < len(w):
+                stride *= 2
+            for lo in range(0, max(1, len(ws) - stride), stride):
+                p = ws[lo : lo + 2 * stride]
+                score = sum(x for y, x in weight.items() if y in set(p)) / sum(weight.values())
+                if score < threshold or len(grams(q) & grams(p)) < overlap * len(grams(q)) or len(a & set(p)) < answer_overlap * len(a):
+                    continue
+                best[i] = max(score, best.get(i, 0.0))
+        out += [(d, i, s) for i, s in best.items()]
+    return out

@@ -259,6 +259,29 @@ def test_sharding(spark, small, nasty):
     assert sharding.shard(nasty.limit(0)).collect() == []
 
 
+def test_sharding_against_reference(spark, tmp_path):
+    """Every place follows from the hash buckets and one seeded permutation of each; files hold the same."""
+    import numpy as np
+
+    rows = [(i if i % 7 else None, f"text {i % 40} " * (i % 5)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    n = max(6, -(-sum(len(t or "") + 16 for _, t in rows) // 700))
+    key = lambda seed: F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text"))
+    buckets = {}
+    for r in docs.select("doc_id", "text", F.pmod(key(7), F.lit(n)).alias("b"), key(8).alias("o")).collect():
+        buckets.setdefault(r["b"], []).append((r["o"], r["doc_id"], r["text"]))
+    every = []
+    for b in sorted(buckets):
+        order = np.arange(len(buckets[b]))
+        np.random.Generator(np.random.PCG64([7, b])).shuffle(order)
+        every += [sorted(buckets[b], key=lambda x: x[0])[k][1:] for k in order]
+    cut = [300 * s // 6 for s in range(7)]
+    want = sorted((str(i), t, s, k) for s in range(6) for k, (i, t) in enumerate(every[cut[s] : cut[s + 1]]))
+    sharding.write_shards(docs, f"file://{tmp_path}/out", n_shards=6, bucket_bytes=700)
+    for got in (sharding.shard(docs, n_shards=6, bucket_bytes=700), spark.read.parquet(f"file://{tmp_path}/out")):
+        assert sorted((str(r["doc_id"]), r["text"], r["shard"], r["slot"]) for r in got.collect()) == want
+
+
 def test_shuffle_is_uniform(spark):
     """First slots are not tied to input order."""
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
@@ -384,6 +407,52 @@ def test_decontamination(spark, small, rows):
     assert decontam.decontaminate(docs, spark.read.parquet(f"{small}/benchmark.parquet").limit(0)).count() == len(rows)
 
 
+def bm25_tables():
+    """Items, and texts that hold pieces of them: whole, with replaced words, cut, or only some of their words."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(400)]
+    items = [(i if i % 9 else None, " ".join(rng.choice(words) for _ in range(rng.randrange(8, 90))) + ". " + " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(60)]
+    texts = []
+    for d in range(90):
+        body = [rng.choice(words) for _ in range(rng.randrange(0, 300))]
+        piece = items[rng.randrange(60)][1].split()
+        for _ in range(d % 7):
+            piece[rng.randrange(len(piece))] = rng.choice(words)
+        at = rng.randrange(len(body) + 1)
+        texts.append((d, " ".join(body[:at] + piece[: len(piece) - (d % 4) * 3] + body[at:])))
+    return texts + [(90, None), (91, ""), (None, items[3][1]), (92, items[3][1]), (92, items[3][1])], items + [(60, None), (61, "")]
+
+
+def test_decontamination_against_bm25(spark):
+    """Hits and scores equal plain BM25 over all passages, whatever the parts; a long item changes no other hit."""
+    texts, items = bm25_tables()
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").withColumn("item_id", F.lit("clash")).withColumn("score", F.lit("clash"))
+    bench = lambda rows: spark.createDataFrame(rows, "item_id bigint, text string")
+    hits = lambda out: sorted((str(r["doc_id"]), str(r["item_id"]), round(r["score"], 4)) for r in out.collect())
+    for threshold in (0.6, 0.9):
+        want = sorted((str(d), str(i), round(round(s, 6), 4)) for d, i, s in brute.bm25_hits(texts, items, threshold, 0.5, 0.5))
+        assert want and hits(decontam.contaminated(docs, bench(items), threshold=threshold)) == want
+        assert hits(decontam.contaminated(docs, bench(items), threshold=threshold, max_items=9)) == want
+    long = [(99, " ".join(f"long{k}" for k in range(3000)))]
+    some = hits(decontam.contaminated(docs, bench(items)))
+    assert [x[:2] for x in hits(decontam.contaminated(docs, bench(items + long)))] == [x[:2] for x in some]
+    clean = decontam.decontaminate(docs, bench(items), max_items=25)
+    assert clean.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(str(d) for d, _ in texts if str(d) not in {x[0] for x in some})
+    assert decontam.contaminated(docs.limit(0), bench(items)).collect() == [] == decontam.contaminated(docs, bench(items).limit(0)).collect()
+
+
+def test_decontamination_other_ids_and_edits(spark):
+    """Ids of any type, a word replaced in the middle of a short question, a very long text."""
+    item = "which of the rivers of the old land runs to the northern sea before winter? the grey one"
+    edit = item.replace("land", "world")
+    docs = spark.createDataFrame([("a", f"so {edit} yes"), ("b", "nothing here"), ("c", "pad word " * 200_000 + item)], "doc_id string, text string")
+    got = decontam.contaminated(docs, spark.createDataFrame([("q1", item)], "item_id string, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [("a", "q1"), ("c", "q1")]
+
+
 def test_wand_returns_all_above_threshold():
     import random
 
@@ -392,7 +461,7 @@ def test_wand_returns_all_above_threshold():
     rng = random.Random(2)
     vocabulary = [f"t{k}" for k in range(60)]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(6, 30)))) for i in range(300)]
-    index = decontam.build_index(items)
+    (index,) = decontam.build_indexes(items, decontam.own_statistics([t for _, t in items]))
     for _ in range(60):
         terms = np.array(sorted(rng.sample(range(len(index.terms)), rng.randrange(1, 40))))
         score = np.zeros(len(items))
