@@ -3,7 +3,9 @@
 Pass one scatters the records uniformly into memory-sized buckets by a seeded hash. Pass two shuffles each bucket in
 memory (Fisher-Yates, seeded by the bucket) and writes it. The buckets one after the other are a uniform random order
 of all rows; shards are consecutive runs of it, so their row counts differ by one at most (law ``rows``) and their
-slots have no gaps. Whole records move once, through one exchange; a task holds one bucket.
+slots have no gaps. Whole records move once, through one exchange of as many partitions as buckets; a task holds one
+bucket, whatever the session's number of shuffle partitions. At very large sizes raise ``bucket_bytes`` to what a task's
+memory holds, so that the buckets don't become too many.
 
 Defined results: null and empty texts have size 16; a null doc_id hashes like any value; rows equal in doc_id and text
 lie in one bucket; an empty table gives an empty result; all columns stay, whatever their names, except ``shard`` and
@@ -23,7 +25,7 @@ from pyspark.sql import types as T
 
 from ._common import durable, maybe_broadcast
 
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 32 << 20
 BATCH_ROWS = 512
 
 
@@ -67,7 +69,6 @@ def _shuffle_buckets(seed: int):
 def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``shard`` (0 to n_shards - 1) and ``slot``. Memory of a task: about ``bucket_bytes`` and a
     permuted batch. The buckets' row counts, one number each, place every bucket in the global order."""
-    spark = docs.sparkSession
     docs = docs.drop("shard", "slot")
     total = docs.agg(F.sum(record_size(F.col(text_col))).alias("b"), F.count(F.lit(1)).alias("n")).first()
     n_buckets = max(n_shards, math.ceil((total["b"] or 0) / bucket_bytes))
@@ -76,7 +77,7 @@ def shard(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col:
     keyed = docs.withColumn("_bucket", F.pmod(digest, F.lit(n_buckets)).cast("int")).withColumn("_order", F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col(text_col)))
     sizes = durable(keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows")), "shard-sizes")
     first = _offsets(sizes, n_buckets)
-    rows = keyed.repartition(min(n_buckets, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4), "_bucket").sortWithinPartitions("_bucket", "_order").drop("_order")
+    rows = keyed.repartitionById(n_buckets, F.col("_bucket")).sortWithinPartitions("_bucket", "_order").drop("_order")
     schema = T.StructType([*rows.schema.fields, T.StructField("_place", T.LongType())])
     placed = rows.mapInArrow(_shuffle_buckets(seed), schema).join(maybe_broadcast(first, 500_000), "_bucket")
     n = F.lit(int(total["n"]))
