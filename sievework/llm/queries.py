@@ -138,7 +138,7 @@ v AS (
   SELECT page_id, host, path,
          (SELECT max_by(struct_pack(rule := rule_host || rule_path, verdict := rule_verdict), length(rule_host || rule_path)) FROM rules
           WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best,
-         regexp_matches(host, '(^|\.)(spam-farm|cheap-pills|ads-track|link-farm|free-casino|payday-loans)\.') AS own FROM h)
+         regexp_matches(host || path, '^([^/]*\.)?((spam-farm|cheap-pills|ads-track|link-farm|free-casino|payday-loans)\.|ads.*\.example([^A-Za-z0-9_.%-]|$))|^tracker\.|/wp-login\.php$|/track/.*/click([^A-Za-z0-9_.%-]|$)|/banner-ads/') AS own FROM h)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN own THEN 'block' ELSE 'allow' END) AS verdict FROM v
 """
 

@@ -488,6 +488,24 @@ def test_url_filters(spark, small):
     }
 
 
+def test_url_patterns(spark, monkeypatch):
+    """Anchors, wildcards, separators, rules without a token, ties, clashing names and empty tables, by either path."""
+    urls = [(1, "http://a.ads7.example/x"), (2, "http://x.org/Login|a"), (3, "http://x.org/q/wp-login.php?a=1"), (4, "http://x.org/wp-login.php5"), (5, "http://x.org/track/9/8/click"), (6, "http://x.org/track/9/clicks"),
+            (7, "http://tracker.x.org"), (8, "http://my.tracker.x.org"), (9, "http://x.org/a.b(c)"), (10, "http://x.org/zz"), (11, None), (11, None), (12, "http://" + "a" * 100_000 + ".org/zz")]
+    pages = spark.createDataFrame(urls, "page_id bigint, url string")
+    for clash in ("host", "path", "rule", "verdict", "token", "regex", "name"):
+        pages = pages.withColumn(clash, F.lit("clash"))
+    rules = [("||ads*.example^", "block", None), ("/wp-login.php|", "block", None), ("/track/*/click^", "block", None), ("|tracker.", "block", None), ("a.b(c)", "block", None), ("zz", "block", "zz"), ("/zz", "allow", "yy"), (None, "block", None), ("zz", "block", "zz")]
+    table = spark.createDataFrame(rules, "pattern string, verdict string, name string")
+    want = [(1, None, "block"), (2, None, "allow"), (3, None, "block"), (4, None, "allow"), (5, None, "block"), (6, None, "allow"), (7, None, "block"), (8, None, "allow"), (9, None, "block"), (10, "yy", "allow"), (11, None, "allow"), (11, None, "allow"), (12, "yy", "allow")]
+    for few in (2_000, 0):
+        monkeypatch.setattr(url_filter, "FEW", few)
+        got = url_filter.filter_urls(pages, rules=table).select("page_id", "rule", "verdict").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+        assert url_filter.filter_urls(pages.limit(0)).collect() == []
+        assert {r["verdict"] for r in url_filter.filter_urls(pages, rules=table.limit(0)).collect()} == {"allow"}
+
+
 def test_pipeline(spark, small, rows):
     import corpus_pipeline
 
