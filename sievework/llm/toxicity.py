@@ -4,9 +4,10 @@ Tokens (lower-cased words and their first 4 to 7 bytes, so that inflected and co
 log-odds ratio of toxic against clean labelled documents under an informative Dirichlet prior; all whose z-score is
 significant keep it, toxic or clean, all others a small negative score. A token scores by the most toxic of its
 features, without one by the cleanest. In each text the linear-time algorithm for all maximal scoring
-segments finds the toxic passages. The best segment's score is turned into an expected number of such segments by
-chance in a text of that length (an extreme-value law whose rate and scale come from clean labelled documents), and a
-logistic curve over its logarithm, fitted on labelled documents, gives the probability.
+segments finds the passages. Each segment's score is turned into an expected number of such segments by chance in a
+text of that length (its E-value: an extreme-value law whose rate and scale come from clean labelled documents); those
+up to ``max_e`` are listed as toxic passages. A logistic curve over the logarithm of the best segment's E-value, fitted
+on labelled documents, gives the probability of the text.
 
 Three narrow passes: count tokens of labelled documents, score all documents, fit two curves on counts. Labels are
 sent to the executors; ``max_labelled`` bounds them (a hash sample beyond it), and so the features, all of which
@@ -14,7 +15,8 @@ are sent.
 
 Defined results: null and empty texts get the probability of a text without any hit; a null doc_id is not a labelled
 row; a doc_id labelled twice counts as toxic if any label says so; with no labels at all every score is 0; repeated
-rows each get their result; other columns are ignored.
+rows each get their result; of segments that tie the first is the best; an empty table gives an empty result; other
+columns are ignored. A very long text costs time and memory in proportion to its words.
 """
 
 from __future__ import annotations
@@ -162,9 +164,10 @@ def _logistic(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_folds: int = 5, min_z: float = 3.5, max_labelled: int = 400_000) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted, n_tokens, segments (word positions of all
-    maximal segments and their scores) and e_value (expected better segments by chance).
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_folds: int = 5, min_z: float = 3.5, max_labelled: int = 400_000, max_e: float = 0.5) -> DataFrame:
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, n_tokens, segments (word positions, scores and
+    E-values of the maximal segments whose E-value is at most ``max_e``), n_maximal (all maximal segments) and e_value
+    (of the best one).
 
     Rows whose crc32(doc_id as text) is divisible by ``held_out_folds`` are never learnt from."""
     sc = docs.sparkSession.sparkContext
@@ -183,9 +186,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rate = (clean["k"] + 0.5) / ((clean["n"] or 0) + 1.0)
     scale = (clean["k"] + 1.0) / ((clean["s"] or 0.0) + 4.0)
     # expected segments of this score or better by chance; a text without a hit has score 0
-    log_e = F.log(F.lit(rate) * F.greatest("n", F.lit(1))) - F.lit(scale) * F.col("best")
+    log_e_of = lambda best: F.log(F.lit(rate) * F.greatest("n", F.lit(1))) - F.lit(scale) * best
+    log_e = log_e_of(F.col("best"))
     x = F.greatest(F.lit(-20.0), F.least(F.lit(60.0), F.when(F.col("best") > 0, -log_e).otherwise(F.least(-log_e, F.lit(0.0)) - 2.0)))
     bins = train.groupBy((F.round(x * 4) / 4).alias("x")).agg(F.count(F.when(F.col("toxic") == 1, 1)).alias("y1"), F.count(F.when(F.col("toxic") == 0, 1)).alias("y0")).collect()
     slope, offset = _logistic([(r["x"], r["y1"], r["y0"]) for r in sorted(bins, key=lambda r: r["x"])]) if bins else (0.0, -40.0)
     score = 1 / (1 + F.exp(-(F.lit(slope) * x + F.lit(offset))))
-    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("n").alias("n_tokens"), "segments", F.exp(log_e).alias("e_value"))
+    rated = F.transform("segments", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"), F.exp(log_e_of(s["score"])).alias("e_value")))
+    listed = F.filter(rated, lambda s: s["e_value"] <= max_e)
+    return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), F.col("n").alias("n_tokens"), listed.alias("segments"), F.size("segments").alias("n_maximal"), F.exp(log_e).alias("e_value"))
