@@ -113,6 +113,24 @@ def salted_join(big: DataFrame, one: DataFrame, keys: list[str], place: Column,
     return out.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
+#: At most so many keys count as hot.
+HOT_KEYS = 10_000
+
+
+def hot_join(big: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """``big`` joined (inner) with ``one``, a durable table that holds each key once and in ``_n`` the number of its
+    rows in ``big``. Keys above total / `HOT_KEYS` rows are hot; there can't be more than `HOT_KEYS` of them, so they
+    are broadcast and their rows stay where they are. All other keys are small and joined by shuffle."""
+    total = one.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    limit = max(1000, total // HOT_KEYS)
+    hot = one.where(F.col("_n") > limit)
+    if hot.isEmpty():
+        return big.join(one.drop("_n"), keys)
+    cold = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(one.where(F.col("_n") <= limit).drop("_n"), keys)
+    met = big.join(F.broadcast(hot.drop("_n")), keys)
+    return met.unionByName(cold)
+
+
 def lookup(big: DataFrame, one: DataFrame, keys: list[str], place: Column, rows: int, how: str = "inner") -> DataFrame:
     """``big`` joined with ``one`` (durable, each key once): broadcast within the bound, otherwise salted."""
     return big.join(F.broadcast(one), keys, how) if small(one, rows) else salted_join(big, one, keys, place, how)

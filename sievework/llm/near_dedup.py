@@ -14,12 +14,14 @@
    size, are held against all members of other components, and only pairs that may be links leave their group: the
    exact way for the rest.
 
-A hot bucket costs one pair a member. Joins on hot keys are left to Spark's skew handling; only ids, sketches of
-candidates and the texts of candidate pairs move.
+A hot bucket costs one pair a member. Keys that hold many rows (hubs, hot buckets, frequent shingles) are counted first
+and joined by a broadcast of bounded size; only ids, sketches of candidates and the texts of candidate pairs move.
 
 Defined results: null and empty texts have the empty set and stand alone; with fewer words than a shingle the whole
 sequence is the one shingle; a null doc_id stands alone with a null component; rows with the same doc_id are one
-document (their sets are linked through it); an empty table gives an empty result; other columns are ignored.
+document (their sets are linked through it) and stay or go together, but for repeats of one text; a doc_id that is no integer is refused
+by Spark's cast; an empty table gives an empty result; other columns are ignored. A very long text costs time and
+memory in proportion to its words, for each pair that it is verified in.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, durable, durable_path, maybe_broadcast
+from ._common import discard, durable, durable_path, hot_join, maybe_broadcast
 from ._words import SPACES, chunks, mix, run_hashes
 
 BUCKETS, ROWS = 512, 8
@@ -96,6 +98,16 @@ def registers(shingles: np.ndarray) -> np.ndarray:
 COLLISION = (sum(4.0 ** -(j + 1) for j in range(15)) + 4.0**-15) / (1 << _MANTISSA)
 
 
+def least_estimate(threshold: int, smaller: np.ndarray) -> np.ndarray:
+    """The estimate below which a pair whose smaller set has so many shingles is ruled out: the threshold less six
+    standard errors. A set of n shingles fills about m (1 - exp(-n / m)) of the m registers; the others are borrowed
+    and say nothing new, and which ones two sets borrow varies as well, so that the variance is that of half as many."""
+    t = threshold / 100.0
+    own = BUCKETS * (1 - np.exp(-np.asarray(smaller, float) / BUCKETS))
+    filled = np.where(own > 0.9 * BUCKETS, own, own / 2)
+    return t - 6.0 * np.sqrt(t * (1 - t) / np.maximum(filled, 1e-9)) / (1 - COLLISION)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard estimate from the share of equal registers, less the collisions that chance alone gives."""
     equal = float(np.count_nonzero(a == b)) / BUCKETS
@@ -146,17 +158,15 @@ def _verify(size: int, threshold: int):
 
 def _estimated(threshold: int):
     """Drops the pairs that sizes or sketches rule out."""
-    t = threshold / 100.0
-    least = t - 6.0 * (t * (1 - t) / BUCKETS) ** 0.5 / (1 - COLLISION)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             ok = 100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)
             ra, rb = batch.column("r_a").to_pylist(), batch.column("r_b").to_pylist()
-            # below a few hundred shingles borrowed registers depend on each other; such small sets are verified at once
-            for i in np.flatnonzero(ok & (np.minimum(na, nb) >= BUCKETS // 2)):
-                ok[i] = estimate(np.frombuffer(ra[i], np.uint8), np.frombuffer(rb[i], np.uint8)) >= least
+            least = least_estimate(threshold, np.minimum(na, nb))
+            for i in np.flatnonzero(ok & (least > 0)):
+                ok[i] = estimate(np.frombuffer(ra[i], np.uint8), np.frombuffer(rb[i], np.uint8)) >= least[i]
             chosen = pa.array(ok)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(chosen), batch.column("b").filter(chosen)], ["a", "b"])
 
@@ -168,7 +178,9 @@ def confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int,
     several rows; then a pair is a link if any two of their texts are."""
     s = sketches.select("id", "n", "registers")
     side = lambda x: s.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimated(threshold), "a bigint, b bigint")
+    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    hubs = durable(degree.join(side("a"), "a"), "near-hubs")
+    likely = hot_join(pairs.join(side("b"), "b"), hubs, ["a"]).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimated(threshold), "a bigint, b bigint")
     return verify(likely.distinct() if repeated else likely, texts, size, threshold, repeated)
 
 
@@ -178,7 +190,9 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int, repeat
     one = texts_of(likely.select(F.explode(F.array("a", "b")).alias("id")), texts)
     if repeated:
         one = one.distinct()
-    both = likely.join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    degree = likely.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    first = degree.join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = hot_join(likely.join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"), durable(first, "near-first"), ["a"])
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, threshold), "a bigint, b bigint")
 
 
@@ -234,8 +248,6 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 def _block_pairs(threshold: int, small: int):
     """The pairs of one (key, p, q) whose rows lie in different components and whose sizes and signatures allow a
     link. Rows come sorted by (key, p, q); a group has about two blocks of rows, whatever the bucket's size."""
-    t = threshold / 100.0
-    least = t - 6.0 * (t * (1 - t) / BUCKETS) ** 0.5 / (1 - COLLISION)
 
     def pairs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids, comp, n, at = (rows.column(c).to_numpy() for c in ("b", "c", "n", "at"))
@@ -256,7 +268,7 @@ def _block_pairs(threshold: int, small: int):
             table = np.stack([regs[i] for i in right])
             for i in np.flatnonzero((ok & ~both).any(axis=1)):
                 equal = np.count_nonzero(table == regs[left[i]], axis=1) / BUCKETS
-                ok[i] &= both[i] | ((equal - COLLISION) / (1.0 - COLLISION) >= least)
+                ok[i] &= both[i] | ((equal - COLLISION) / (1.0 - COLLISION) >= least_estimate(threshold, np.minimum(nl[i], nr[0])))
         x, y = np.nonzero(ok)
         return ids[left[x]], ids[right[y]]
 
@@ -287,8 +299,8 @@ def able_to_link(docs: DataFrame, signatures: DataFrame, threshold: int) -> Data
     """Of documents (b, c) the b that may have a link to another component c: at least ``threshold`` per cent of the
     shingles occur in another component as well. Fewer can't make up that share of any union, so no link is lost."""
     each = signatures.join(docs, F.col("id") == F.col("b")).select("b", "c", "n", "digest", F.explode("shingles").alias("shingle"))
-    spanning = each.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("shingle")
-    met = each.join(spanning, "shingle").groupBy("b", "n", "digest").agg(F.count(F.lit(1)).alias("met"))
+    spanning = each.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi").select("shingle", "_n")
+    met = hot_join(each, durable(spanning, "near-spanning"), ["shingle"]).groupBy("b", "n", "digest").agg(F.count(F.lit(1)).alias("met"))
     return met.where(F.lit(100) * F.col("met") >= F.lit(threshold) * F.col("n")).select("b").distinct()
 
 
@@ -331,15 +343,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     at, now = None, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
     for _ in range(max_rounds):
         for large in (True, False):
+            least_at = durable_path(spark, "near-least")
             if large:
                 both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-                least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-                step = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+                least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")), path=least_at)
+                step = hot_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             else:
-                least = now.groupBy("u").agg(F.min("v").alias("m"))
-                step = now.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+                least = durable(now.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")), path=least_at)
+                step = hot_join(now, least, ["u"]).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
             new_at = durable_path(spark, "near-edges")
             now = durable(step.where("u <> v").distinct(), path=new_at)
+            discard(spark, least_at)
             if at:
                 discard(spark, at)
             at = new_at
@@ -364,9 +378,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = durable(reps.groupBy("id", "n", "set_hi", "set_lo").agg(F.first("registers").alias("registers")).select("id", "n", "registers"), "near-reps")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * ROWS + 1, F.lit(ROWS))))).alias("key")
     members = reps.select("id", band)
-    buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    shared = durable(members.join(buckets, "key").select("key", "a", F.col("id").alias("b")), "near-buckets")
-    pairs = shared.where("a <> b").select("a", "b").distinct()
+    buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("_n")).where("a <> z").select("key", "a", "_n")
+    shared = durable(hot_join(members, durable(buckets, "near-keys"), ["key"]).select("key", "a", F.col("id").alias("b")), "near-buckets")
+    pairs = durable(shared.where("a <> b").select("a", "b").distinct(), "near-pairs")
     links = confirm(pairs, reps, texts, size, threshold, repeated)
     edges = durable(copies.unionByName(links), "near-links")
     parts = durable(components(edges), "near-parts")
@@ -387,13 +401,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 80) -> DataFrame:
-    """One document of each group, the one with the smallest id; the columns of ``docs`` unchanged. Of rows with the
-    same doc_id one stays."""
+    """The document of each group with the smallest id; the columns of ``docs`` unchanged. Rows with one doc_id stay or
+    go together, since they may hold different texts; of those that also share their text one stays."""
     judged = durable(near_duplicates(docs, id_col, text_col, size, threshold).select("doc_id", "kept"), "near-kept")
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(maybe_broadcast(gone, 1_000_000), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    counts = judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if not counts.isEmpty():
-        lone = out.where(F.col(id_col).isNull())
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(lone)
-    return out.select(*docs.columns)
+    gone = durable(judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
+    out = docs.join(maybe_broadcast(gone, 1_000_000), F.col(id_col).cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
+    if judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, text_col]).unionByName(out.where(F.col(id_col).isNull()))

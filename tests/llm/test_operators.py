@@ -173,6 +173,41 @@ def test_near_dedup(spark, small, rows, nasty):
     assert kept.columns == nasty.columns and kept.count() == len(NASTY) - 1
 
 
+def test_near_dedup_same_id_other_text(spark):
+    """Two documents with one doc_id both stay, unless their group has a smaller id."""
+    a, b, c = (" ".join(f"{p}{k}" for k in range(40)) for p in "abc")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (3, c), (0, c), (3, "other words here")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in near_dedup.drop_near_duplicates(docs).collect())
+    assert got == sorted([(1, a), (1, b), (0, c)])
+
+
+def test_hot_keys_join_alike(spark, monkeypatch):
+    from sievework.llm import _common
+
+    monkeypatch.setattr(_common, "HOT_KEYS", 2)
+    big = spark.range(9000).select((F.col("id") % 7 * (F.col("id") % 3 > 1).cast("int")).alias("k"), "id")
+    one = big.groupBy("k").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("_n"))
+    want = sorted(map(tuple, big.join(one.drop("_n"), "k").collect()))
+    assert sorted(map(tuple, _common.hot_join(big, one, ["k"]).select("k", "id", "top").collect())) == want
+
+
+@pytest.mark.parametrize("n", [20, 60, 150, 300, 700])
+def test_estimate_margin_keeps_links(n):
+    """Pairs of small sets at a similarity of 0.8 are not ruled out; most unlike pairs of larger ones are."""
+    import numpy as np
+
+    rng, lost, passed = np.random.default_rng(n), 0, 0
+    least = float(near_dedup.least_estimate(80, np.array([n]))[0])
+    for _ in range(400):
+        u = rng.integers(0, 2**63, 3 * n, dtype=np.int64).view(np.uint64)
+        k = -(-8 * n // 9)  # shared of two sets of n: Jaccard 0.8
+        a, b = np.sort(u[:n]), np.sort(np.concatenate([u[:k], u[n : 2 * n - k]]))
+        lost += near_dedup.estimate(near_dedup.registers(a), near_dedup.registers(b)) < least
+        c = np.sort(np.concatenate([u[: n // 10], u[2 * n : 3 * n - n // 10]]))
+        passed += near_dedup.estimate(near_dedup.registers(a), near_dedup.registers(c)) >= least
+    assert lost == 0 and (n < 60 or passed < 40)
+
+
 @pytest.mark.parametrize("block", [256, 3])
 def test_near_dedup_chain_in_one_bucket(spark, monkeypatch, block):
     """A chain of near copies whose ends are far apart is one component, however buckets are cut."""
@@ -318,7 +353,7 @@ def test_toxicity_keeps_every_significant_feature(spark):
     docs += [(1000 + i, w) for i, w in enumerate(toxic)] + [(999, f"{toxic[0]} {clean[0]} {clean[1]} {toxic[1]}")]
     docs = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8)
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id bigint, toxic int")
-    out = toxicity.score_toxicity(docs, labels).where("doc_id >= 999").select("doc_id", F.size("segments").alias("n"))
+    out = toxicity.score_toxicity(docs, labels).where("doc_id >= 999").select("doc_id", F.col("n_maximal").alias("n"))
     assert out.where("doc_id > 999 AND n = 1").count() == 21_000
     assert out.where("doc_id = 999").first()["n"] == 2
 
@@ -337,6 +372,44 @@ def test_maximal_segments_brute():
         assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
 
 
+def test_all_maximal_segments_brute():
+    """All segments, not the best alone: the best one, then those of what lies before and after it."""
+    import random
+
+    def brute_segments(s, lo, hi):
+        every = [(sum(s[i:j]), -i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)]
+        if not every or max(every)[0] <= 0:
+            return []
+        total, i, j = max(every)
+        return [*brute_segments(s, lo, -i), (-i, j - 1, total), *brute_segments(s, j, hi)]
+
+    rng = random.Random(6)
+    for _ in range(150):
+        s = [rng.uniform(-1.5, 1) for _ in range(rng.randrange(1, 16))]
+        at, sums = [i for i in range(len(s)) if s[i] > 0], [sum(s[:i]) for i in range(len(s) + 1)]
+        got = toxicity._segments(at, [sums[i] for i in at], [sums[i + 1] for i in at])
+        want = brute_segments(s, 0, len(s))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want))
+
+
+def test_toxicity_awkward_rows(spark, nasty):
+    """Nulls, empty and long texts, clashing names, an empty table, labels given twice; E-values of what is listed."""
+    words = [(i, ("vile scum " if i % 2 else "kind word ") + "filler text " * 10) for i in range(80)] + [(200, "vile scum " * 3 + "filler " * 60_000 + "vile scum vile scum"), (201, None), (201, None), (None, "vile scum")]
+    docs = spark.createDataFrame(words, "doc_id bigint, text string")
+    for clash in ("toxic", "n", "best", "segments", "h", "score"):
+        docs = docs.withColumn(clash, F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(1, 0), (None, 1), (5, None)], "doc_id bigint, toxic int").withColumn("text", F.lit("clash"))
+    out = toxicity.score_toxicity(docs, labels).collect()
+    assert len(out) == len(words)
+    by = {r["doc_id"]: r for r in out}
+    assert by[1]["predicted"] == 1 and by[2]["predicted"] == 0 and by[201]["predicted"] == 0 and by[None]["predicted"] == 1
+    assert all(s["e_value"] <= 0.5 for r in out for s in r["segments"])
+    every = toxicity.score_toxicity(docs, labels, max_e=float("inf")).where("doc_id = 200").first()
+    assert [(s["start"], s["end"]) for s in every["segments"]] == [(0, 6), (60_006, 60_010)] and every["n_maximal"] == 2
+    assert toxicity.score_toxicity(docs.limit(0), labels).collect() == []
+    assert len(toxicity.score_toxicity(nasty, labels).collect()) == len(NASTY)
+
+
 def test_substring(spark, small, rows, nasty):
     want = brute.substring(rows, 50)
     got = by_id(queries.op7_substring_dedup(spark, small))
