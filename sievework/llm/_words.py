@@ -53,7 +53,20 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """The hash of values[s:e] for each s, e."""
+    """The hash of values[s:e] for each s, e; both ascend. Long arrays are taken in slabs, so that memory beyond the
+    arrays themselves depends on the longest run only."""
+    if len(values) <= 4 * CHUNK_BYTES:
+        return _run_hashes(values, starts, ends, which)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + CHUNK_BYTES)))
+        lo, hi = starts[i], ends[j - 1]
+        out[i:j] = _run_hashes(values[lo:hi], starts[i:j] - lo, ends[i:j] - lo, which)
+        i = j
+    return out
+
+
+def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     pw, inv = powers(which, len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum((values.astype(np.uint64) + np.uint64(1)) * pw[: len(values)], out=sums[1:])
@@ -61,6 +74,21 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
 
 
+def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+    """The place of the leftmost minimum of each window of ``width`` values, in linear memory: minima of ranks from the
+    front and the back of blocks of ``width``."""
+    n = len(values)
+    order = np.argsort(values, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    blocks = np.full(-(-n // width) * width, n, np.int64)
+    blocks[:n] = rank
+    blocks = blocks.reshape(-1, width)
+    front = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return order[np.minimum(back[: n - width + 1], front[width - 1 : n])]
+
+
 class Chunk:
     """Some whole texts: rows lo..hi of a batch. ``at[i]:at[i + 1]`` are the words of the i-th text;
     ``starts``/``ends`` are byte positions in ``data``; ``hashes`` identify words."""
@@ -86,6 +114,17 @@ class Chunk:
             self._hashes = run_hashes(self.data, self.starts, self.ends)
         return self._hashes
 
+    def spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all words with one blank after each, and where each word begins and ends in them."""
+        sizes = self.ends - self.starts
+        ends = np.cumsum(sizes + 1) - 1
+        out = np.full(int(ends[-1]) + 1 if len(ends) else 0, 32, np.uint8)
+        for i in range(0, len(sizes), 1 << 16):
+            n = sizes[i : i + (1 << 16)]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(ends[i : i + (1 << 16)] - n, n) + step] = self.data[np.repeat(self.starts[i : i + (1 << 16)], n) + step]
+        return out, ends - sizes, ends
+
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
 

@@ -3,21 +3,24 @@
 A window is 50 consecutive words. Keeping the hash of every window of history would outgrow the corpus, so windows are
 filed by content: among the 10-word hashes inside a window the smallest is its anchor (winnowing), and consecutive
 windows with one anchor form a block. Equal windows have equal anchors, wherever they stand. A block is known by its
-anchor's hash and a second, independent hash of all its words, 128 bits together.
+anchor's hash, made of word hashes, and by an independent hash of the bytes of all its words, 128 bits together; equality
+rests on them, the words themselves are not compared again.
 
 The index holds immutable runs, each sorted by anchor: (anchor, block, smallest doc_id). A batch of documents is
 merge-joined with the runs and with itself:
 
 * a block that a smaller document holds too is a duplicate as a whole;
 * where blocks with one anchor differ (edits, ends of passages), only the first document of each different block is
-  looked at again, and its windows are verified one by one by hashes of their full words.
+  looked at again, and its windows are verified one by one by two such hashes of their full words.
 
-The batch's blocks become a new run, and runs are compacted once there are more than ``max_runs``. Pre-aggregation
-before each shuffle makes hot passages cheap: a passage on a third of all documents is a few rows a task.
+The batch's blocks become a new run of the lowest tier; ``fanout`` runs of a tier are compacted into one of the next, so
+that a row is rewritten a logarithmic number of times. Pre-aggregation before each shuffle makes hot passages cheap;
+blocks on very many documents are joined by a broadcast of bounded size. Tables of a batch go once its spans are written.
 
 Defined results: null and empty texts have no windows; a null doc_id is compared with nothing and loses nothing; rows
-with the same doc_id do not count as smaller than each other; an empty table gives an empty result; other columns are
-ignored.
+with the same doc_id do not count as smaller than each other; a doc_id that is no integer is refused by Spark's cast; an
+empty table gives an empty result; other columns are ignored. A very long text costs time and memory in proportion to
+its words.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import discard, durable, durable_path
-from ._words import SPACES, Chunk, chunks, run_hashes
+from ._common import discard, durable_path, hot_join
+from ._common import durable as _durable
+from ._words import SPACES, Chunk, chunks, run_hashes, sliding_argmin
 
 GRAM = 10
 BLOCK_SCHEMA = "fp bigint, bh bigint, doc_id bigint, tag int, start int, n int"
@@ -46,7 +50,6 @@ def release(spark: SparkSession) -> None:
 
 def _blocks(c: Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, block hash, text, first window (word of the chunk) and number of windows of each block."""
-    starts, _ = np.arange(0), None
     counts = c.counts()
     n = len(c.starts)
     none = np.zeros(0, np.int64)
@@ -57,14 +60,15 @@ def _blocks(c: Chunk, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     if not len(starts):
         return none, none, none, none, none
     grams = run_hashes(c.hashes, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-    anchor = starts + np.lib.stride_tricks.sliding_window_view(grams, window - GRAM + 1)[starts].argmin(axis=1)
+    anchor = sliding_argmin(grams, window - GRAM + 1)[starts]
     text = np.repeat(np.arange(c.n), counts)[starts]
     edge = np.ones(len(starts), bool)
     edge[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1) | (text[1:] != text[:-1])
     first = np.flatnonzero(edge)
     size = np.diff(np.append(first, len(starts)))
     begin = starts[first]
-    whole = run_hashes(c.hashes ^ np.uint64(0xD6E8FEB86659FD93), begin, begin + size + window - 1, 1)
+    spelled, first_byte, last_byte = c.spelled()
+    whole = run_hashes(spelled, first_byte[begin], last_byte[begin + size + window - 2], 1)
     # the anchor's place in the block is part of its identity
     whole = whole ^ ((anchor[first] - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return grams[anchor[first]].view(np.int64), whole.view(np.int64), text[first], begin, size
@@ -100,7 +104,8 @@ def _find_windows(window: int):
                 starts = np.repeat(b - np.cumsum(s) + s, s) + np.arange(int(s.sum()))
                 which = np.repeat(text[pick], s)
                 h1 = run_hashes(c.hashes, starts, starts + window) if len(starts) else np.zeros(0, np.uint64)
-                h2 = run_hashes(c.hashes ^ np.uint64(0xD6E8FEB86659FD93), starts, starts + window, 1) if len(starts) else np.zeros(0, np.uint64)
+                spelled, first_byte, last_byte = c.spelled()
+                h2 = run_hashes(spelled, first_byte[starts], last_byte[starts + window - 1], 1) if len(starts) else np.zeros(0, np.uint64)
                 rows = pa.array(which + c.lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array((starts - c.at[which]).astype(np.int32))],
@@ -139,66 +144,69 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class FingerprintIndex:
     """The runs, oldest first, in the shared folder. ``add`` takes documents with ids above all of history's."""
 
-    def __init__(self, spark: SparkSession, window: int = 50, max_runs: int = 1):
-        self.spark, self.window, self.max_runs = spark, window, max_runs
-        self.runs: list[str] = []
+    def __init__(self, spark: SparkSession, window: int = 50, fanout: int = 2):
+        self.spark, self.window, self.fanout = spark, window, fanout
+        self.runs: list[tuple[int, str]] = []  # tier, path
+
+    def _read(self, paths: list[str]) -> DataFrame | None:
+        return self.spark.read.schema("fp bigint, bh bigint, m bigint").parquet(*paths) if paths else None
 
     def history(self) -> DataFrame | None:
-        frames = [self.spark.read.schema("fp bigint, bh bigint, m bigint").parquet(p) for p in self.runs]
-        out = frames[0] if frames else None
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        return self._read([p for _, p in self.runs])
 
-    def _append(self, run: DataFrame) -> DataFrame:
+    def _append(self, run: DataFrame, tier: int = 0) -> None:
         path = durable_path(self.spark, "run")
-        out = durable(run.sortWithinPartitions("fp", "bh"), path=path)
-        self.runs.append(path)
-        return out
-
-    def compact(self) -> None:
-        """Merges all runs into one that keeps the smallest doc_id of each block."""
-        old, self.runs = self.runs, []
-        frames = [self.spark.read.schema("fp bigint, bh bigint, m bigint").parquet(p) for p in old]
-        merged = frames[0]
-        for f in frames[1:]:
-            merged = merged.unionByName(f)
-        self._append(merged.groupBy("fp", "bh").agg(F.min("m").alias("m")))
+        _durable(run.sortWithinPartitions("fp", "bh"), path=path)
+        self.runs.append((tier, path))
+
+    def compact(self, tier: int) -> None:
+        """Merges the runs of a tier into one of the next that keeps the smallest doc_id of each block."""
+        old = [p for t, p in self.runs if t == tier]
+        self._append(self._read(old).groupBy("fp", "bh").agg(F.min("m").alias("m")), tier + 1)
+        self.runs = [(t, p) for t, p in self.runs if p not in old]
         for p in old:
             discard(self.spark, p)
 
     def add(self, batch: DataFrame, store: DataFrame) -> DataFrame:
         """Duplicate spans (doc_id, tag, spans of start and n words) of the batch, which joins the index.
         ``batch``, ``store`` (history and batch): doc_id, tag, text."""
-        w, spark = self.window, self.spark
+        w, spark, used = self.window, self.spark, []
+
+        def durable(df: DataFrame, name: str) -> DataFrame:
+            used.append(durable_path(spark, name))
+            return _durable(df, path=used[-1])
+
         own = durable(batch.where("doc_id IS NOT NULL").mapInArrow(_find_blocks(w), BLOCK_SCHEMA), "blocks")
         lowest = own.agg(F.min("doc_id").alias("m")).first()["m"]
         past = self.history()
-        counted = durable(own.groupBy("fp", "bh").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")), "counted")
+        counted = durable(own.groupBy("fp", "bh").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"), F.count(F.lit(1)).alias("_n")), "counted")
         new = counted.select("fp", "bh", "m")
         if past is None:
-            known, together = counted.where("m <> x").select("fp", "bh", "m"), new
+            known, together = counted.where("m <> x").select("fp", "bh", "m", "_n"), new
         else:
             met = counted.hint("merge").join(past.withColumnRenamed("m", "h"), ["fp", "bh"], "left")
-            known = met.select("fp", "bh", F.least("m", "h").alias("m"), "x").where("m <> x").select("fp", "bh", "m")
+            known = met.select("fp", "bh", F.least("m", "h").alias("m"), "x", "_n").where("m <> x").select("fp", "bh", "m", "_n")
             together = new.unionByName(past.join(new.select("fp").distinct().hint("merge"), "fp", "left_semi"))
-        whole = own.join(known, ["fp", "bh"]).where("doc_id > m").select("doc_id", "tag", "start", (F.col("n") + (w - 1)).alias("n"))
+        whole = hot_join(own, durable(known, "known"), ["fp", "bh"]).where("doc_id > m").select("doc_id", "tag", "start", (F.col("n") + (w - 1)).alias("n"))
         whole = durable(whole, "whole")
         release(spark)
         # anchors with several different blocks, of which one begins in this batch after the first of all
-        by = Window.partitionBy("fp")
         several = together.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("lo"), F.max("m").alias("hi")).where((F.col("k") > 1) & (F.col("lo") < F.col("hi")) & (F.col("hi") >= F.lit(lowest)))
         firsts = together.join(several.select("fp"), "fp").groupBy(F.col("m").alias("doc_id")).agg(F.collect_set(F.struct("bh")).alias("wanted"))
         firsts = durable(firsts, "firsts")
         windows = store.join(firsts, "doc_id").mapInArrow(_find_windows(w), "h1 bigint, h2 bigint, doc_id bigint, tag int, start int")
         windows = durable(windows, "windows")
         release(spark)
-        least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m <> x").select("h1", "h2", "m")
-        single = windows.where(F.col("doc_id") >= F.lit(lowest)).join(least, ["h1", "h2"]).where("doc_id > m").select("doc_id", "tag", "start", F.lit(w).alias("n"))
-        spans = durable(whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
+        least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"), F.count(F.lit(1)).alias("_n")).where("m <> x").select("h1", "h2", "m", "_n")
+        single = hot_join(windows.where(F.col("doc_id") >= F.lit(lowest)), durable(least, "least"), ["h1", "h2"]).where("doc_id > m").select("doc_id", "tag", "start", F.lit(w).alias("n"))
+        spans = _durable(whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
         self._append(new)
-        if len(self.runs) > self.max_runs:
-            self.compact()
+        for path in used:
+            discard(spark, path)
+        tier = 0
+        while sum(t == tier for t, _ in self.runs) >= self.fanout:
+            self.compact(tier)
+            tier += 1
         release(spark)
         return spans
 

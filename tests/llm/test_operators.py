@@ -420,7 +420,28 @@ def test_substring(spark, small, rows, nasty):
     assert substring.dedup_substrings(nasty.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("n_batches", [1, 3])
+def test_word_windows_of_long_arrays(monkeypatch):
+    """Slabs and linear minima give what the plain forms give."""
+    import numpy as np
+
+    from sievework.llm import _words
+
+    rng = np.random.default_rng(3)
+    for n, width in ((5, 5), (100, 7), (1000, 41), (999, 2)):
+        v = rng.integers(0, 30, n).astype(np.uint64)
+        want = np.arange(n - width + 1) + np.lib.stride_tricks.sliding_window_view(v, width).argmin(axis=1)
+        assert (_words.sliding_argmin(v, width) == want).all()
+    v = rng.integers(0, 255, 5000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 4900, 300))
+    plain = _words.run_hashes(v, starts, starts + 70)
+    monkeypatch.setattr(_words, "CHUNK_BYTES", 256)
+    assert (_words.run_hashes(v, starts, starts + 70) == plain).all()
+    (c,) = _words.chunks(__import__("pyarrow").array([" a  bc\n", None, "d"]))
+    spelled, first, last = c.spelled()
+    assert spelled.tobytes() == b"a bc d " and first.tolist() == [0, 2, 5] and last.tolist() == [1, 4, 6]
+
+
+@pytest.mark.parametrize("n_batches", [1, 5])
 def test_substring_small_windows(spark, n_batches):
     import random
 
