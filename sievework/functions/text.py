@@ -3,6 +3,7 @@ expression (Unicode normal forms)."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,8 +16,11 @@ ROT = LOWER[13:] + LOWER[:13]
 # Code points that the cleaner removes, and Cyrillic letters it folds to Latin ones.
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{00AD}\x{FE00}-\x{FE0F}\x{E0000}-\x{E007F}\x{E0100}-\x{E01EF}]"
 HOMOGLYPHS = ("аеорсхіѕӏ", "aeorcxisl")
-#: Common English words that tell plain text from its rotation.
-ENGLISH = ["the", "is", "of", "and", "to", "in", "a", "that", "it", "for", "what", "how", "this", "are", "with"]
+# Common English words of two letters or more that tell plain text from its rotation.
+ENGLISH = [
+    "an", "and", "are", "as", "be", "can", "could", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the",
+    "this", "to", "what", "when", "where", "which", "with", "would", "you", "your",
+]
 
 
 def let(value: Column, use) -> Column:
@@ -39,7 +43,7 @@ def plausible(t: Column, least: float = 0.85) -> Column:  # X03
 
 
 def english_score(t: Column, markers: list[str] = ENGLISH) -> Column:  # X04
-    return F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0)), lambda w: w.isin(list(markers))))
+    return F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{2,}"), F.lit(0)), lambda w: w.isin(list(markers))))
 
 
 def rot13(t: Column) -> Column:
@@ -47,8 +51,8 @@ def rot13(t: Column) -> Column:
 
 
 def decode_rot13(t: Column) -> Column:  # X05
-    turned = rot13(t)
-    return F.when(english_score(turned) > english_score(t), turned)
+    """The rotation, where it is plausible, differs and reads more like English."""
+    return let(rot13(t), lambda turned: F.when(plausible(turned) & (turned != t) & (english_score(turned) > english_score(t)), turned))
 
 
 def _as_text(raw: Column) -> Column:
@@ -93,15 +97,18 @@ def erase_backspaces(t: Column) -> Column:  # X09
 
 
 def strip_marks(t: Column) -> Column:  # X11
-    return F.regexp_replace(t, r"\p{Mn}", "")
+    """Combining marks that stand by themselves; those with a place around the letter count as well as those above."""
+    return F.regexp_replace(t, r"[\p{Mn}\p{Mc}]", "")
 
 
 def normal_form(form: str):  # X10
+    """ASCII is its own normal form: only other texts go to Python."""
+
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None else unicodedata.normalize(form, x))
+        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
 
-    return run
+    return lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), run(F.when(t.rlike(r"[^\x00-\x7F]"), t))).otherwise(t)
 
 
 def normalize_builtin(t: Column) -> Column:
@@ -128,12 +135,18 @@ def ngrams(words: Column, n: int) -> Column:  # X17
 
 def terms(text: Column, words: list[str]) -> Column:  # X18
     """Occurrences of boundary-aware terms, longest first."""
-    body = "|".join(sorted(words, key=lambda x: (-len(x), x)))
+    body = "|".join(re.escape(w) for w in sorted(words, key=lambda x: (-len(x), x)))
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![a-z])(?:{body})(?![a-z])"), F.lit(0))
 
 
 def keyword_any(text: Column, words: list[str]) -> Column:  # F04, F20
-    return F.lower(text).rlike("|".join(words))
+    return F.lower(text).rlike("|".join(map(re.escape, words)))
+
+
+def json_body(t: Column) -> Column:  # X22
+    """The JSON of a fenced block, or else from the first opening bracket to the last closing one; null without any."""
+    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    return F.nullif(F.regexp_extract(F.coalesce(F.nullif(fenced, F.lit("")), t), r"(?s)[\[{].*[\]}]", 0), F.lit(""))
 
 
 def first_filled(*cols: Column) -> Column:  # F03
@@ -164,16 +177,22 @@ def split_k(text: Column, k: int) -> Column:  # W13
 
 
 def ladder(t1u: Column, t1c: Column, t2s: Column, t2w: Column, t3: Column) -> Column:  # F19
-    """The four-tier decision over arrays of matched terms → struct(tier, flag, reason, matched)."""
+    """The four-tier decision over arrays of matched terms → struct(tier, flag, reason, matched). Only a flagged text has
+    a tier. Fixed values: how many matches of a list are shown (5, 3, 2)."""
+    every = F.struct(t1u.alias("u"), t1c.alias("c"), t2s.alias("s"), t2w.alias("w"), t3.alias("x"))
+    return let(every, lambda m: _decision(m["u"], m["c"], m["s"], m["w"], m["x"]))
+
+
+def _decision(t1u: Column, t1c: Column, t2s: Column, t2w: Column, t3: Column) -> Column:
     has = lambda x: F.size(x) > 0
-    out = lambda tier, flag, reason, *m: F.struct(F.lit(tier).alias("tier"), F.lit(flag).alias("flag"), F.lit(reason).alias("reason"), F.concat(*[F.slice(x, 1, n) for x, n in m]).alias("matched"))
+    out = lambda tier, flag, reason, *m: F.struct(F.lit(tier).cast("int").alias("tier"), F.lit(flag).alias("flag"), F.lit(reason).alias("reason"), F.concat(*[F.slice(x, 1, n) for x, n in m]).alias("matched"))
     return (
         F.when(has(t1u), out(1, True, "unconditional", (t1u, 5)))
         .when(has(t1c) & (has(t2s) | has(t2w)), out(1, True, "conditional", (t1c, 3), (F.concat(t2s, t2w), 2)))
-        .when(has(t1c), out(1, False, "conditional alone", (t1c, 3)))
+        .when(has(t1c), out(None, False, "conditional alone", (t1c, 3)))
         .when(has(t2s) & has(t3), out(2, True, "strong with context", (t2s, 3), (t3, 3)))
-        .when(has(t2w) & has(t3), out(2, False, "weak with context", (t2w, 2), (t3, 2)))
-        .when(has(t2s) | has(t2w), out(2, False, "action alone", (F.concat(t2s, t2w), 3)))
-        .when(has(t3), out(3, False, "context alone", (t3, 3)))
-        .otherwise(out(0, False, "none", (t3, 1)))
+        .when(has(t2w) & has(t3), out(None, False, "weak with context", (t2w, 2), (t3, 2)))
+        .when(has(t2s) | has(t2w), out(None, False, "action alone", (F.concat(t2s, t2w), 3)))
+        .when(has(t3), out(None, False, "context alone", (t3, 3)))
+        .otherwise(out(None, False, "none", (t3, 1)))
     )

@@ -51,3 +51,16 @@ def bag_of_words(df: DataFrame, text: str, vocabulary: int = 5000) -> DataFrame:
 
     steps = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+"), StopWordsRemover(inputCol="_tok", outputCol="_kept"), CountVectorizer(inputCol="_kept", outputCol="features", vocabSize=vocabulary)]
     return Pipeline(stages=steps).fit(df).transform(df).drop("_tok", "_kept")
+
+
+def group_contrast(df: DataFrame, key: str, col: str, group: str) -> DataFrame:  # M06
+    """Per group its size and the mean dot product of its pairs (positive), and the mean over all pairs of different
+    groups (negative). Only sums per group and coordinate move."""
+    parts = df.select(F.col(group).alias("g"), key, F.posexplode(col).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    sums = parts.groupBy("g", "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count(F.lit(1)).alias("n"))
+    per = sums.groupBy("g").agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum("q").alias("qq"))
+    total = sums.groupBy("i").agg(F.sum("s").alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("t"))
+    all_ = per.agg(F.sum("n").alias("m"), F.sum("ss").alias("inside"), F.sum(F.col("n") * F.col("n")).alias("nn")).crossJoin(F.broadcast(total))
+    negative = F.round(F.try_divide(F.col("t") - F.col("inside"), (F.col("m") * F.col("m") - F.col("nn")).cast("double")), 6)
+    positive = F.round(F.try_divide(F.col("ss") - F.col("qq"), (F.col("n") * (F.col("n") - 1)).cast("double")), 6)
+    return per.crossJoin(F.broadcast(all_.select(negative.alias("negative")))).select(F.col("g").alias(group), "n", positive.alias("positive"), "negative")

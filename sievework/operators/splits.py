@@ -11,10 +11,33 @@ def hash32(key: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
+def ranked_by(df: DataFrame, order: list[Column], bin_: Column, *by: str) -> DataFrame:
+    """_rn and _n: the place of a row within its stratum and the stratum's size. ``bin_`` must ascend with ``order``:
+    places within a stratum and bin are counted by a window, the rows of the bins before are added. So no stratum is
+    sorted in one task."""
+    rows = df.withColumn("_bin", bin_)
+    per = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_b"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+    on = F.col("_bin") == F.col("_b")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    placed = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order))).join(per, on)
+    return placed.withColumn("_rn", (F.col("_rn") + F.col("_before")).cast("long")).drop("_bin", "_b", "_before", *[f"_by_{c}" for c in by])
+
+
+def numbered(df: DataFrame, key: str, *by: str, bins: int = 64) -> DataFrame:
+    """`ranked_by` in the order of a numeric key, cut at its approximate quantiles."""
+    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / bins) for k in range(1, bins)]), 1000).alias("c")).first()["c"] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    return ranked_by(df, [F.col(key)], at, *by)
+
+
 def ranked(df: DataFrame, key: str, *by: str, seed: int = 42) -> DataFrame:
-    """_rn and _n: the rank of a row by hash within its stratum, and the stratum's size."""
-    w = Window.partitionBy(*by)
-    return df.withColumn("_rn", F.row_number().over(w.orderBy(hash32(F.col(key), seed), F.col(key)))).withColumn("_n", F.count(F.lit(1)).over(w))
+    """_rn and _n: the rank of a row by hash within its stratum, and the stratum's size. Bins are the hash's first
+    bits."""
+    h = hash32(F.col(key), seed)
+    return ranked_by(df, [h, F.col(key)], F.shiftright(h, 22), *by)
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:  # T07
@@ -42,3 +65,15 @@ def first_per_key(df: DataFrame, key: Column, *order: str) -> DataFrame:  # W07
     cols = df.columns
     one = df.groupBy(key.alias("_k")).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return one.select("_r.*")
+
+
+def running_start(df: DataFrame, key: str, size: str, bins: int = 64) -> DataFrame:  # W14
+    """_start: the sum of the sizes of all rows before, in the order of a numeric key, summed in bins and over bins."""
+    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / bins) for k in range(1, bins)]), 1000).alias("c")).first()["c"] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    rows = df.withColumn("_bin", at)
+    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(F.col("_bin").alias("_b")).agg(F.sum(size).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_bin").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum(size).over(within), F.lit(0)))
+    return rows.join(per, F.col("_bin") == F.col("_b")).withColumn("_start", F.col("_in") + F.col("_before")).drop("_bin", "_b", "_in", "_before")

@@ -13,17 +13,33 @@ from pyspark.sql import types as T
 from .metrics import cells
 
 
+def _beta_fraction(x: float, a: float, b: float) -> float:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    out = d
+    for i in range(1, 100_000):
+        for num in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+            d, c = 1.0 / ((1 + num * d) or tiny), (1 + num / c) or tiny
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return out
+
+
 def _binom_tail(k: int, n: int, p: float) -> float:
-    """P(X >= k)."""
+    """P(X >= k), the regularised incomplete beta function I_p(k, n - k + 1): its cost does not grow with the counts."""
     if k <= 0:
         return 1.0
-    if p <= 0:
+    if p <= 0 or k > n:
         return 0.0
     if p >= 1:
         return 1.0
-    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p) for i in range(k, n + 1)]
-    m = max(terms)
-    return min(1.0, math.exp(m) * sum(math.exp(t - m) for t in terms))
+    a, b = float(k), float(n - k + 1)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(p) + b * math.log1p(-p))
+    if p < (a + 1) / (a + b + 2):
+        return min(1.0, front * _beta_fraction(p, a, b) / a)
+    return max(0.0, 1.0 - front * _beta_fraction(1 - p, b, a) / b)
 
 
 def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:

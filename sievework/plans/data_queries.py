@@ -52,9 +52,11 @@ def s19_manifest(spark, d):
     return readers.manifest(j, "block", "toxic")
 
 
-@query("SELECT count(*) AS n_total, least(count(*), 100) AS n_saved, count(*) > 100 AS truncated FROM documents")
+@query("WITH m AS (SELECT count(*) AS n_total, least(count(*), 100) AS n_saved, count(*) > 100 AS truncated FROM documents) SELECT doc_id, n_total, n_saved, truncated FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 100), m")
 def s20_retention(spark, d):
-    return readers.retained(docs(spark, d).select("doc_id"), "doc_id", 100)[1]
+    """The kept rows, each with the numbers of the whole."""
+    kept, meta = readers.retained(docs(spark, d).select("doc_id"), "doc_id", 100)
+    return kept.crossJoin(F.broadcast(meta))
 
 
 @query("SELECT o_orderkey, coalesce(c_name, '') AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'")
@@ -128,18 +130,20 @@ def j11_variant_cross(spark, d):
     return table(spark, d, "benchmark").select("item_id", "text", F.inline(v)).select("item_id", "variant", "label", F.concat("text", "suffix").alias("text"))
 
 
-PEERS = [("A", 0.933, 0.142), ("B", 0.921, 0.194), ("C", 0.904, 0.100), ("D", 0.880, 0.123), ("E", 0.851, 0.052), ("F", 0.615, 0.033)]
+PARETO = f"WITH {SCORED}, p AS (SELECT source AS name, round(avg((prob >= 0.5::DOUBLE)::INTEGER) FILTER (label = 1), 6) AS recall, round(avg((prob >= 0.5::DOUBLE)::INTEGER) FILTER (label = 0), 6) AS over_refusal FROM scored GROUP BY source HAVING count(*) FILTER (label = 1) > 0 AND count(*) FILTER (label = 0) > 0) SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.over_refusal <= a.over_refusal AND b.recall >= a.recall AND (b.over_refusal < a.over_refusal OR b.recall > a.recall))"
 
 
-@query("WITH p(name, recall, over_refusal) AS (VALUES " + ", ".join(f"('{a}', {b}::DOUBLE, {c}::DOUBLE)" for a, b, c in PEERS) + ") SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM p b WHERE b.over_refusal <= a.over_refusal AND b.recall >= a.recall AND (b.over_refusal < a.over_refusal OR b.recall > a.recall))")
+@query(PARETO)
 def j13_pareto(spark, d):
-    """Sorted by cost, a point is on the frontier if no earlier one reaches its recall: a running maximum instead of
-    comparing all pairs."""
-    p = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("recall"), F.lit(c).alias("over_refusal")) for a, b, c in PEERS])))
+    """Recall against over-refusal by source. Sorted by cost, a point is on the frontier if no earlier one reaches its
+    recall: a running maximum instead of comparing all pairs."""
+    flag = (F.col("prob") >= 0.5).cast("int")
+    rate = lambda y: F.round(F.avg(F.when(F.col("label") == y, flag)), 6)
+    p = scored(spark, d).groupBy(F.col("source").alias("name")).agg(rate(1).alias("recall"), rate(0).alias("over_refusal")).where("recall IS NOT NULL AND over_refusal IS NOT NULL")
     best = p.groupBy("over_refusal").agg(F.max("recall").alias("recall"))
     cheaper = F.max("recall").over(Window.orderBy("over_refusal").rowsBetween(Window.unboundedPreceding, -1))
     front = best.withColumn("c", cheaper).where(F.col("c").isNull() | (F.col("c") < F.col("recall"))).drop("c")
-    return p.join(F.broadcast(front), ["over_refusal", "recall"]).select("name", "recall", "over_refusal")
+    return p.join(decon.bounded_broadcast(front, 100_000), ["over_refusal", "recall"]).select("name", "recall", "over_refusal")
 
 
 @query("SELECT event_id, coalesce(json_extract_string(props, '$.variant'), json_extract_string(props, '$.page'), 'none') AS picked FROM events")
@@ -226,12 +230,12 @@ def d16_stratified_split(spark, d):
     return r.select("doc_id", F.when(F.col("_rn") <= F.greatest(F.lit(1), F.floor(F.col("_n") * 0.1)), "val").otherwise("train").alias("split"))
 
 
-@query("SELECT f.lang AS fold, count(*) AS n, count(*) FILTER (d.lang = f.lang) AS n_test FROM documents d, (SELECT DISTINCT lang FROM documents) f GROUP BY f.lang")
+@query("SELECT f.lang AS fold, d.doc_id, d.lang = f.lang AS is_test FROM documents d, (SELECT DISTINCT lang FROM documents) f")
 def d18_lodo_folds(spark, d):
-    """Leave one language out. The folds are counted from the groups, not from rows times folds."""
-    per = docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n_test"))
-    total = per.agg(F.sum("n_test").alias("n"))
-    return per.crossJoin(F.broadcast(total)).select(F.col("lang").alias("fold"), "n", "n_test")
+    """Leave one language out: every row in every fold. The folds are a dimension of checked size."""
+    t = docs(spark, d).select("doc_id", "lang")
+    folds = decon.bounded_broadcast(t.select(F.col("lang").alias("fold")).distinct(), 1000)
+    return t.crossJoin(folds).select("fold", "doc_id", (F.col("lang") == F.col("fold")).alias("is_test"))
 
 
 @query(f"WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {HASH32.format('doc_id')}, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, CASE WHEN n <= 5 THEN 'train' WHEN rn <= greatest(3, n - floor(n * 0.8::DOUBLE)) THEN 'held_out' ELSE 'train' END AS part FROM r")
@@ -316,38 +320,42 @@ def w08_stride_sample(spark, d):
 
 @query("SELECT doc_id, CASE WHEN (row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1) % 2 = 0 THEN 'a' ELSE 'b' END AS half FROM labels")
 def w09_alternate_split(spark, d):
-    i = F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id")) - 1
-    return table(spark, d, "labels").select("doc_id", F.when(i % 2 == 0, "a").otherwise("b").alias("half"))
+    t = splits.numbered(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "toxic")
+    return t.select("doc_id", F.when((F.col("_rn") - 1) % 2 == 0, "a").otherwise("b").alias("half"))
 
 
-@query("SELECT source, doc_id, nth FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents) WHERE nth <= 3")
+@query("SELECT source, doc_id, nth FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents)")
 def w06_ith_element(spark, d):
-    return docs(spark, d).select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("nth")).where("nth <= 3")
+    return splits.numbered(docs(spark, d).select("source", "doc_id"), "doc_id", "source").select("source", "doc_id", F.col("_rn").alias("nth"))
 
 
-@query()
+@query("WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, floor(coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 32)::BIGINT AS batch FROM g) SELECT conv_id, turn, batch FROM conversations JOIN s USING (conv_id)")
 def w14_group_batches(spark, d):
     """Groups packed into batches of about 32 rows, none cut: the group goes to the batch its running start is in.
     Group sizes are summed first; only they are ordered."""
     t = table(spark, d, "conversations").select("conv_id", "turn")
-    g = t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    start = F.coalesce(F.sum("n").over(Window.orderBy("conv_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return t.join(g.select("conv_id", F.floor(start / 32).alias("batch")), "conv_id")
+    g = splits.running_start(t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "conv_id", "n")
+    return t.join(g.select("conv_id", F.floor(F.col("_start") / 32).alias("batch")), "conv_id")
 
 
-@query("SELECT n_name, p.item_id, '[' || n_name || '] ' || p.text AS prompt FROM nation, (SELECT * FROM benchmark WHERE item_id < 5) p WHERE n_nationkey < 4")
+@query("WITH p AS (SELECT n_nationkey * 1000000 + item_id AS key, n_name, item_id, '[' || n_name || '] ' || text AS prompt FROM nation, benchmark), f AS (SELECT min(key) AS key FROM p GROUP BY " + NORM.format("prompt") + f") SELECT n_name, item_id, prompt FROM p JOIN f USING (key) WHERE " + NORM.format("prompt") + " NOT IN (SELECT " + NORM.format("text") + f" FROM benchmark) ORDER BY {HASH32.format('key')}, key LIMIT 500")
 def g02_template_product(spark, d):
-    """Frames x topics, both of a stated small size."""
-    topics = table(spark, d, "benchmark").where("item_id < 5").select("item_id", "text")
-    frames = table(spark, d, "nation").where("n_nationkey < 4").select("n_name")
-    return topics.crossJoin(F.broadcast(frames)).select("n_name", "item_id", F.concat(F.lit("["), "n_name", F.lit("] "), "text").alias("prompt"))
+    """Frames x topics, the first of each normalised prompt, without those that equal a benchmark item, shuffled by hash
+    and capped. The frames are a dimension of checked size."""
+    frames = decon.bounded_broadcast(table(spark, d, "nation").select("n_nationkey", "n_name"), 10_000)
+    p = table(spark, d, "benchmark").select("item_id", "text").crossJoin(frames)
+    p = p.select((F.col("n_nationkey") * 1000000 + F.col("item_id")).alias("key"), "n_name", "item_id", F.concat(F.lit("["), "n_name", F.lit("] "), "text").alias("prompt"))
+    p = p.withColumn("k", F.md5(x.collapse(F.col("prompt"))))
+    first = splits.first_per_key(p, F.col("k"), "key")
+    taken = table(spark, d, "benchmark").select(F.md5(x.collapse(F.col("text"))).alias("k")).distinct()
+    return splits.sample(first.join(taken, "k", "left_anti"), "key", 500).select("n_name", "item_id", "prompt")
 
 
 @query("SELECT doc_id, style FROM (SELECT doc_id, ['formal', 'casual', 'terse'][(row_number() OVER (ORDER BY doc_id) - 1) % 3 + 1] AS style FROM labels WHERE toxic = 1)")
 def g01_round_robin(spark, d):
-    i = F.row_number().over(Window.orderBy("doc_id")) - 1
     styles = F.array(*map(F.lit, ["formal", "casual", "terse"]))
-    return table(spark, d, "labels").where("toxic = 1").select("doc_id", F.element_at(styles, i % 3 + 1).alias("style"))
+    t = splits.numbered(table(spark, d, "labels").where("toxic = 1").select("doc_id"), "doc_id")
+    return t.select("doc_id", F.element_at(styles, ((F.col("_rn") - 1) % 3 + 1).cast("int")).alias("style"))
 
 
 @query()
@@ -357,10 +365,11 @@ def m01_bow_predictability(spark, d):
     return p.select("doc_id", F.round("p", 6).alias("p_unsafe"), (F.when(F.col("label") == 1, F.col("p")).otherwise(1 - F.col("p")) > 0.9).alias("trivial"))
 
 
-@query("SELECT label, count(*) AS n_groups, round(sum(s), 6) AS sum_dot FROM (SELECT label, count(*) AS n, sum(embedding[1]::DOUBLE * embedding[2]::DOUBLE) AS s FROM embeddings GROUP BY label) GROUP BY label")
-def m06_group_dots(spark, d):
-    e = table(spark, d, "embeddings").groupBy("label").agg(F.sum(F.get("embedding", F.lit(0)).cast("double") * F.get("embedding", F.lit(1)).cast("double")).alias("s"))
-    return e.select("label", F.lit(1).cast("long").alias("n_groups"), F.round("s", 6).alias("sum_dot"))
+@query("WITH p AS (SELECT label, vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), g AS (SELECT label, i, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM p GROUP BY label, i), a AS (SELECT label, max(n) AS n, sum(s * s) AS ss, sum(q) AS qq FROM g GROUP BY label), t AS (SELECT sum(s * s) AS ss FROM (SELECT i, sum(s) AS s FROM g GROUP BY i)), m AS (SELECT label, n, ss, qq, sum(n) OVER () AS total, sum(ss) OVER () AS inside FROM a) SELECT label, n, round((ss - qq) / nullif(n * (n - 1), 0), 6) AS positive, (SELECT round((t.ss - max(inside)) / nullif(sum(n * (total - n)), 0), 6) FROM m, t GROUP BY t.ss) AS negative FROM m")
+def m06_group_contrast(spark, d):
+    """Mean dot product of all pairs within a group, and of all pairs across groups, over whole vectors. Sums of
+    vectors give both, so no pair is formed: the pairs of a group add up to |sum|^2 less the squares of its members."""
+    return ml.group_contrast(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
 @query()

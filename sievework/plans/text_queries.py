@@ -126,7 +126,7 @@ def _re(words):
     return "(^|[^a-z])(" + "|".join(words) + ")($|[^a-z])"
 
 
-@query(f"WITH m AS (SELECT doc_id, regexp_matches(lower(text), '{_re(['idiot'])}') AS u, regexp_matches(lower(text), '{_re(['moron'])}') AS c, regexp_matches(lower(text), '{_re(['stupid'])}') AS s, regexp_matches(lower(text), '{_re(['clown'])}') AS w, regexp_matches(lower(text), '{_re(['the', 'and'])}') AS x FROM documents) SELECT doc_id, CASE WHEN u THEN 1 WHEN c AND (s OR w) THEN 1 WHEN c THEN 1 WHEN s AND x THEN 2 WHEN w AND x THEN 2 WHEN s OR w THEN 2 WHEN x THEN 3 ELSE 0 END AS tier, CASE WHEN u THEN true WHEN c AND (s OR w) THEN true WHEN c THEN false WHEN s AND x THEN true ELSE false END AS flag FROM m")
+@query(f"WITH m AS (SELECT doc_id, regexp_matches(lower(text), '{_re(['idiot'])}') AS u, regexp_matches(lower(text), '{_re(['moron'])}') AS c, regexp_matches(lower(text), '{_re(['stupid'])}') AS s, regexp_matches(lower(text), '{_re(['clown'])}') AS w, regexp_matches(lower(text), '{_re(['the', 'and'])}') AS x FROM documents) SELECT doc_id, CASE WHEN u THEN 1 WHEN c AND (s OR w) THEN 1 WHEN c THEN NULL WHEN s AND x THEN 2 END AS tier, CASE WHEN u THEN true WHEN c AND (s OR w) THEN true WHEN c THEN false WHEN s AND x THEN true ELSE false END AS flag FROM m")
 def f19_lexicon_ladder(spark, d):
     t = F.col("text")
     out = docs(spark, d).select("doc_id", x.ladder(x.terms(t, ["idiot"]), x.terms(t, ["moron"]), x.terms(t, ["stupid"]), x.terms(t, ["clown"]), x.terms(t, ["the", "and"])).alias("v"))
@@ -158,31 +158,43 @@ def f24_metadata_cascade(spark, d):
     return scored(spark, d).select("item_id", F.when(F.col("source") == "src1", a | b).otherwise(b).alias("flag"))
 
 
-@query("SELECT doc_id, sha256(translate(translate(text, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM'), '', '')) AS digest FROM documents")
+ROT_SQL = "translate({0}, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'nopqrstuvwxyzabcdefghijklmNOPQRSTUVWXYZABCDEFGHIJKLM')"
+SCORE_SQL = "len(list_filter(regexp_extract_all(lower({0}), '[a-z]{{2,}}'), lambda w: list_contains([" + ", ".join(f"'{w}'" for w in x.ENGLISH) + "], w)))"
+PLAUSIBLE_SQL = "(length({0}) >= 3 AND length({0}) - len(regexp_extract_all({0}, '[\\p{{C}}\\x{{FFFD}}]')) >= length({0}) * 0.85::DOUBLE)"
+
+
+@query(f"WITH r AS (SELECT doc_id, text, doc_id % 2 = 1 AS coded, CASE WHEN doc_id % 2 = 1 THEN {ROT_SQL.format('text')} ELSE text END AS given FROM documents), t AS (SELECT *, {ROT_SQL.format('given')} AS turned FROM r), c AS (SELECT *, {PLAUSIBLE_SQL.format('turned')} AND turned <> given AND {SCORE_SQL.format('turned')} > {SCORE_SQL.format('given')} AS fires FROM t) SELECT doc_id, coalesce(fires, false) AS decoded, sha256(CASE WHEN fires THEN turned ELSE given END) AS digest FROM c")
 def x05_rot13(spark, d):
-    return docs(spark, d).select("doc_id", sha(x.rot13(F.col("text"))).alias("digest"))
+    """Every other text comes rotated; the decoder turns back what then reads more like English, and nothing else."""
+    given = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 2 == 1, x.rot13(F.col("text"))).otherwise(F.col("text")).alias("given"))
+    out = given.withColumn("turned", x.decode_rot13(F.col("given")))
+    return out.select("doc_id", F.col("turned").isNotNull().alias("decoded"), sha(F.coalesce("turned", "given")).alias("digest"))
+
 
+CODED_SQL = "SELECT conv_id, turn, sha256(CASE WHEN length(coded) >= 20 AND " + PLAUSIBLE_SQL.format("text") + " THEN text ELSE coded END) AS digest FROM (SELECT conv_id, turn, coalesce(text, '') AS text, {0} AS coded FROM conversations)"
 
-@query("SELECT conv_id, turn, sha256(text) AS digest FROM conversations WHERE length(text) BETWEEN 30 AND 4000")
+
+@query(CODED_SQL.replace("{0}", "to_base64(encode(coalesce(text, '')))"))
 def x06_base64_roundtrip(spark, d):
-    """Base64 of a text decodes to it; what would not be plausible text stays encoded and would differ."""
-    t = table(spark, d, "conversations").where("length(text) BETWEEN 30 AND 4000")
+    """Base64 of a text decodes to it; what is too short or no plausible text stays encoded."""
+    t = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     coded = F.replace(F.replace(F.base64(F.encode("text", "UTF-8")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(""))
     return t.select("conv_id", "turn", sha(F.coalesce(x.decode_base64(coded), coded)).alias("digest"))
 
 
-@query("SELECT conv_id, turn, sha256(text) AS digest FROM conversations WHERE length(text) BETWEEN 30 AND 4000")
+@query(CODED_SQL.replace("{0}", "hex(encode(coalesce(text, '')))"))
 def x08_hex_roundtrip(spark, d):
-    t = table(spark, d, "conversations").where("length(text) BETWEEN 30 AND 4000")
+    t = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     coded = F.hex(F.encode("text", "UTF-8"))
     return t.select("conv_id", "turn", sha(F.coalesce(x.decode_hex(coded), coded)).alias("digest"))
 
 
-@query("SELECT conv_id, turn, sha256(text) AS digest FROM conversations WHERE length(text) >= 3")
+@query("SELECT conv_id, turn, sha256(CASE WHEN " + PLAUSIBLE_SQL.format("text") + " THEN text ELSE replace(replace(text, '%', '%25'), ' ', '%20') END) AS digest FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def x07_url_roundtrip(spark, d):
-    t = table(spark, d, "conversations").where("length(text) >= 3")
-    coded = F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))
-    return t.select("conv_id", "turn", sha(F.when(coded.rlike("%[0-9A-F]{2}"), x.decode_url(coded)).otherwise(coded)).alias("digest"))
+    """Blanks and percent signs are escaped; the decoder undoes it where the result is plausible text."""
+    t = table(spark, d, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    coded = F.replace(F.replace("text", F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
+    return t.select("conv_id", "turn", sha(F.coalesce(x.decode_url(coded), coded)).alias("digest"))
 
 
 @query()
@@ -222,9 +234,12 @@ def x28_ids(spark, d):
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+')) + len(regexp_extract_all(regexp_replace(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+', '<EMAIL>', 'g'), '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')) AS n_subs, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+', '<EMAIL>', 'g'), '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', '<IP>', 'g')) AS digest FROM documents")
 def x24_redact(spark, d):
-    e, ip = r"[A-Za-z0-9.]+@[A-Za-z0-9.]+", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
-    once = F.regexp_replace("text", e, "<EMAIL>")
-    return docs(spark, d).select("doc_id", (F.regexp_count("text", F.lit(e)) + F.regexp_count(once, F.lit(ip))).cast("long").alias("n_subs"), sha(F.regexp_replace(once, ip, "<IP>")).alias("digest"))
+    # possessive forms that never start within a word: linear on long runs
+    e, ip = r"(?:\G|(?<![A-Za-z0-9.]))[A-Za-z0-9.]++@[A-Za-z0-9.]++", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+    gate = lambda t, c, p, r: F.when(F.contains(t, F.lit(c)), F.regexp_replace(t, p, r)).otherwise(t)
+    done = x.let(gate(F.col("text"), "@", e, "<EMAIL>"), lambda once: F.struct(F.regexp_count(once, F.lit(ip)).alias("n"), sha(F.regexp_replace(once, ip, "<IP>")).alias("digest")))
+    rows = docs(spark, d).select("doc_id", F.when(F.contains("text", F.lit("@")), F.regexp_count("text", F.lit(e))).otherwise(0).alias("n"), done.alias("done"))
+    return rows.select("doc_id", (F.col("n") + F.col("done.n")).cast("long").alias("n_subs"), "done.digest")
 
 
 @query("SELECT conv_id, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest, count(*) AS n_turns FROM conversations GROUP BY conv_id")
@@ -238,10 +253,13 @@ def x27_truncate(spark, d):
     return docs(spark, d).select("doc_id", F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text")).alias("text"))
 
 
-@query("SELECT event_id, props AS body FROM events")
+@query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN '[' || props || ',' || props || ']' ELSE props END AS body, CASE event_id % 3 WHEN 2 THEN 2 ELSE 1 END AS n FROM events")
 def x22_json_from_prose(spark, d):
-    prose = F.concat(F.lit("Here is the result: "), F.col("props"), F.lit(" as asked."))
-    return table(spark, d, "events").select("event_id", F.regexp_extract(prose, r"(?s)[\[{].*[\]}]", 0).alias("body"))
+    """A fenced block, an object in prose or an array in prose → its JSON and how many objects it holds."""
+    p, k = F.col("props"), F.col("event_id") % 3
+    prose = F.when(k == 0, F.concat(F.lit("Sure:\n```json\n"), p, F.lit("\n```\nDone {so}."))).when(k == 1, F.concat(F.lit("Here is the result: "), p, F.lit(" as asked."))).otherwise(F.concat(F.lit("All of them: ["), p, F.lit(","), p, F.lit("]\n")))
+    body = table(spark, d, "events").select("event_id", x.json_body(prose).alias("body"))
+    return body.select("event_id", "body", F.coalesce(F.json_array_length("body"), F.lit(1)).alias("n"))
 
 
 @query("SELECT doc_id, sha256(replace(replace(lower(text), 'idiot', '[MASK]'), 'clown', '[MASK]')) AS digest FROM documents")
@@ -305,7 +323,7 @@ def x38_correct_choice(spark, d):
 
 @query("SELECT conv_id, turn, role, length(text)::BIGINT AS n FROM conversations")
 def x39_flatten_bundles(spark, d):
-    bundles = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("q"))
+    bundles = table(spark, d, "conversations").select("conv_id", F.array(F.struct("turn", "role", "text")).alias("q"))
     return bundles.select("conv_id", F.inline("q")).select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
 
 
@@ -319,18 +337,15 @@ def w12_token_windows(spark, d):
     return parts.select("doc_id", F.col("nth").cast("long").alias("nth"), F.size("w").cast("long").alias("n"), sha(F.array_join("w", " ")).alias("digest"))
 
 
-@query()
+SENTENCES = "string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))"
+
+
+@query(f"WITH s AS (SELECT conv_id, turn, {SENTENCES} AS s FROM conversations), c AS (SELECT conv_id, turn, s, unnest(range(0, 3)) AS i FROM s) SELECT conv_id, turn, i::INTEGER AS part, sha256(array_to_string(s[round_even(i * len(s) / 3.0::DOUBLE, 0)::INTEGER + 1 : round_even((i + 1) * len(s) / 3.0::DOUBLE, 0)::INTEGER], ' ')) AS digest FROM c")
 def w13_sentence_chunks(spark, d):
     rows = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(x.split_k(F.col("text"), 3)).alias("part", "chunk"))
     return rows.select("conv_id", "turn", "part", sha("chunk").alias("digest"))
 
 
-@query(f"WITH {SCORED}, k AS (SELECT item_id, i, prob >= i / 4.0::DOUBLE AS flag FROM scored, range(1, 4) r(i)) SELECT item_id, bool_or(flag) AS any_flag FROM k GROUP BY item_id")
-def m18_any_chunk(spark, d):
-    k = scored(spark, d).select("item_id", "prob", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("i"))
-    return k.groupBy("item_id").agg(F.bool_or(F.col("prob") >= F.col("i") / 4.0).alias("any_flag"))
-
-
 @query("SELECT perturbation, count(*) AS n, count(*) AS recovered FROM (SELECT doc_id, unnest(['double_space', 'rot13_twice', 'zero_width']) AS perturbation FROM documents) GROUP BY 1")
 def p01_roundtrip(spark, d):
     """Perturbations that normalisation undoes exactly: the recovery rate is complete."""
