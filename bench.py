@@ -8,8 +8,8 @@ import time
 from sievework import registry
 from sievework.session import local_session, prepare
 
-HEADLINE = ["d11_ngram_decontamination", "a05_full_metrics", "a09_threshold_sweep", "a29_spearman", "f19_lexicon_ladder", "x24_redact", "j03_anti_composite", "j09_tier_match", "d12_group_split", "t08_stratified_sample", "st_sessions"]
-CORPUS = ["op8_mixing", "op9_decontamination", "op10_url_filters"]
+HEADLINE = ["d11_ngram_decontamination", "a05_full_metrics", "a09_threshold_sweep", "a29_spearman", "f19_lexicon_ladder", "x24_redact", "j03_anti_composite", "j09_tier_match", "d12_group_split", "t08_stratified_sample", "st_sessions", "m03_batch_scores", "m04_sliding_scores", "p04_suite", "d21_augmentation_blocks", "d25_pool"]
+CORPUS = ["op1_pii", "op2_quality", "op3_near_dedup", "op4_line_dedup", "op5_sharding", "op6_toxicity", "op7_substring_dedup", "op8_mixing", "op9_decontamination", "op10_url_filters", "pipeline"]
 
 
 def main() -> None:

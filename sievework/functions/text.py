@@ -123,6 +123,11 @@ def normalize(t: Column) -> Column:  # X12
     return normal_form("NFKC")(normalize_builtin(t))
 
 
+def release_normalize(t: Column) -> Column:  # X15
+    """The short form: invisible characters, standalone marks, NFKC."""
+    return normal_form("NFKC")(strip_marks(strip_invisible(t)))
+
+
 def collapse(t: Column) -> Column:  # X16
     return F.trim(F.regexp_replace(F.lower(t), r"\s+", " "))
 
