@@ -131,6 +131,18 @@ def hot_join(big: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     return met.unionByName(cold)
 
 
+def salt_hot(big: DataFrame, counts: DataFrame, key: str, place: Column) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``big`` with a ``_salt``, and a function that spreads a table of unique keys over the salts, for a join on both.
+    ``counts``: durable (key, _n). The rows of a hot key (see `hot_join`) are dealt by their ``place`` over as many
+    salts as it is times too large, so that the copies of hot keys number at most twice `HOT_KEYS` in all."""
+    total = counts.agg(F.sum("_n").alias("n")).first()["n"] or 0
+    limit = max(1000, total // HOT_KEYS)
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_k")))
+    k = F.coalesce("_k", F.lit(1))
+    salted = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(place, F.lit(13)), k).cast("int")).drop("_k")
+    return salted, lambda one: one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), k - 1))).drop("_k")
+
+
 def lookup(big: DataFrame, one: DataFrame, keys: list[str], place: Column, rows: int, how: str = "inner") -> DataFrame:
     """``big`` joined with ``one`` (durable, each key once): broadcast within the bound, otherwise salted."""
     return big.join(F.broadcast(one), keys, how) if small(one, rows) else salted_join(big, one, keys, place, how)

@@ -15,7 +15,7 @@
    exact way for the rest.
 
 A hot bucket costs one pair a member. Keys that hold many rows (hubs, hot buckets, frequent shingles) are counted first
-and joined by a broadcast of bounded size; only ids, sketches of candidates and the texts of candidate pairs move.
+and joined by a broadcast of bounded size or salted; only ids, sketches of candidates and the texts of candidate pairs move.
 
 Defined results: null and empty texts have the empty set and stand alone; with fewer words than a shingle the whole
 sequence is the one shingle; a null doc_id stands alone with a null component; rows with the same doc_id are one
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, durable, durable_path, hot_join, maybe_broadcast
+from ._common import discard, durable, durable_path, hot_join, maybe_broadcast, salt_hot
 from ._words import SPACES, chunks, mix, run_hashes
 
 BUCKETS, ROWS = 512, 8
@@ -178,9 +178,9 @@ def confirm(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int,
     several rows; then a pair is a link if any two of their texts are."""
     s = sketches.select("id", "n", "registers")
     side = lambda x: s.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-    hubs = durable(degree.join(side("a"), "a"), "near-hubs")
-    likely = hot_join(pairs.join(side("b"), "b"), hubs, ["a"]).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimated(threshold), "a bigint, b bigint")
+    degree = durable(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n")), "near-degree")
+    tagged, spread = salt_hot(pairs, degree, "a", F.col("b"))
+    likely = tagged.join(side("b"), "b").join(spread(side("a")), ["a", "_salt"]).select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_estimated(threshold), "a bigint, b bigint")
     return verify(likely.distinct() if repeated else likely, texts, size, threshold, repeated)
 
 
@@ -190,9 +190,10 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int, repeat
     one = texts_of(likely.select(F.explode(F.array("a", "b")).alias("id")), texts)
     if repeated:
         one = one.distinct()
-    degree = likely.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-    first = degree.join(one.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = hot_join(likely.join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b"), durable(first, "near-first"), ["a"])
+    degree = durable(likely.groupBy("a").agg(F.count(F.lit(1)).alias("_n")), "near-degree")
+    tagged, spread = salt_hot(likely, degree, "a", F.col("b"))
+    first = one.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    both = tagged.join(one.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(spread(first), ["a", "_salt"])
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, threshold), "a bigint, b bigint")
 
 

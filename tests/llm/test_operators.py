@@ -189,6 +189,8 @@ def test_hot_keys_join_alike(spark, monkeypatch):
     one = big.groupBy("k").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("_n"))
     want = sorted(map(tuple, big.join(one.drop("_n"), "k").collect()))
     assert sorted(map(tuple, _common.hot_join(big, one, ["k"]).select("k", "id", "top").collect())) == want
+    tagged, spread = _common.salt_hot(big, one.select("k", "_n"), "k", F.col("id"))
+    assert sorted(map(tuple, tagged.join(spread(one.drop("_n")), ["k", "_salt"]).select("k", "id", "top").collect())) == want
 
 
 @pytest.mark.parametrize("n", [20, 60, 150, 300, 700])
