@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,11 +111,14 @@ def normal_form(form: str):  # X10
     return lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), run(F.when(t.rlike(r"[^\x00-\x7F]"), t))).otherwise(t)
 
 
+def decode(t: Column) -> Column:
+    """One layer of the first decoder that fires."""
+    return F.coalesce(decode_url(t), decode_base64(t), decode_hex(t), decode_rot13(t), t)
+
+
 def normalize_builtin(t: Column) -> Column:
     """X12 without the last step, the Unicode normal form: stays inside the JVM."""
-    t = erase_backspaces(strip_invisible(t))
-    t = F.coalesce(decode_url(t), decode_base64(t), decode_hex(t), decode_rot13(t), t)
-    return strip_marks(fold_homoglyphs(t))
+    return strip_marks(fold_homoglyphs(decode(erase_backspaces(strip_invisible(t)))))
 
 
 def normalize(t: Column) -> Column:  # X12
@@ -123,6 +126,14 @@ def normalize(t: Column) -> Column:  # X12
     return normal_form("NFKC")(normalize_builtin(t))
 
 
+def normalize_columns(df: DataFrame, *cols: str) -> DataFrame:
+    """X12 on columns of a table. Each step is a projection of its own, which the optimizer does not merge as the next one
+    uses it more than once: the steps before it are computed once, where a single expression repeats them."""
+    for step in (strip_invisible, erase_backspaces, decode, lambda t: strip_marks(fold_homoglyphs(t)), normal_form("NFKC")):
+        df = df.withColumns({c: step(F.col(c)) for c in cols})
+    return df
+
+
 def release_normalize(t: Column) -> Column:  # X15
     """The short form: invisible characters, standalone marks, NFKC."""
     return normal_form("NFKC")(strip_marks(strip_invisible(t)))
