@@ -318,11 +318,11 @@ def cross_pairs(members: DataFrame, texts: DataFrame, size: int, threshold: int)
     per = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     tops = per.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m")).where("m > top.k")
     cuts = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
-    tops = tops.select("key", F.col("top.c").alias("major"), cuts(F.col("top.k")).alias("n_major"), cuts(F.col("m") - F.col("top.k")).alias("n_minor"))
+    tops = tops.select("key", F.col("top.c").alias("major"), cuts(F.col("top.k")).alias("n_major"), cuts(F.col("m") - F.col("top.k")).alias("n_minor"), F.col("m").alias("_n"))
     is_major, place = F.col("c") == F.col("major"), F.xxhash64("b", F.lit(7))
     at = F.when(is_major, F.col("n_minor") + F.pmod(place, F.col("n_major"))).otherwise(F.pmod(place, F.col("n_minor"))).cast("int")
     others = F.when(is_major, F.col("n_minor")).otherwise(F.col("n_minor") + F.col("n_major"))
-    met = left.join(tops, "key").select("key", "b", "c", at.alias("at"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    met = hot_join(left, durable(tops, "near-tops"), ["key"]).select("key", "b", "c", at.alias("at"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
     met = met.select("key", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "b", "c")
     rows = met.join(sig.drop("digest", "shingles"), met["b"] == sig["id"]).drop("id")
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
