@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .splits import running, same
+
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
@@ -46,29 +48,47 @@ def sweep(df: DataFrame, thresholds: list[float], *by: str) -> DataFrame:  # A09
 
 
 def curve(df: DataFrame, *by: str) -> DataFrame:  # W01
-    """tp and fp at or above each distinct score. Aggregated by score first, so the window runs over distinct
-    scores, not rows."""
-    per = df.groupBy(*by, "prob").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    down = Window.partitionBy(*by).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    return per.select(*by, "prob", "p", "q", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(every).alias("pos"), F.sum("q").over(every).alias("neg"))
+    """tp and fp at or above each distinct score, and all positives and negatives. Aggregated by score first, so only
+    distinct scores are ordered."""
+    per = df.where("prob IS NOT NULL").groupBy(*by, "prob").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    return running(per, "prob", {"tp": "p", "fp": "q"}, *by, descending=True).withColumnsRenamed({"tp_all": "pos", "fp_all": "neg"})
+
+
+def with_quantiles(aggregated: DataFrame, df: DataFrame, col: str, quantiles: dict[str, float], *by: str) -> DataFrame:
+    """Adds exact quantiles of ``col`` (interpolated between neighbours; nulls left out) to a table with a row per group.
+    They are read off the running counts of distinct values: no group's values meet in one buffer."""
+    per = df.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = running(per, "_v", {"_upto": "_c"}, *by)
+
+    def at(q: float) -> Column:
+        place = F.lit(q) * (F.col("_upto_all") - 1)
+        value = lambda i: F.min(F.when(F.col("_upto") > i, F.col("_v")))
+        low, high, part = value(F.floor(place)), value(F.ceil(place)), F.max(place - F.floor(place))
+        return r6(low + (high - low) * part)
+
+    found = placed.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by]).agg(*[at(q).alias(name) for name, q in quantiles.items()])
+    return aggregated.join(found, same(by, "_by_"), "left").drop(*[f"_by_{c}" for c in by])
+
+
+def curve_metrics(df: DataFrame, target: float, *by: str) -> DataFrame:  # A10-A12
+    """All from one curve. auroc, tie-correct: each positive beats the negatives below and half of those that tie.
+    ap: sum of precision times the step of recall. tpr: the best within a false positive rate of ``target``."""
+    p, q, tp, fp, pos, neg = (F.col(c) for c in ("p", "q", "tp", "fp", "pos", "neg"))
+    won = F.sum(p * ((neg - fp) + 0.5 * q))
+    within = F.max(F.when(ratio(fp, neg) <= target, ratio(tp, pos)))
+    return curve(df, *by).groupBy(*by).agg(r6(ratio(won, F.max(pos) * F.max(neg))).alias("auroc"), r6(F.sum(ratio(p, pos) * tp / (tp + fp))).alias("ap"), r6(F.coalesce(within, F.lit(0.0))).alias("tpr"))
 
 
-def auroc(df: DataFrame, *by: str) -> DataFrame:  # A10
-    """Tie-correct area under the ROC curve: each positive beats the negatives below and half of those that tie."""
-    c = curve(df, *by)
-    won = F.sum(F.col("p") * ((F.col("neg") - F.col("fp")) + 0.5 * F.col("q")))
-    return c.groupBy(*by).agg(r6(ratio(won, F.max("pos") * F.max("neg"))).alias("auroc"))
+def auroc(df: DataFrame, *by: str) -> DataFrame:
+    return curve_metrics(df, 0.0, *by).select(*by, "auroc")
 
 
-def average_precision(df: DataFrame, *by: str) -> DataFrame:  # A11
-    c = curve(df, *by)
-    return c.groupBy(*by).agg(r6(F.sum(F.col("p") / F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))).alias("ap"))
+def average_precision(df: DataFrame, *by: str) -> DataFrame:
+    return curve_metrics(df, 0.0, *by).select(*by, "ap")
 
 
-def tpr_at_fpr(df: DataFrame, target: float, *by: str) -> DataFrame:  # A12
-    c = curve(df, *by)
-    return c.groupBy(*by).agg(r6(F.coalesce(F.max(F.when(F.col("fp") / F.col("neg") <= target, F.col("tp") / F.col("pos"))), F.lit(0.0))).alias("tpr"))
+def tpr_at_fpr(df: DataFrame, target: float, *by: str) -> DataFrame:
+    return curve_metrics(df, target, *by).select(*by, "tpr")
 
 
 def wilson(k: Column, n: Column, z: float = 1.959964) -> tuple[Column, Column]:  # A23
@@ -85,9 +105,8 @@ def ece(df: DataFrame, bins: int = 10) -> DataFrame:  # A16
 
 
 def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:  # W02
-    per = df.groupBy(col).count()
-    upto = F.sum("count").over(Window.orderBy(col).rowsBetween(Window.unboundedPreceding, 0))
-    return df.join(per.select(F.col(col), (upto - (F.col("count") - 1) / 2.0).alias(out)), col)
+    per = running(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_c")), col, {"_upto": "_c"})
+    return df.join(per.select(F.col(col), (F.col("_upto") - (F.col("_c") - 1) / 2.0).alias(out)), col)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:  # A29

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def hash32(key: Column, seed: int = 42) -> Column:
@@ -19,18 +20,53 @@ def ranked_by(df: DataFrame, order: list[Column], bin_: Column, *by: str) -> Dat
     per = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_b"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
-    on = F.col("_bin") == F.col("_b")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    on = (F.col("_bin") == F.col("_b")) & same(by, "_by_")
     placed = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order))).join(per, on)
     return placed.withColumn("_rn", (F.col("_rn") + F.col("_before")).cast("long")).drop("_bin", "_b", "_before", *[f"_by_{c}" for c in by])
 
 
-def numbered(df: DataFrame, key: str, *by: str, bins: int = 64) -> DataFrame:
-    """`ranked_by` in the order of a numeric key, cut at its approximate quantiles."""
-    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / bins) for k in range(1, bins)]), 1000).alias("c")).first()["c"] or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    return ranked_by(df, [F.col(key)], at, *by)
+def quantile_bin(df: DataFrame, key: str, bins: int = 1024) -> Column:
+    """A bin that ascends with a numeric key, cut at its approximate quantiles; null keys are in the first. A key is
+    looked up in two steps, first among every 32nd cut."""
+    constant = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(ArrayType(kind))
+    shares = constant([k / bins for k in range(1, bins)], DoubleType())
+    cuts, width = df.agg(F.percentile_approx(key, shares, 10_000).alias("c")).first()["c"], 32
+    if not cuts:
+        return F.lit(0)
+    cuts, kind = sorted(set(cuts)), df.schema[key].dataType
+    reached = lambda a: F.coalesce(F.size(F.filter(a, lambda c: c <= F.col(key))), F.lit(0))
+    first = reached(constant(cuts[::width], kind))
+    return first * (width + 1) + F.when(first > 0, reached(F.slice(constant(cuts, kind), (first - 1) * width + 1, width))).otherwise(0)
+
+
+def same(by: tuple[str, ...], prefix: str) -> Column:
+    """Equality of each column with its prefixed twin, nulls included."""
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(prefix + c))
+    return on
+
+
+def running(df: DataFrame, key: str, sums: dict[str, str], *by: str, descending: bool = False) -> DataFrame:
+    """``df`` with the running sum of each column of ``sums`` (new name: column) in the order of a numeric key, and its
+    total as ``<new name>_all``, per stratum. Rows are summed within bins of the key, bins over bins, so no stratum is
+    sorted in one task. Keys are unique within a stratum."""
+    way = F.desc if descending else F.asc
+    rows = df.withColumn("_bin", quantile_bin(df, key))
+    per = rows.groupBy(*by, "_bin").agg(*[F.sum(c).alias(c) for c in sums.values()])
+    before = Window.partitionBy(*by).orderBy(way("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{new}") for new, c in sums.items()]
+    totals = [F.sum(c).over(Window.partitionBy(*by)).alias(f"{new}_all") for new, c in sums.items()]
+    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_b"), *earlier, *totals)
+    within = Window.partitionBy(*by, "_bin").orderBy(way(key)).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.select("*", *[F.sum(c).over(within).alias(f"_in_{new}") for new, c in sums.items()])
+    out = summed.join(per, (F.col("_bin") == F.col("_b")) & same(by, "_by_"))
+    return out.select(*df.columns, *[(F.col(f"_in_{new}") + F.col(f"_before_{new}")).alias(new) for new in sums], *[f"{new}_all" for new in sums])
+
+
+def numbered(df: DataFrame, key: str, *by: str) -> DataFrame:
+    """`ranked_by` in the order of a numeric key."""
+    return ranked_by(df, [F.col(key)], quantile_bin(df, key), *by)
 
 
 def ranked(df: DataFrame, key: str, *by: str, seed: int = 42) -> DataFrame:
@@ -67,13 +103,6 @@ def first_per_key(df: DataFrame, key: Column, *order: str) -> DataFrame:  # W07
     return one.select("_r.*")
 
 
-def running_start(df: DataFrame, key: str, size: str, bins: int = 64) -> DataFrame:  # W14
-    """_start: the sum of the sizes of all rows before, in the order of a numeric key, summed in bins and over bins."""
-    cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(k / bins) for k in range(1, bins)]), 1000).alias("c")).first()["c"] or []
-    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c <= F.col(key))) if cuts else F.lit(0)
-    rows = df.withColumn("_bin", at)
-    earlier = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = rows.groupBy(F.col("_bin").alias("_b")).agg(F.sum(size).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_bin").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    return rows.join(per, F.col("_bin") == F.col("_b")).withColumn("_start", F.col("_in") + F.col("_before")).drop("_bin", "_b", "_in", "_before")
+def running_start(df: DataFrame, key: str, size: str) -> DataFrame:  # W14
+    """_start: the sum of the sizes of all rows before, in the order of a numeric key."""
+    return running(df, key, {"_end": size}).withColumn("_start", F.col("_end") - F.col(size)).drop("_end", "_end_all")

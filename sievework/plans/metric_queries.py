@@ -53,10 +53,8 @@ TPR = "round(coalesce(max(tp::DOUBLE / pos) FILTER (fp::DOUBLE / neg <= 0.01::DO
 @query(f"WITH {CURVE}, a AS (SELECT {AUROC} AS auroc, {AP} AS ap, {TPR} AS tpr_at_1pct FROM c), k AS (SELECT {CELLS}, count(*) AS n, sum(label) AS n_positive FROM scored) SELECT k.*, {DERIVED}, auroc, ap, tpr_at_1pct FROM k, a")
 def a05_full_metrics(spark, d):
     s = scored(spark, d)
-    one = m.derived(m.confusion(s)).crossJoin(F.broadcast(s.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_positive"))))
-    for part in (m.auroc(s), m.average_precision(s), m.tpr_at_fpr(s, 0.01).withColumnRenamed("tpr", "tpr_at_1pct")):
-        one = one.crossJoin(F.broadcast(part))
-    return one
+    counts = s.agg(*[c.alias(k) for k, c in m.cells(flag_a()).items()], F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_positive"))
+    return m.derived(counts).crossJoin(F.broadcast(m.curve_metrics(s, 0.01).withColumnRenamed("tpr", "tpr_at_1pct")))
 
 
 @query(f"WITH {SCORED}, c AS (SELECT lang, CASE WHEN min(label) = max(label) THEN CASE WHEN min(label) = 0 THEN 'all_safe' ELSE 'all_unsafe' END ELSE 'mixed' END AS assumption, {CELLS}, round(avg(power(prob - label, 2)), 6) AS brier FROM scored GROUP BY lang) SELECT lang, assumption, brier, CASE WHEN assumption <> 'all_unsafe' THEN round(fp::DOUBLE / nullif(fp + tn, 0), 6) END AS fpr, CASE WHEN assumption <> 'all_safe' THEN round(tp::DOUBLE / nullif(tp + fn, 0), 6) END AS recall FROM c")
@@ -129,8 +127,10 @@ def a16_ece(spark, d):
 
 @query(f"WITH {SCORED} SELECT label, round(avg(prob), 6) AS mean, round(quantile_cont(prob, 0.05), 6) AS p05, round(quantile_cont(prob, 0.5), 6) AS p50, round(quantile_cont(prob, 0.95), 6) AS p95 FROM scored GROUP BY GROUPING SETS ((), (label))")
 def a17_score_distribution(spark, d):
-    q = lambda k: r6(F.percentile("prob", F.lit(k)))
-    return scored(spark, d).groupingSets([[], ["label"]], "label").agg(r6(F.avg("prob")).alias("mean"), q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    s, q = scored(spark, d), {"p05": 0.05, "p50": 0.5, "p95": 0.95}
+    mean = r6(F.avg("prob")).alias("mean")
+    every = m.with_quantiles(s.agg(mean), s, "prob", q).withColumn("label", F.lit(None).cast(s.schema["label"].dataType))
+    return m.with_quantiles(s.groupBy("label").agg(mean), s, "prob", q, "label").unionByName(every)
 
 
 @query(f"WITH {SCORED} SELECT least(floor(prob * 40), 39)::INTEGER AS bin, count(*) AS n FROM scored GROUP BY 1")
@@ -329,13 +329,15 @@ def a49_rate_by_tau(spark, d):
 @query(f"WITH {SCORED} SELECT source, count(*) AS n, count(*) FILTER (prob > 0.9::DOUBLE) AS confident, count(*) FILTER (prob <= 0.9::DOUBLE) AS borderline, count(*) FILTER (n_chars < 60) AS near_empty, min(n_chars) AS min_len, round(median(n_chars), 6) AS med_len, max(n_chars) AS max_len FROM scored WHERE label = 0 AND prob >= 0.5::DOUBLE GROUP BY source")
 def a50_fp_diagnosis(spark, d):
     f = scored(spark, d).where((F.col("label") == 0) & (flag_a() == 1))
-    return f.groupBy("source").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("prob") > 0.9).alias("confident"), count_if(F.col("prob") <= 0.9).alias("borderline"), count_if(F.col("n_chars") < 60).alias("near_empty"), F.min("n_chars").alias("min_len"), r6(F.percentile("n_chars", F.lit(0.5))).alias("med_len"), F.max("n_chars").alias("max_len"))
+    per = f.groupBy("source").agg(F.count(F.lit(1)).alias("n"), count_if(F.col("prob") > 0.9).alias("confident"), count_if(F.col("prob") <= 0.9).alias("borderline"), count_if(F.col("n_chars") < 60).alias("near_empty"), F.min("n_chars").alias("min_len"), F.max("n_chars").alias("max_len"))
+    return m.with_quantiles(per, f, "n_chars", {"med_len": 0.5}, "source")
 
 
 @query("SELECT source, round(100.0::DOUBLE * avg(regexp_matches(lower(text), '(^|[^a-z])the($|[^a-z])')::INTEGER), 6) AS pct_retained, min(length(text)) AS min_len, round(median(length(text)), 6) AS med_len, max(length(text)) AS max_len FROM documents WHERE lang = 'en' GROUP BY source")
 def a51_paraphrase_audit(spark, d):
     t = table(spark, d, "documents").where("lang = 'en'").select("source", "text", F.length("text").alias("n"))
-    return t.groupBy("source").agg(r6(100.0 * F.avg(F.lower("text").rlike("(^|[^a-z])the($|[^a-z])").cast("int"))).alias("pct_retained"), F.min("n").alias("min_len"), r6(F.percentile("n", F.lit(0.5))).alias("med_len"), F.max("n").alias("max_len"))
+    per = t.groupBy("source").agg(r6(100.0 * F.avg(F.lower("text").rlike("(^|[^a-z])the($|[^a-z])").cast("int"))).alias("pct_retained"), F.min("n").alias("min_len"), F.max("n").alias("max_len"))
+    return m.with_quantiles(per, t, "n", {"med_len": 0.5}, "source")
 
 
 @query(f"WITH {SWEEP}, k AS (SELECT threshold, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c) SELECT threshold, f1 FROM k ORDER BY f1 DESC, threshold LIMIT 1")
@@ -359,8 +361,8 @@ def t04_matched_operating_point(spark, d):
 @query(f"WITH {SCORED}, q AS (SELECT quantile_cont(n_chars, 0.25) AS a, quantile_cont(n_chars, 0.5) AS b, quantile_cont(n_chars, 0.75) AS c FROM scored) SELECT CASE WHEN n_chars <= a THEN 1 WHEN n_chars <= b THEN 2 WHEN n_chars <= c THEN 3 ELSE 4 END AS quartile, count(*) AS n, round(avg((prob >= 0.5::DOUBLE)::INTEGER), 6) AS rate FROM scored, q GROUP BY 1")
 def w05_length_quartiles(spark, d):
     s = scored(spark, d)
-    q = s.agg(F.percentile("n_chars", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    k = F.when(F.col("n_chars") <= F.col("q")[0], 1).when(F.col("n_chars") <= F.col("q")[1], 2).when(F.col("n_chars") <= F.col("q")[2], 3).otherwise(4)
+    q = m.with_quantiles(s.agg(F.count(F.lit(1)).alias("n_all")), s, "n_chars", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    k = F.when(F.col("n_chars") <= F.col("q1"), 1).when(F.col("n_chars") <= F.col("q2"), 2).when(F.col("n_chars") <= F.col("q3"), 3).otherwise(4)
     return s.crossJoin(F.broadcast(q)).groupBy(k.alias("quartile")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg(flag_a())).alias("rate"))
 
 
