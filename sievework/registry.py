@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metric_queries", "text_queries", "data_queries", "scoring_queries", "build_queries"]
+MODULES = ["metric_queries", "text_queries", "data_queries", "io_queries", "scoring_queries", "build_queries"]
 
 
 def _merged(name: str) -> dict:

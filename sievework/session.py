@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,3 +33,41 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set on the context. Without
+    one a session on a single machine (tests) gets a folder under its warehouse; a cluster is refused, since a folder
+    of the driver is no one else's."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sievework-shared")
+        path = spark.sparkContext.getCheckpointDir()
+    return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the Python process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/sievework-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written[:] = [x for x in _written if x[1] != path]
+
+
+@atexit.register
+def _tidy() -> None:
+    for spark, path in list(_written):
+        try:
+            remove(spark, path)
+        except Exception:  # the session may have ended before the interpreter
+            return

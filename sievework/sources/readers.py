@@ -63,6 +63,23 @@ def rules(spark: SparkSession, document: dict | str) -> DataFrame:  # S06
     return spark.createDataFrame(rows, "rule_id string, category string, title string, permitted string, restricted string, rationale string, threat_level_boundary int")
 
 
+def mapped(df: DataFrame, fields: dict[str, str], defaults: dict[str, str], templates: dict[str, str] | None = None) -> DataFrame:  # S09
+    """A foreign table in the classifier schema: fields renamed, constants for what it lacks, and texts from templates
+    in which ``{}`` stands for the first mapped field. A template's value for a null field is null."""
+    first = F.col(next(iter(fields.values())))
+    parts = {k: t.split("{}") for k, t in (templates or {}).items()}
+    made = [F.concat(*[x for i, p in enumerate(ps) for x in ([first.cast("string")] if i else []) + [F.lit(p)]]).alias(k) for k, ps in parts.items()]
+    return df.select(*[F.col(old).alias(new) for new, old in fields.items()], *[F.lit(v).alias(k) for k, v in defaults.items()], *made)
+
+
+def cached(df: DataFrame, path: str) -> DataFrame:  # S08, S09, S11
+    """The rows through a JSON-lines cache: written if the cache is missing, read with the table's schema."""
+    spark = df.sparkSession
+    if not exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        write_jsonl(df, path)
+    return spark.read.schema(df.schema).json(path)
+
+
 def first_source(*attempts):  # S10
     """The result of the first reader that works."""
     errors = []
@@ -102,6 +119,12 @@ def report(df: DataFrame) -> DataFrame:  # S18
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def export_dataset(df: DataFrame, path: str, split: str) -> None:  # S23
+    """Parquet by split, and a card with the rows of each split as JSON lines."""
+    df.write.mode("overwrite").partitionBy(split).parquet(f"{path}/data")
+    report(df.groupBy(split).agg(F.count(F.lit(1)).alias("n"))).coalesce(1).write.mode("overwrite").text(f"{path}/card")
+
+
 def manifest(df: DataFrame, block: str, label: str) -> DataFrame:  # S19
     return df.groupBy(block).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col(label) == 1, 1)).alias("n_positive"))
 
