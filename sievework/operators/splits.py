@@ -19,10 +19,10 @@ def ranked_by(df: DataFrame, order: list[Column], bin_: Column, *by: str) -> Dat
     rows = df.withColumn("_bin", bin_)
     per = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_b"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
-    on = (F.col("_bin") == F.col("_b")) & same(by, "_by_")
+    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_by__bin"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
+    on = same(("_bin", *by), "_by_")
     placed = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_bin").orderBy(*order))).join(per, on)
-    return placed.withColumn("_rn", (F.col("_rn") + F.col("_before")).cast("long")).drop("_bin", "_b", "_before", *[f"_by_{c}" for c in by])
+    return placed.withColumn("_rn", (F.col("_rn") + F.col("_before")).cast("long")).drop("_bin", "_by__bin", "_before", *[f"_by_{c}" for c in by])
 
 
 def quantile_bin(df: DataFrame, key: str, bins: int = 1024) -> Column:
@@ -40,7 +40,8 @@ def quantile_bin(df: DataFrame, key: str, bins: int = 1024) -> Column:
 
 
 def same(by: tuple[str, ...], prefix: str) -> Column:
-    """Equality of each column with its prefixed twin, nulls included."""
+    """Equality of each column with its prefixed twin, nulls included. It is null-safe for bins, too, which hold none:
+    from a plain equality the optimiser infers a filter on the bin's expression, in a plan that lacks its key."""
     on = F.lit(True)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(prefix + c))
@@ -57,10 +58,10 @@ def running(df: DataFrame, key: str, sums: dict[str, str], *by: str, descending:
     before = Window.partitionBy(*by).orderBy(way("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{new}") for new, c in sums.items()]
     totals = [F.sum(c).over(Window.partitionBy(*by)).alias(f"{new}_all") for new, c in sums.items()]
-    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_b"), *earlier, *totals)
+    per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_by__bin"), *earlier, *totals)
     within = Window.partitionBy(*by, "_bin").orderBy(way(key)).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.select("*", *[F.sum(c).over(within).alias(f"_in_{new}") for new, c in sums.items()])
-    out = summed.join(per, (F.col("_bin") == F.col("_b")) & same(by, "_by_"))
+    out = summed.join(per, same(("_bin", *by), "_by_"))
     return out.select(*df.columns, *[(F.col(f"_in_{new}") + F.col(f"_before_{new}")).alias(new) for new in sums], *[f"{new}_all" for new in sums])
 
 

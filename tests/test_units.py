@@ -2,6 +2,7 @@
 
 import base64
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,29 @@ def test_streams(spark, tmp_path, tiny):
         again = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         streams.resume_stream(again, ["event_id"], str(tmp_path / "sink"), str(tmp_path / f"c2{k}")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "sink")).count() == n
+
+
+def test_running_sums_and_quantiles(spark):
+    """Against plain Python: skewed keys, null groups, one row, ties, an empty table."""
+    import random
+
+    rng = random.Random(3)
+    data = [(g, float(rng.choice([0, 1, 2, rng.random() * 50])), rng.randrange(9)) for g in ("a", "b", None) for _ in range(700)] + [("one", 4.0, 1), ("none", None, 5)]
+    df = spark.createDataFrame(data, "g string, v double, n long")
+    unique = df.groupBy("g", "v").agg(F.sum("n").alias("n"))
+    for descending in (False, True):
+        rows = splits.running(unique.where("v IS NOT NULL"), "v", {"s": "n"}, "g", descending=descending).collect()
+        for r in rows:
+            mine = [(v, n) for g, v, n in data if g == r["g"] and v is not None]
+            assert r["s"] == sum(n for v, n in mine if (v >= r["v"] if descending else v <= r["v"])) and r["s_all"] == sum(n for _, n in mine)
+        assert len(rows) == len({(g, v) for g, v, _ in data if v is not None})
+    out = metrics.with_quantiles(df.groupBy("g").agg(F.count(F.lit(1)).alias("rows")), df, "v", {"q1": 0.25, "q2": 0.5, "q99": 0.99}, "g")
+    for r in out.collect():
+        mine = [v for g, v, _ in data if g == r["g"] and v is not None]
+        assert (r["q1"], r["q2"], r["q99"]) == (pytest.approx(tuple(np.quantile(mine, [0.25, 0.5, 0.99])), abs=1e-6) if mine else (None, None, None))
+    empty = df.limit(0)
+    assert splits.running(empty, "v", {"s": "n"}).collect() == []
+    assert metrics.with_quantiles(empty.agg(F.count(F.lit(1)).alias("rows")), empty, "v", {"q": 0.5}).collect()[0]["q"] is None
+    ranks = {r["v"]: r["rank"] for r in metrics.average_ranks(df, "v", "rank").collect()}
+    values = sorted(v for _, v, _ in data if v is not None)
+    assert all(ranks[v] == pytest.approx((2 * values.index(v) + values.count(v) + 1) / 2) for v in set(values))
