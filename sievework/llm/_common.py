@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, remove, scratch_path
 
 #: One word of the contracts: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus; only Spark's readers touch the path, so any store will do."""
@@ -24,40 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set on the context. Without
-    one a session on a single machine (tests) gets a folder under its warehouse; a cluster is refused, since a folder
-    of the driver is no one else's."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sievework-shared")
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
-
-
-@atexit.register
-def _tidy() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            return
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a durable table that no DataFrame still to be run reads."""
-    _remove(spark, path)
-    _written[:] = [x for x in _written if x[1] != path]
+    remove(spark, path)
 
 
 def durable(df: DataFrame, name: str = "part", path: str | None = None) -> DataFrame:
@@ -70,9 +35,7 @@ def durable(df: DataFrame, name: str = "part", path: str | None = None) -> DataF
 
 
 def durable_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark).rstrip('/')}/sievework-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+    return scratch_path(spark, name)
 
 
 def words(text: Column) -> Column:

@@ -1,6 +1,8 @@
 """The registered queries against brute force on whole small tables, and the operators on awkward rows."""
 
+import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,6 +278,39 @@ def test_line_dedup(spark, small):
     assert out[3]["kept_text"] == "own 3" and out[100]["n_lines"] == 0 and out[101]["kept_text"] == "same line"
 
 
+def brute_lines(pages, ratio, min_pages):
+    """page_id, number of lines, what is kept, per page in order."""
+    text = lambda t: [x for x in (re.sub(r"[\x20\x09-\x0D]+", " ", v).strip(" ") for v in (t or "").split("\n")) if x]
+    host = lambda u: re.split(r"[/?#]", u.split("://", 1)[1])[0].lower() if u and "://" in u else ""
+    total, held = Counter(), Counter()
+    for _, u, t in pages:
+        total[host(u)] += 1
+        held.update((host(u), x) for x in set(text(t)))
+    out = []
+    for i, u, t in pages:
+        h = host(u)
+        gone = lambda x: total[h] >= min_pages and held[h, x] > 1 and held[h, x] > ratio * total[h]  # noqa: B023,E731
+        out.append((str(i), h, len(text(t)), "\n".join(x for x in text(t) if not gone(x))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_line_dedup_awkward_rows(spark, monkeypatch, few):
+    """Nulls, empty and very long texts, a hot host, repeated rows, lines exactly at the ratio, clashing names, an empty
+    table; with and without broadcasts."""
+    if few:
+        monkeypatch.setattr(lines, "maybe_broadcast", lambda df, rows: df)
+    pages = [(i, f"http://hot.example/{i}", f"menu\nbody {i}\n{'at ratio' if i < 90 else 'below'}\n{'rare' if i < 2 else ''}") for i in range(300)]
+    pages += [(500 + i, "http://Few.example", "menu\nmenu") for i in range(4)] + [(600, None, "menu"), (601, "nourl", None), (602, "http://hot.example", ""), (602, "http://hot.example", ""), (None, "http://hot.example?q", " menu \r\n\t x")]
+    pages += [(700, "http://long.example/", "\n".join(f"line {k}" for k in range(60_000))), (701, "http://long.example/", "w " * 500_000)] + [(702, "http://long.example/", "line 7\nline 7")] * 3
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    for clash in ("host", "lines", "hashes", "drop", "n", "h", "kept", "pages"):
+        df = df.withColumn(clash, F.lit("clash"))
+    got = sorted((str(r["page_id"]), r["host"], r["n_lines"], r["kept_text"]) for r in lines.dedup_lines(df, html=False, ratio=0.3).collect())
+    assert got == brute_lines(pages, 0.3, 5)
+    assert lines.dedup_lines(df.limit(0), html=False).collect() == []
+
+
 def test_sharding(spark, small, nasty):
     n = spark.read.parquet(f"{small}/documents.parquet").count()
     got = queries.op5_sharding(spark, small).collect()
@@ -477,6 +512,18 @@ def test_mixing(spark, small, nasty):
     assert mixing.mix(nasty.limit(0)).collect() == []
 
 
+def test_mixing_ties(spark):
+    """Copies of one text, each with its own id, and rows that are alike in all: whole copies only, near the target."""
+    rows = [(i, "same words here", "a") for i in range(100)] + [(1000 + i, f"w {i} x y", None) for i in range(60)] + [(7, "same words here", "b")] * 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+    for s in ("a", None):
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["_size"] * r["_copies"] for r in mine) - mine[0]["_target"]) <= 4
+
+
 def test_mixing_capped_source(spark):
     """A tiny source that would get more than three times its size stops there; the rest share the excess."""
     rows = [(i, "w " * 100, "big") for i in range(30)] + [(100 + i, "w w", "tiny") for i in range(3)]
@@ -621,3 +668,27 @@ def test_pipeline(spark, small, rows):
     assert max(counts.values()) <= 3
     total = sum(len(brute.WORD.findall(texts[i])) for i in want)
     assert abs(sum(len(brute.WORD.findall(r["text"])) for r in got) - total) < 0.02 * total
+
+
+def test_pipeline_awkward_rows(spark, nasty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing names; tables without rows."""
+    import corpus_pipeline
+
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") + 100_000).alias("doc_id"), "text", "source")
+    docs = nasty.unionByName(real, allowMissingColumns=True)
+    leak = next(r.text for r in quality.filter_quality(real.where("source = 'src1'")).orderBy("doc_id").collect() if 30 < len(r.text.split()) < 400)
+    item = spark.createDataFrame([(1, " ".join(leak.split()[:25])), (None, None)], "item_id bigint, text string")
+    for name, d, b in (("some", docs, item), ("none", docs.limit(0), item), ("no_items", docs, item.limit(0))):
+        at = str(tmp_path / name)
+        d.write.parquet(f"{at}/documents.parquet")
+        b.write.parquet(f"{at}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, at)
+        assert out.columns == [*docs.columns, "shard", "slot"]
+        got = out.collect()
+        if name == "none":
+            assert got == []
+            continue
+        assert len({r["doc_id"] for r in got if r["doc_id"]}) > 100
+        assert (leak in {r["text"] for r in got}) <= (name == "no_items")
+        places = [(r["shard"], r["slot"]) for r in got]
+        assert len(set(places)) == len(places)
