@@ -2,7 +2,7 @@
 
 import json
 import os
-
+import sys
 import time
 
 from sievework import registry
@@ -29,6 +29,7 @@ def main() -> None:
         start = time.time()
         q(spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "total seconds of headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir)}))
 
 
