@@ -76,16 +76,21 @@ def salted_join(big: DataFrame, one: DataFrame, keys: list[str], place: Column,
     return out.join(spread, [*keys, "_salt"], how).drop("_salt")
 
 
-#: At most so many keys count as hot.
-HOT_KEYS = 10_000
+#: A key is hot from total / `HOT_KEYS` rows on, and in any case from `HOT_ROWS` rows on.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000_000
+
+
+def hot_limit(total: int) -> int:
+    """The number of rows above which a key is hot. No more than max(`HOT_KEYS`, total / `HOT_ROWS`) keys can be: at
+    10**12 rows a million keys, some tens of MB to broadcast, and no cold key has more than `HOT_ROWS` rows."""
+    return max(1000, min(total // HOT_KEYS, HOT_ROWS))
 
 
 def hot_join(big: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     """``big`` joined (inner) with ``one``, a durable table that holds each key once and in ``_n`` the number of its
-    rows in ``big``. Keys above total / `HOT_KEYS` rows are hot; there can't be more than `HOT_KEYS` of them, so they
-    are broadcast and their rows stay where they are. All other keys are small and joined by shuffle."""
-    total = one.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    limit = max(1000, total // HOT_KEYS)
+    rows in ``big``. The number of hot keys is bounded (`hot_limit`), so they are broadcast and their rows stay where
+    they are. All other keys are small and joined by shuffle."""
+    limit = hot_limit(one.agg(F.sum("_n").alias("n")).first()["n"] or 0)
     hot = one.where(F.col("_n") > limit)
     if hot.isEmpty():
         return big.join(one.drop("_n"), keys)
@@ -94,13 +99,13 @@ def hot_join(big: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
     return met.unionByName(cold)
 
 
-def salt_hot(big: DataFrame, counts: DataFrame, key: str, place: Column) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+def salt_hot(big: DataFrame, counts: DataFrame, key: str | list[str], place: Column) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``big`` with a ``_salt``, and a function that spreads a table of unique keys over the salts, for a join on both.
-    ``counts``: durable (key, _n). The rows of a hot key (see `hot_join`) are dealt by their ``place`` over as many
-    salts as it is times too large, so that the copies of hot keys number at most twice `HOT_KEYS` in all."""
-    total = counts.agg(F.sum("_n").alias("n")).first()["n"] or 0
-    limit = max(1000, total // HOT_KEYS)
-    hot = F.broadcast(counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_k")))
+    ``counts``: durable (key, _n). The rows of a hot key (see `hot_limit`) are dealt by their ``place`` over as many
+    salts as it is times too large, so that the copies of hot keys number at most twice the hot keys there can be."""
+    key = [key] if isinstance(key, str) else key
+    limit = hot_limit(counts.agg(F.sum("_n").alias("n")).first()["n"] or 0)
+    hot = F.broadcast(counts.where(F.col("_n") > limit).select(*key, F.ceil(F.col("_n") / limit).cast("int").alias("_k")))
     k = F.coalesce("_k", F.lit(1))
     salted = big.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(place, F.lit(13)), k).cast("int")).drop("_k")
     return salted, lambda one: one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), k - 1))).drop("_k")

@@ -1,12 +1,12 @@
-"""The ten registered queries: each applies its operator to its whole table and derives the columns asked for."""
+"""The registered queries: each applies its operator to its whole table and derives the columns asked for."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, near_dedup, pii, quality, sharding, substring, toxicity, url_filter
-from ._common import table
+from . import decontam, exact, lines, mixing, near_dedup, periodic, pii, quality, resampling, sharding, substring, toxicity, url_filter
+from ._common import let, table, words
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,42 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, buckets=10_000, seed=7)
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text; every tenth document by the CRC of its id ends in a passage repeated over and over: from word a on,
+    word i is word a + (i - a) % p. Texts without a doc_id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def places(ws):
+        n = F.greatest(F.size(ws), F.lit(1))
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        return let(F.struct(ws.alias("ws"), n.alias("n"), a.alias("a"), p.alias("p")), repeated)
+
+    def repeated(x):
+        tail = F.transform(F.sequence(x["a"], x["n"] - 1), lambda i: F.get(x["ws"], x["a"] + F.pmod(i - x["a"], x["p"])))
+        return F.array_join(F.concat(F.slice(x["ws"], F.lit(1), x["a"]), tail), " ")
+
+    planted = let(words(F.col("text")), places)
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.collapse_runs(planted_repeats(table(spark, sf_dir, "documents")), exponent=4, least=6)
+    lines_ = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.expr("(1000 * best.length) DIV best.period").alias("exponent_milli")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, F.sha2(lines_, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    each = [op1_pii, op2_quality, op3_near_dedup, op4_line_dedup, op5_sharding, op6_toxicity, op7_substring_dedup, op8_mixing, op9_decontamination, op10_url_filters, pipeline]
+    each = [op1_pii, op2_quality, op3_near_dedup, op4_line_dedup, op5_sharding, op6_toxicity, op7_substring_dedup, op8_mixing, op9_decontamination, op10_url_filters, op11_importance_resampling, op12_exact_dedup, op13_periodic_runs, pipeline]
     return {f.__name__: f for f in each}
 
 
@@ -143,5 +179,15 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         sha256(translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256)::BIGINT AS group_size,
+       row_number() OVER w = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL, "op12_exact_dedup": OP12_SQL}

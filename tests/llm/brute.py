@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import regex
 
 from sievework.llm import pii
@@ -199,3 +202,76 @@ def bm25_hits(texts: list, items: list, threshold: float, overlap: float, answer
                 best[i] = max(score, best.get(i, 0.0))
         out += [(d, i, s) for i, s in best.items()]
     return out
+
+
+def exact_groups(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """(doc_id, keep_id, group_size, kept, sha256) of every row."""
+    groups = defaultdict(list)
+    for k, (i, t) in enumerate(rows):
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i is None, i or 0, k, i))
+    out = []
+    for bare, members in groups.items():
+        top = min(members)
+        out += [(m[4], top[4], len(members), m is top or m[3] == top[3], hashlib.sha256(bare.encode()).hexdigest()) for m in members]
+    return out
+
+
+def resampled(rows: list[tuple[int | None, str | None]], target: list[str | None], percent: int = 25, min_words: int = 20) -> list[tuple]:
+    """(doc_id, n_features, weight, score, rank) of every row."""
+
+    def buckets(text: str | None) -> tuple[int, list[int]]:
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        return len(ws), [zlib.crc32(f.encode()) % 10_000 for f in [*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))]]
+
+    each = [buckets(t) for _, t in rows]
+    s, t = Counter(b for _, bs in each for b in bs), Counter(b for x in target for b in buckets(x)[1])
+    n_s, n_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (n_s + 10_000) / ((s[b] + 1) * (n_t + 10_000)))) for b in range(10_000)]
+    out = []
+    for (i, _), (n, bs) in zip(rows, each):
+        h = int(hashlib.sha256(f"7:{'null' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in bs) // len(bs) if bs else 0
+        out.append([i, len(bs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    may = sorted((r for r in out if r[5] >= min_words), key=lambda r: (-r[3], r[0] is None, r[0]))
+    for k, r in enumerate(may[: percent * len(may) // 100]):
+        r[4] = k + 1
+    return [tuple(r[:5]) for r in out]
+
+
+def planted(doc_id: int | None, text: str | None) -> list[str]:
+    ws = WORD.findall(text or "")
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not ws:
+        return ws
+    g, n = h // 10, len(ws)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [ws[i] if i < a else ws[a + (i - a) % p] for i in range(n)]
+
+
+def periodic_runs(ws: list[str], exponent: int = 4, least: int = 6) -> list[tuple[int, int, int]]:
+    """(start, length, period) by start, then period: for every period the stretches equal to themselves shifted, of
+    which those that have a smaller period go."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(ws))}
+    ids, out = np.array([number[w] for w in ws], np.int64), {}
+    for q in range(1, len(ids) // exponent + 1):
+        same = np.concatenate([[False], ids[:-q] == ids[q:], [False]])
+        start, end = np.flatnonzero(same[1:] & ~same[:-1]), np.flatnonzero(~same[1:] & same[:-1])
+        for s, e in zip(start.tolist(), end.tolist()):
+            if e - s + q >= max(least, exponent * q):
+                out.setdefault((s, e - s + q), q)
+    return sorted(((s, n, q) for (s, n), q in out.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(ws: list[str], runs: list[tuple[int, int, int]]) -> str:
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(ws) if i not in gone)
+
+
+def op13_row(doc_id: int | None, text: str | None) -> tuple:
+    ws = planted(doc_id, text)
+    runs = periodic_runs(ws)
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2])) if runs else (None, None, None)
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc_id, len(runs), *best, 1000 * best[1] // best[2] if runs else None, digest("".join(f"{s},{n},{q}\n" for s, n, q in runs)), digest(collapsed(ws, runs)))
