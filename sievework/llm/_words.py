@@ -1,20 +1,24 @@
 """Words and windows of whole Arrow batches as NumPy arrays.
 
 Texts are handled as the bytes of their UTF-8 form: one pass marks where words begin and end, and prefix sums of
-a polynomial give the hash of any run of bytes or words in constant time. Work is cut into chunks of a few hundred
-thousand bytes, never inside a text, so memory does not depend on the size of an Arrow batch.
+a polynomial give the hash of any run of bytes or words in constant time. The polynomial is taken modulo the prime
+2**61 - 1 at a seeded point: two different runs of n values agree at no more than n of the 2**61 points, whatever they hold,
+and hashes at two points fail independently. (Modulo a power of two, runs such as Thue-Morse words agree at every odd
+point.) Work is cut into chunks of a few hundred thousand bytes, never inside a text, so memory does not depend on the size
+of an Arrow batch.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 19
-_MASK = (1 << 64) - 1
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+PRIME = (1 << 61) - 1
+SEED = "sievework"
 
 SPACES = np.zeros(256, bool)
 SPACES[[32, *range(9, 14)]] = True
@@ -27,16 +31,31 @@ LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(61))
+    return x - np.uint64(PRIME) * (x >= np.uint64(PRIME))
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for values below it: by halves of 30 and 31 bits, as 2**61 counts as one."""
+    low, n31, n30 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(30)
+    a1, a0, b1, b0 = a >> n31, a & low, b >> n31, b & low
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << np.uint64(1)) + (middle >> n30) + ((middle & np.uint64((1 << 30) - 1)) << n31) + a0 * b0)
+
+
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse, modulo 2**64."""
+    """The first n powers of a seeded point and of its inverse, modulo the prime."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
         n = max(n, CHUNK_BYTES + 1)
-        base, out = _BASES[which], []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
+        base, out = int.from_bytes(hashlib.sha256(f"{SEED}:{which}".encode()).digest(), "big") % (PRIME - 2) + 2, []
+        for b in (base, pow(base, -1, PRIME)):
+            p = np.ones(1, np.uint64)
+            while len(p) < n:
+                p = np.concatenate([p, times(p[: n - len(p)], np.uint64(pow(b, len(p), PRIME)))])
+            out.append(p)
         have = _powers[which] = (out[0], out[1])
     return have
 
@@ -68,9 +87,23 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
 
 def _run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
     pw, inv = powers(which, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * pw[: len(values)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inv[starts]
+    low, n31, n30 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(30)
+    one, pw = values.astype(np.uint64), pw[: len(values)]
+    if values.dtype == np.uint8:
+        one += np.uint64(1)
+        upper = one * (pw >> n31)
+        terms = (upper >> n30) + ((upper & np.uint64((1 << 30) - 1)) << n31) + one * (pw & low)
+    else:
+        terms = times(_reduced(one), pw)
+    # prefix sums of the terms' halves, which stay far below 2**64
+    sums, h = np.zeros(len(values) + 1, np.uint64), np.zeros(len(starts), np.uint64)
+    np.cumsum(terms >> n31, out=sums[1:])
+    d = sums[ends] - sums[starts]
+    h += (d >> n30) + ((d & np.uint64((1 << 30) - 1)) << n31)
+    np.cumsum(terms & low, out=sums[1:])
+    d = sums[ends] - sums[starts]
+    h += (d & np.uint64(PRIME)) + (d >> np.uint64(61))
+    h = times(_reduced(h), inv[starts])
     return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
 
 
