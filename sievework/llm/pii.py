@@ -53,12 +53,13 @@ RSD, MARGIN = 0.02, 0.9
 _IP = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 _AT, _DOT = r"(?:@|[(\[{<]at[)\]}>]|_at_)", r"(?:\.|[(\[{<]dot[)\]}>])"
 _BYTE, _BETWEEN = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})", r"(?:\.|-|_|\[\.\]|\(\.\))"
-#: What a found value of each kind must look like, in lower case and from end to end.
+#: What a found value of each kind must look like, in lower case and from end to end. Repeated groups are possessive or
+#: bounded: Java's matcher goes one call deeper for each repeat of any other.
 SHAPES = {
-    "email": rf"^[\p{{L}}\p{{M}}\p{{N}}._%+-]+{_AT}[\p{{L}}\p{{M}}\p{{N}}-]+(?:{_DOT}[\p{{L}}\p{{M}}\p{{N}}-]+)+$",
+    "email": rf"^[\p{{L}}\p{{M}}\p{{N}}._%+-]+{_AT}[\p{{L}}\p{{M}}\p{{N}}-]++(?:{_DOT}[\p{{L}}\p{{M}}\p{{N}}-]++)++$",
     "ip": rf"^(?:{_BYTE}(?:{_BETWEEN}{_BYTE}){{3}}|[0-9a-f]{{1,4}}(?:::?[0-9a-f]{{1,4}}){{3,7}})$",
-    "card": r"^(?=(?:[^0-9]*[0-9]){13,19}[^0-9]*$)[0-9](?:[._/-]?[0-9])+$",
-    "phone": r"^(?=(?:[^0-9]*[0-9]){7,15}[^0-9]*$)[+(]{0,2}[0-9](?:[.()/_-]{0,2}[0-9])+$",
+    "card": r"^(?=(?:[^0-9]*[0-9]){13,19}[^0-9]*$)[0-9](?:[._/-]?[0-9])++$",
+    "phone": r"^(?=(?:[^0-9]*[0-9]){7,15}[^0-9]*$)[+(]{0,2}[0-9](?:[.()/_-]{0,2}[0-9])++$",
 }
 #: Words that may have one of the shapes. Look-behinds keep the matcher from starting inside a word.
 CANDIDATE = (
