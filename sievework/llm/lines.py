@@ -6,7 +6,8 @@ travel as 64-bit hashes. As the ratios of a host's lines sum to its mean number
 pre-aggregated before the shuffle, so a line on every page of a hot host costs a row per task.
 
 Defined results: a null URL counts as the empty host; a null text has no lines; hosts with fewer than ``min_pages``
-pages lose nothing; repeated rows count as pages; an empty table gives an empty result; other columns are ignored.
+pages lose nothing; repeated rows count as pages; an empty table gives an empty result; other columns are ignored. A very
+long page costs time and memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -14,18 +15,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import durable, maybe_broadcast
+from ._common import durable, let, maybe_broadcast
 from .url_filter import split_url
 
 _BLOCK = r"(?i)<(?:br|/?(?:p|div|li|ul|ol|nav|article|header|footer|section|h[1-6]|tr|td|th|table|title|head|body|html|aside|main|blockquote|pre))\b[^>]*>"
 
 
 def html_lines(html: Column) -> Column:
-    """Visible lines of a web page: scripts, styles and comments go, block elements and line feeds break lines."""
-    t = F.coalesce(html, F.lit(""))
-    t = F.regexp_replace(t, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " ")
-    t = F.regexp_replace(F.regexp_replace(t, _BLOCK, "\n"), r"<[^>]*>", "")
-    return text_lines(t)
+    """Visible lines of a web page: scripts, styles and comments go (one that is not closed ends with the page), block
+    elements and line feeds break lines. Linear in the page's length, whatever it holds."""
+    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)", " ")
+    return text_lines(let(t, lambda t: let(F.struct(t.alias("all"), F.substring_index(t, ">", -1).alias("tail")), _untagged)))
+
+
+def _untagged(x: Column) -> Column:
+    """Without a > after it nothing is a tag, and looking for one from every < would take quadratic time: what follows
+    the last > stays as it is."""
+    tagged = F.left(x["all"], F.length(x["all"]) - F.length(x["tail"]))
+    return F.concat(F.regexp_replace(F.regexp_replace(tagged, _BLOCK, "\n"), r"<[^>]*>", ""), x["tail"])
 
 
 def text_lines(text: Column) -> Column:

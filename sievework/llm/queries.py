@@ -115,7 +115,7 @@ WITH parsed AS (
          translate(regexp_extract(CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          list_filter(list_transform(string_split(
            regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-             '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'),
+             '(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)', ' ', 'g'),
              '(?i)<(?:br|/?(?:p|div|li|ul|ol|nav|article|header|footer|section|h[1-6]|tr|td|th|table|title|head|body|html|aside|main|blockquote|pre))\b[^>]*>', chr(10), 'g'),
              '<[^>]*>', '', 'g'), chr(10)),
            lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines
