@@ -102,8 +102,3 @@ def first_per_key(df: DataFrame, key: Column, *order: str) -> DataFrame:  # W07
     cols = df.columns
     one = df.groupBy(key.alias("_k")).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
     return one.select("_r.*")
-
-
-def running_start(df: DataFrame, key: str, size: str) -> DataFrame:  # W14
-    """_start: the sum of the sizes of all rows before, in the order of a numeric key."""
-    return running(df, key, {"_end": size}).withColumn("_start", F.col("_end") - F.col(size)).drop("_end", "_end_all")

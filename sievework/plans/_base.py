@@ -19,6 +19,8 @@ class Plan:
 
     def __call__(self, sql: str | None = None):
         def add(f):
+            if f.__name__ in self.queries:
+                raise ValueError(f"registered twice: {f.__name__}")
             self.queries[f.__name__] = f
             if sql:
                 self.sql[f.__name__] = sql

@@ -171,12 +171,6 @@ def f20_context(spark, d):
     return docs(spark, d).select("doc_id", x.keyword_any(F.col("text"), ["license", "stor"]).alias("in_context"))
 
 
-@query("SELECT doc_id, 'strict' AS tag FROM documents WHERE source IN ('src1', 'src2') AND contains(lower(text), 'the')")
-def s11_derived_cache(spark, d):
-    parent = docs(spark, d).where(F.col("source").isin("src1", "src2"))
-    return parent.where(x.keyword_any(F.col("text"), ["the"])).select("doc_id", F.lit("strict").alias("tag"))
-
-
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 3")
 def t01_top_counts(spark, d):
     return docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "source").limit(3)

@@ -329,15 +329,6 @@ def w06_ith_element(spark, d):
     return splits.numbered(docs(spark, d).select("source", "doc_id"), "doc_id", "source").select("source", "doc_id", F.col("_rn").alias("nth"))
 
 
-@query("WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, floor(coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 32)::BIGINT AS batch FROM g) SELECT conv_id, turn, batch FROM conversations JOIN s USING (conv_id)")
-def w14_group_batches(spark, d):
-    """Groups packed into batches of about 32 rows, none cut: the group goes to the batch its running start is in.
-    Group sizes are summed first; only they are ordered."""
-    t = table(spark, d, "conversations").select("conv_id", "turn")
-    g = splits.running_start(t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "conv_id", "n")
-    return t.join(g.select("conv_id", F.floor(F.col("_start") / 32).alias("batch")), "conv_id")
-
-
 @query("WITH p AS (SELECT n_nationkey * 1000000 + item_id AS key, n_name, item_id, '[' || n_name || '] ' || text AS prompt FROM nation, benchmark), f AS (SELECT min(key) AS key FROM p GROUP BY " + NORM.format("prompt") + f") SELECT n_name, item_id, prompt FROM p JOIN f USING (key) WHERE " + NORM.format("prompt") + " NOT IN (SELECT " + NORM.format("text") + f" FROM benchmark) ORDER BY {HASH32.format('key')}, key LIMIT 500")
 def g02_template_product(spark, d):
     """Frames x topics, the first of each normalised prompt, without those that equal a benchmark item, shuffled by hash

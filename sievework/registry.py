@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["metric_queries", "text_queries", "data_queries", "io_queries", "scoring_queries", "build_queries"]
+MODULES = ["metric_queries", "text_queries", "data_queries", "io_queries", "scoring_queries", "build_queries", "training_queries"]
 
 
 def _merged(name: str) -> dict:
     out: dict = {}
     for m in MODULES:
-        out |= getattr(import_module(f"sievework.plans.{m}"), name)
+        each = getattr(import_module(f"sievework.plans.{m}"), name)
+        if twice := sorted(set(out) & set(each)):
+            raise ValueError(f"registered twice: {', '.join(twice)}")
+        out |= each
     return out
 
 

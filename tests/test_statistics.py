@@ -104,16 +104,6 @@ def test_water_filling(spark, tiny):
     assert all(taken[k] <= min(n, 80) for k, n in sizes.items()) and (not rest or max(rest) - min(rest) <= 1)
 
 
-def test_group_batches(spark, tiny):
-    sizes = Counter(r["conv_id"] for r in table(spark, tiny, "conversations").select("conv_id").collect())
-    want, start = {}, 0
-    for conv in sorted(sizes):
-        want[conv] = start // 32
-        start += sizes[conv]
-    got = QUERIES["w14_group_batches"](spark, tiny).collect()
-    assert len(got) == start and all(r["batch"] == want[r["conv_id"]] for r in got)
-
-
 def chained_hash(*parts):
     """The engine's 64-bit hash of numbers: each part's hash seeds the next."""
     seed = 42
