@@ -33,11 +33,3 @@ def summary(prepared: DataFrame) -> DataFrame:
     total = train.agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k"))
     w = train.crossJoin(F.broadcast(total)).select(F.col("label").alias("_l"), r6(ratio(F.col("t"), F.col("k") * F.col("n"))).alias("weight"))
     return c.join(F.broadcast(w), F.col("label") == F.col("_l")).drop("_l")
-
-
-def zipped(a: DataFrame, b: DataFrame, key: str) -> DataFrame:  # J07
-    """Two lists side by side by their item; a different number of rows or different items raise an error."""
-    n, m = a.count(), b.count()
-    if n != m or a.join(b, key, "full").count() != n:
-        raise ValueError(f"lists of {n} and {m} rows do not hold the same items")
-    return a.join(b, key)

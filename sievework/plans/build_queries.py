@@ -139,13 +139,6 @@ def d26_clean_eval(spark, d):
     return fresh.select("doc_id", F.col("q").alias("qhash"), F.col("toxic").alias("label"))
 
 
-@query(f"WITH {SCORED} SELECT a.item_id, a.prob AS first, b.prob_b AS second, (a.prob >= 0.5::DOUBLE) <> (b.prob_b >= 0.5::DOUBLE) AS differ FROM scored a JOIN scored b USING (item_id)")
-def j07_positional_zip(spark, d):
-    """Two prediction lists put side by side by item; lists of different length or items are refused."""
-    a, b = scored(spark, d).select("item_id", F.col("prob").alias("first")), scored(spark, d).select("item_id", F.col("prob_b").alias("second"))
-    return builds.zipped(a, b, "item_id").withColumn("differ", (F.col("first") >= 0.5) != (F.col("second") >= 0.5))
-
-
 @query("SELECT item_id, p AS perturbation, sha256(CASE p WHEN 'upper' THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 'leet' THEN translate(text, 'aeiost', '431057') ELSE replace(text, ' ', '  ') END) AS digest FROM benchmark, (VALUES ('upper'), ('leet'), ('double_space')) v(p)")
 def j12_perturbation_cross(spark, d):
     t = F.col("text")

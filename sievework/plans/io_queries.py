@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import splits
 from ..session import scratch_path
-from ..sources import readers
+from ..sources import ordered, readers
 from ..streaming import streams
 from ._base import HASH32, Plan, table
 
@@ -161,4 +161,46 @@ def st3_log_watcher(spark, d):
     return spark.read.parquet(f"{path}/state")
 
 
+def write_in_order(df, path, order, value):
+    """The rows' lines in key order over several files, whose names ascend with the key."""
+    df.repartitionByRange(5, *order).sortWithinPartitions(*order).select(value.alias("value")).write.text(path)
+    return path
+
+
+@query("""WITH a AS (SELECT doc_id, CASE WHEN lang = 'de' THEN 'bad' WHEN lang = 'fr' THEN 'blank' ELSE 'good' END AS kind, 0 AS f FROM documents),
+b AS (SELECT vec_id AS doc_id, 'good' AS kind, 1 AS f FROM embeddings),
+n AS (SELECT doc_id, kind, f, row_number() OVER (ORDER BY f DESC, doc_id) - 1 AS number FROM (FROM a UNION ALL FROM b))
+SELECT CASE WHEN kind = 'good' THEN doc_id END AS id, CASE WHEN kind = 'good' THEN number END AS number, kind, f AS source FROM n WHERE kind <> 'blank'""")
+def s03_lines_in_order(spark, d):
+    """Two sets of JSON-lines files, the second given first: every record with its line number over all, bad lines set aside."""
+    path = scratch_path(spark, "s03")
+    row = lambda c: F.to_json(F.struct(F.col(c).alias("id")))
+    line = F.when(F.col("lang") == "de", F.concat(F.lit("{broken "), "doc_id")).when(F.col("lang") == "fr", "  ").otherwise(row("doc_id"))
+    first = write_in_order(table(spark, d, "embeddings").select("vec_id"), f"{path}/b", ["vec_id"], row("vec_id"))
+    second = write_in_order(docs(spark, d).select("doc_id", "lang"), f"{path}/a", ["doc_id"], line)
+    read = ordered.jsonl(spark, [first, second], "id long")
+    source = F.when(F.contains("file", F.lit("/b/")), 1).otherwise(0).alias("source")
+    good = read.rows.select("id", "number", F.lit("good").alias("kind"), source)
+    return good.unionByName(read.bad.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("number"), F.lit("bad").alias("kind"), source))
+
+
+@query("WITH n AS (SELECT doc_id, toxic, quality, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM labels) SELECT number, toxic::VARCHAR AS \"left\", quality::VARCHAR AS \"right\", toxic = quality AS same FROM n")
+def j07_positional_zip(spark, d):
+    """Two lists of predictions in files put side by side by line; neither holds a key. Unequal lengths are refused."""
+    path = scratch_path(spark, "j07")
+    l = table(spark, d, "labels").select("doc_id", "toxic", "quality")
+    sides = [ordered.lines(spark, write_in_order(l, f"{path}/{c}", ["doc_id"], F.col(c).cast("string"))) for c in ("toxic", "quality")]
+    return ordered.zipped(*sides).withColumn("same", F.col("left") == F.col("right"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS rn FROM orders) WHERE rn = 1")
+def w07_first_line(spark, d):
+    """Files in the order of prices: the first line of each customer, not the least key."""
+    path = scratch_path(spark, "w07")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    write_in_order(o, path, ["o_totalprice", "o_orderkey"], F.to_json(F.struct("o_custkey", "o_orderkey")))
+    read = ordered.jsonl(spark, path, "o_custkey long, o_orderkey long").rows
+    return ordered.first_lines(read, "o_custkey").select("o_custkey", "o_orderkey")
+
+
 QUERIES, SQL = query.queries, query.sql
