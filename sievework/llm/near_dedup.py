@@ -318,11 +318,11 @@ def cross_pairs(members: DataFrame, texts: DataFrame, size: int, threshold: int)
     per = left.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k"))
     tops = per.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m")).where("m > top.k")
     cuts = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
-    tops = tops.select("key", F.col("top.c").alias("major"), cuts(F.col("top.k")).alias("n_major"), cuts(F.col("m") - F.col("top.k")).alias("n_minor"))
+    tops = tops.select("key", F.col("m").alias("_n"), F.col("top.c").alias("major"), cuts(F.col("top.k")).alias("n_major"), cuts(F.col("m") - F.col("top.k")).alias("n_minor"))
     is_major, place = F.col("c") == F.col("major"), F.xxhash64("b", F.lit(7))
     at = F.when(is_major, F.col("n_minor") + F.pmod(place, F.col("n_major"))).otherwise(F.pmod(place, F.col("n_minor"))).cast("int")
     others = F.when(is_major, F.col("n_minor")).otherwise(F.col("n_minor") + F.col("n_major"))
-    met = left.join(tops, "key").select("key", "b", "c", at.alias("at"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
+    met = hot_join(left, durable(tops, "near-tops"), ["key"]).select("key", "b", "c", at.alias("at"), F.explode(F.sequence(F.lit(0), others - 1)).alias("other"))
     met = met.select("key", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "b", "c")
     rows = met.join(sig.drop("digest", "shingles"), met["b"] == sig["id"]).drop("id")
     rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
@@ -371,12 +371,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = durable(sketch(docs, id_col, text_col, size), "near-sketch")
     filled = sketches.where("n > 0 AND id IS NOT NULL")
     repeated = not filled.groupBy("id").count().where("count > 1").isEmpty()
-    sets = filled.groupBy("set_hi", "set_lo", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    digest = ["set_hi", "set_lo", "n"]
+    # rows of one set have one sketch, so any of them gives it: no join back to the sketches
+    sets = filled.groupBy(*digest).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_n"), F.first("registers").alias("registers"))
     sets = durable(sets, "near-sets")
     # every row of a class hangs on its representative; classes of one row need no link
-    copies = filled.select("id", "set_hi", "set_lo", "n").join(sets.where("copies > 1"), ["set_hi", "set_lo", "n"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
-    reps = sets.join(filled.select("id", "set_hi", "set_lo", "n", "registers"), ["set_hi", "set_lo", "n"]).where("id = rep")
-    reps = durable(reps.groupBy("id", "n", "set_hi", "set_lo").agg(F.first("registers").alias("registers")).select("id", "n", "registers"), "near-reps")
+    classes = durable(sets.where("_n > 1").select(*digest, "rep", "_n"), "near-classes")
+    copies = hot_join(filled.select("id", *digest), classes, digest).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    reps = durable(sets.select(F.col("rep").alias("id"), "n", "registers"), "near-reps")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * ROWS + 1, F.lit(ROWS))))).alias("key")
     members = reps.select("id", band)
     buckets = members.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("_n")).where("a <> z").select("key", "a", "_n")
@@ -387,8 +389,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = durable(components(edges), "near-parts")
     # the rest: buckets whose members are in several components; pairs with the smallest id are settled already
     tagged = shared.join(parts.select(F.col("id").alias("b"), F.col("component")), "b", "left").select("key", "a", "b", F.coalesce("component", "b").alias("c"))
-    several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi AND m > 2").select("key")
-    open_ = durable(tagged.where("a <> b").join(several, "key").select("key", "b", "c"), "near-open")
+    several = tagged.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi AND _n > 2").select("key", "_n")
+    open_ = durable(hot_join(tagged.where("a <> b"), durable(several, "near-several"), ["key"]).select("key", "b", "c"), "near-open")
     if not open_.isEmpty():
         rest = cross_pairs(open_, texts, size, threshold).join(pairs, ["a", "b"], "left_anti")
         more = durable(verify(rest, texts, size, threshold, repeated), "near-links")
