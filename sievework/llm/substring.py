@@ -3,8 +3,8 @@
 A window is 50 consecutive words. Keeping the hash of every window of history would outgrow the corpus, so windows are
 filed by content: among the 10-word hashes inside a window the smallest is its anchor (winnowing), and consecutive
 windows with one anchor form a block. Equal windows have equal anchors, wherever they stand. A block is known by its
-anchor's hash, made of word hashes, and by an independent hash of the bytes of all its words, 128 bits together; equality
-rests on them, the words themselves are not compared again.
+anchor's hash, made of word hashes, and by an independent hash of the bytes of all its words, two polynomials modulo a
+61-bit prime at seeded points of their own; equality rests on them, the words themselves are not compared again.
 
 The index holds immutable runs, each sorted by anchor: (anchor, block, smallest doc_id). A batch of documents is
 merge-joined with the runs and with itself:
@@ -192,7 +192,8 @@ class FingerprintIndex:
         release(spark)
         # anchors with several different blocks, of which one begins in this batch after the first of all
         several = together.groupBy("fp").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("lo"), F.max("m").alias("hi")).where((F.col("k") > 1) & (F.col("lo") < F.col("hi")) & (F.col("hi") >= F.lit(lowest)))
-        firsts = together.join(several.select("fp"), "fp").groupBy(F.col("m").alias("doc_id")).agg(F.collect_set(F.struct("bh")).alias("wanted"))
+        several = durable(several.select("fp", F.col("k").alias("_n")), "several")
+        firsts = hot_join(together, several, ["fp"]).groupBy(F.col("m").alias("doc_id")).agg(F.collect_set(F.struct("bh")).alias("wanted"))
         firsts = durable(firsts, "firsts")
         windows = store.join(firsts, "doc_id").mapInArrow(_find_windows(w), "h1 bigint, h2 bigint, doc_id bigint, tag int, start int")
         windows = durable(windows, "windows")
