@@ -133,7 +133,7 @@ def vote_patterns(measured: DataFrame) -> tuple[DataFrame, Column, int]:
     """The counted vote patterns, the array of votes and the number of rules."""
     votes = F.array(*rules().values())
     counted = measured.groupBy(votes.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    return durable(counted.coalesce(1), "quality-votes"), votes, len(rules())
+    return durable(counted, "quality-votes"), votes, len(rules())
 
 
 def base_failed(f: str = "_f") -> Column:
