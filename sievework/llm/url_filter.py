@@ -29,6 +29,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = r"[^a-z0-9]+"
 #: Rules that the plan itself holds.
 FEW = 2_000
+#: Rules without a token that run on a URL one after the other.
+BLOCK = 500
 
 # The rules of the contract.
 CONTRACT_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
@@ -125,13 +127,16 @@ def _judged(index: DataFrame, host: Column, path: Column) -> Column:
 def _judged_by_join(urls: DataFrame, index: DataFrame) -> DataFrame:
     """Distinct (_url, rule, verdict) for an index of any size. ``urls``: url, host, path."""
     target = F.concat("host", "path")
+    blocks = max(1, -(-index.where("token IS NULL").count() // BLOCK))
     rows = durable(urls.select("url", target.alias("target")).distinct(), "url-texts")
     exploded = rows.select("url", "target", F.explode_outer(tokens(F.col("target"))).alias("token"))
     filed = durable(index.where("token IS NOT NULL").groupBy("token").agg(F.collect_list(F.struct("regex", "rule_verdict", "rule_name")).alias("rules")), "url-filed")
     fits = lookup(exploded, filed, ["token"], F.col("url"), FEW).select("url", "target", F.inline("rules")).where(F.rlike("target", F.col("regex")))
     fits = fits.select("url", "rule_verdict", "rule_name")
-    for r in index.where("token IS NULL").collect():  # run on every URL in any case
-        fits = fits.unionByName(rows.where(F.col("target").rlike(r["regex"])).select("url", F.lit(r["rule_verdict"]).alias("rule_verdict"), F.lit(r["rule_name"]).cast("string").alias("rule_name")))
+    # rules without a token run on every URL in any case: in blocks, one row for each
+    always = index.where("token IS NULL").groupBy(F.pmod(F.xxhash64("regex"), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct("regex", "rule_verdict", "rule_name")).alias("rules"))
+    met = rows.crossJoin(maybe_broadcast(durable(always, "url-always"), FEW)).select("url", F.inline(F.filter("rules", lambda r: F.rlike("target", r["regex"]))))
+    fits = fits.unionByName(met.select("url", "rule_verdict", "rule_name"))
     rule, verdict = _best(F.col("fits"))
     per = fits.groupBy("url").agg(F.collect_set(F.struct("rule_verdict", "rule_name")).alias("fits")).select("url", rule.alias("rule"), verdict.alias("verdict"))
     return rows.select("url").join(per, "url", "left").select(F.col("url").alias("_url"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))

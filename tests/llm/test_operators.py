@@ -649,6 +649,16 @@ def test_url_patterns(spark, monkeypatch):
         assert {r["verdict"] for r in url_filter.filter_urls(pages, rules=table.limit(0)).collect()} == {"allow"}
 
 
+def test_many_url_rules(spark):
+    """A hundred thousand rules from a table, of which a thousand have no token."""
+    rules = spark.range(99_000).select(F.concat(F.lit("||h"), "id", F.lit(".example^")).alias("pattern"), F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("name"))
+    wild = spark.range(1_000).select(F.concat(F.lit("*"), F.translate(F.col("id").cast("string"), "0123456789", "!$&'(),;@~"), F.lit("*")).alias("pattern"), F.lit("block").alias("verdict"), F.concat(F.lit("w"), "id").alias("name"))
+    urls = [(1, "http://h7.example/a"), (2, "http://h98999.example"), (3, "http://h99000.example/"), (4, "http://x.org/a(b"), (5, "http://x.org/$&'"), (6, None)]
+    got = url_filter.filter_urls(spark.createDataFrame(urls, "page_id bigint, url string"), rules=rules.unionByName(wild)).collect()
+    verdicts = {r["page_id"]: r["verdict"] for r in got}
+    assert verdicts == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow"}
+
+
 def test_pipeline(spark, small, rows):
     import corpus_pipeline
 
