@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import splits
 from ..session import scratch_path
 from ..sources import ordered, readers
-from ..streaming import streams
+from ..streaming import stateful, streams
 from ._base import HASH32, Plan, table
 
 query = Plan()
@@ -143,22 +143,26 @@ def st1_scored_stream(spark, d):
     return spark.read.schema("event_id long, flag boolean").parquet(f"{path}/out")
 
 
-@query("SELECT DISTINCT event_id FROM events")
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def st2_resumed_stream(spark, d):
-    """Two runs with their own checkpoints: the second adds nothing."""
+    """The first event of each user and type; the query is started again from its checkpoint and adds nothing."""
     path = scratch_path(spark, "st2")
-    for k in range(2):
-        finish(streams.resume_stream(event_stream(spark, d).select("event_id"), ["event_id"], f"{path}/sink", f"{path}/checkpoint{k}"))
-    return spark.read.parquet(f"{path}/sink")
+    for _ in range(2):
+        stream = event_stream(spark, d).select("user_id", "event_type", "event_id")
+        finish(stateful.to_files(stateful.resume(stream, ["user_id", "event_type"], "event_id"), f"{path}/sink", f"{path}/checkpoint"))
+    return spark.read.schema("user_id long, event_type string, event_id long").parquet(f"{path}/sink")
 
 
-@query("SELECT user_id::VARCHAR AS run, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
+@query("""WITH r AS (SELECT user_id::VARCHAR AS run, arg_max(event_type, (ts, event_type)) AS status, count(*) AS lines, max(ts) AS seen FROM events GROUP BY user_id),
+newest AS (SELECT max(ts) AS t FROM events)
+SELECT run, CASE WHEN status = 'purchase' THEN 'over' ELSE 'progress' END AS kind, status, lines FROM r
+UNION ALL SELECT run, 'silent', status, lines FROM r, newest WHERE status <> 'purchase' AND seen + INTERVAL 6 HOUR < t - INTERVAL 10 MINUTE""")
 def st3_log_watcher(spark, d):
+    """Users as runs, their events as log lines; a purchase ends a run. Who says nothing for six hours is reported."""
     path = scratch_path(spark, "st3")
-    line = F.concat_ws(" ", F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.concat(F.lit("status="), "event_type"))
-    state = streams.watch_log(event_stream(spark, d).select(line.alias("value")))
-    finish(state.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(f"{path}/state")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start())
-    return spark.read.parquet(f"{path}/state")
+    line = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"), F.col("user_id").cast("string"), F.concat(F.lit("status="), "event_type"))
+    finish(stateful.to_files(stateful.watch(event_stream(spark, d).select(line.alias("value")), "6 hours", over=("purchase",)), f"{path}/out", f"{path}/checkpoint", timers=True))
+    return spark.read.schema(stateful.REPORT).parquet(f"{path}/out").select("run", "kind", "status", "lines")
 
 
 def write_in_order(df, path, order, value):

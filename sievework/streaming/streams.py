@@ -1,5 +1,4 @@
-"""Structured Streaming forms: scoring of arriving rows, resumable generation, a log watcher, and (extensions) event
-windows with watermarks."""
+"""Structured Streaming forms: scoring of arriving rows, and (extensions) event windows with watermarks."""
 
 from __future__ import annotations
 
@@ -14,27 +13,6 @@ def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], pat
     return score(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def resume_stream(stream: DataFrame, key: list[str], sink: str, checkpoint: str) -> StreamingQuery:  # ST2
-    """Appends only keys the sink lacks; a restarted stream repeats no work."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.dropDuplicates(key)
-        try:
-            batch = batch.join(spark.read.parquet(sink).select(*key), key, "left_anti")
-        except Exception as e:  # the first batch finds no sink
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        batch.write.mode("append").parquet(sink)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def watch_log(lines: DataFrame) -> DataFrame:  # ST3
-    at = F.regexp_extract("value", r"^(\d+)", 1).cast("long")
-    return lines.groupBy(F.regexp_extract("value", r"^\d+ (\S+)", 1).alias("run")).agg(F.max_by(F.regexp_extract("value", r"status=(\S+)", 1), at).alias("status"))
-
-
 def rate_windows(events: DataFrame, flag: Column, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Share of flagged events per tumbling or sliding window; works on streams (late rows drop) and tables."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
