@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .splits import hash32
 
 
-def gram(df: DataFrame, col: str, dim: int) -> np.ndarray:
-    """X'X in one aggregate of dim * (dim + 1) / 2 sums."""
-    sums = [F.sum(F.get(col, F.lit(i)).cast("double") * F.get(col, F.lit(j)).cast("double")) for i in range(dim) for j in range(i, dim)]
-    row = df.agg(F.array(*sums).alias("g")).first()["g"]
-    out = np.zeros((dim, dim))
-    out[np.triu_indices(dim)] = row
-    return out + np.triu(out, 1).T
-
-
-def concept_direction(df: DataFrame, col: str, label: str, dim: int, ridge: float = 1.0) -> np.ndarray:  # M07
-    """Unit direction of a ridge least-squares fit of the label."""
-    xy = np.array(df.agg(F.array(*[F.sum(F.get(col, F.lit(i)).cast("double") * F.col(label)) for i in range(dim)]).alias("v")).first()["v"])
-    w = np.linalg.solve(gram(df, col, dim) + ridge * np.eye(dim), xy)
-    return w / max(1e-12, np.linalg.norm(w))
-
-
-def project_out(df: DataFrame, col: str, w: np.ndarray, out: str) -> DataFrame:
-    """x - (x.w) w, with array expressions."""
-    weights = F.array(*[F.lit(float(v)) for v in w])
-    dot = F.aggregate(F.zip_with(col, weights, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
-    return df.withColumn("_dot", dot).withColumn(out, F.zip_with(col, weights, lambda a, b: a.cast("double") - F.col("_dot") * b)).drop("_dot")
-
-
 def out_of_fold(df: DataFrame, key: str, features: str, label: str, folds: int = 5) -> DataFrame:  # M01, M08
     """Out-of-fold probabilities of a logistic regression; folds by hash of the key."""
     from pyspark.ml.classification import LogisticRegression

@@ -86,15 +86,25 @@ def per_stratum(df: DataFrame, key: str, quota: Column, *by: str, seed: int = 42
     return ranked(df, key, *by, seed=seed).where(F.col("_rn") <= quota).drop("_rn", "_n")
 
 
+GOLDEN = 0.6180339887498949
+
+
 def group_split(df: DataFrame, group: Column, stratum: str, ratios: tuple[float, float] = (0.7, 0.15), seed: int = 42) -> DataFrame:  # D12
-    """train / val / test by group, counted in groups within a stratum; no group crosses splits. Only distinct groups
-    are ranked; the rows get their split by a join on the group."""
+    """train / val / test by group: no group crosses splits, and each stratum keeps its share in all of them.
+
+    A group may hold rows of several strata, so it is placed by its whole vector of counts. Groups are numbered in the
+    order of these vectors, alike ones by hash, and number i goes where the fraction of i times the golden ratio falls: of
+    any stretch of that order, and so of any kind of group, each split gets its share to within a few groups."""
+    from ..sources.ordered import numbered
+
     tagged = df.withColumn("_g", group)
-    order = ranked(tagged.select("_g", stratum).distinct(), "_g", stratum, seed=seed)
-    a = F.floor(F.col("_n") * ratios[0])
-    b = a + F.floor(F.col("_n") * ratios[1])
-    split = F.when(F.col("_rn") <= a, "train").when(F.col("_rn") <= b, "val").otherwise("test")
-    return tagged.join(order.select("_g", stratum, split.alias("split")), ["_g", stratum]).drop("_g")
+    per = tagged.groupBy("_g", F.col(stratum).cast("string").alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = F.array_sort(F.collect_list(F.concat(F.coalesce("_s", F.lit("")), F.lit(":"), F.lpad(F.col("_c").cast("string"), 12, "0"))))  # one a stratum
+    groups = per.groupBy("_g").agg(F.array_join(counts, ",").alias("_v")).withColumn("_h", hash32(F.col("_g"), seed))
+    placed = numbered(groups, ["_v", "_h", "_g"], "_i")
+    at = F.col("_i") * F.lit(GOLDEN) - F.floor(F.col("_i") * F.lit(GOLDEN))
+    split = F.when(at < ratios[0], "train").when(at < ratios[0] + ratios[1], "val").otherwise("test")
+    return tagged.join(placed.select(F.col("_g").alias("_to"), split.alias("split")), F.col("_g").eqNullSafe(F.col("_to"))).drop("_g", "_to")
 
 
 def first_per_key(df: DataFrame, key: Column, *order: str) -> DataFrame:  # W07

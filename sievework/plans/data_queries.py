@@ -199,12 +199,12 @@ def d11_ngram_decontamination(spark, d):
     return decon.decontaminate(docs(spark, d), table(spark, d, "benchmark"))
 
 
-def _split_sql(group, rows, stratum):
-    return f"WITH g AS (SELECT DISTINCT {group} AS g, {stratum} FROM {rows}), r AS (SELECT *, row_number() OVER (PARTITION BY {stratum} ORDER BY {HASH32.format('g')}, g) AS rn, count(*) OVER (PARTITION BY {stratum}) AS n FROM g), s AS (SELECT g, {stratum}, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r)"
-
-
-@query(_split_sql("conv_id", "conversations", "role") + " SELECT conv_id, turn, c.role, split FROM conversations c JOIN s ON s.g = c.conv_id AND s.role = c.role")
+@query(f"""WITH c AS (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY conv_id, role),
+v AS (SELECT conv_id, string_agg(role || ':' || lpad(n::VARCHAR, 12, '0'), ',' ORDER BY role || ':' || lpad(n::VARCHAR, 12, '0')) AS v FROM c GROUP BY conv_id),
+i AS (SELECT conv_id, (row_number() OVER (ORDER BY v, {HASH32.format("conv_id")}, conv_id) - 1) * {splits.GOLDEN}::DOUBLE AS x FROM v)
+SELECT conv_id, turn, role, CASE WHEN x - floor(x) < 0.7::DOUBLE THEN 'train' WHEN x - floor(x) < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM conversations JOIN i USING (conv_id)""")
 def d12_group_split(spark, d):
+    """Conversations whole to one split each, roles in equal shares."""
     t = table(spark, d, "conversations").select("conv_id", "turn", "role")
     return splits.group_split(t, F.col("conv_id"), "role").select("conv_id", "turn", "role", "split")
 
@@ -363,26 +363,6 @@ def m06_group_contrast(spark, d):
     return ml.group_contrast(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
-@query()
-def m07_concept_projector(spark, d):
-    """After projection no component along the concept is left."""
-    e = table(spark, d, "embeddings").withColumn("y", (F.col("label") == 1).cast("double"))
-    w = ml.concept_direction(e, "embedding", "y", 64)
-    p = ml.project_out(e, "embedding", w, "projected")
-    weights = F.array(*[F.lit(float(v)) for v in w])
-    left = F.aggregate(F.zip_with("projected", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return p.select("vec_id", F.round(F.abs(left), 6).alias("along"))
-
-
-@query()
-def m08_linear_probe(spark, d):
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), (F.col("label") < 5).cast("double").alias("y"))
-    p = ml.out_of_fold(e, "vec_id", "features", "y")
-    return p.select("vec_id", "y", F.round("p", 6).alias("p"))
-
-
 @query(f"WITH {SCORED} SELECT source, max(CASE WHEN lang = 'en' THEN m END) AS en, max(CASE WHEN lang = 'de' THEN m END) AS de FROM (SELECT source, lang, round(avg(prob), 6) AS m FROM scored GROUP BY source, lang) GROUP BY source")
 def m19_candidate_table(spark, d):
     return scored(spark, d).groupBy("source").pivot("lang", ["en", "de"]).agg(F.round(F.avg("prob"), 6))

@@ -373,16 +373,6 @@ def w10_fixed_sequence_scan(spark, d):
     return k.where("kept").agg(F.min("threshold").alias("tau"))
 
 
-@query()
-def m13_conformal_bound(spark, d):
-    """Over-refusal bound: exact upper limits per threshold, kept from the strictest down to the first violation."""
-    c = m.sweep(scored(spark, d).where("label = 0"), GRID).select("threshold", "fp", (F.col("fp") + F.col("tn")).alias("n"))
-    k = c.withColumn("upper", stats.cp_interval("fp", "n")["high"])
-    a = k.select("threshold", "upper", F.explode(F.array(*map(F.lit, [0.05, 0.1, 0.15, 0.2, 0.4]))).alias("alpha"))
-    kept = a.withColumn("ok", F.bool_and(F.col("upper") <= F.col("alpha")).over(Window.partitionBy("alpha").orderBy(F.desc("threshold"))))
-    return kept.groupBy("alpha").agg(F.min(F.when(F.col("ok"), F.col("threshold"))).alias("tau"))
-
-
 TEMPS = "(SELECT (50 + 5 * i) / 100.0::DOUBLE AS temp FROM range(0, 60) r(i))"
 
 

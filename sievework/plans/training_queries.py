@@ -1,10 +1,12 @@
-"""Queries A27, M06, W14 and others: resampled metrics, contrastive loss, batches of whole groups."""
+"""Queries A27, M03, M06-M08, M11, M13, W14: fitted models and what is measured on their held-out scores, resampled
+metrics, contrastive loss, batches of whole groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import batches, contrast, resampled
+from ..operators import batches, calibration, contrast, metrics, model, probes, resampled
+from ..session import durable
 from ._base import HASH32, Plan, scored, table
 
 query = Plan()
@@ -54,4 +56,97 @@ def m06_contrastive_loss(spark, d):
     return contrast.group_losses(table(spark, d, "embeddings"), "vec_id", "embedding", g, "label").withColumn("loss", F.round("loss", 6))
 
 
+def model_scores(spark, d):
+    """Documents outside the training split with the probability of a model fitted on that split."""
+    t = table(spark, d, "documents").select("doc_id", "source", "lang", "text").join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    return durable(model.held_out(t, "doc_id", "text", "label").select(F.col("doc_id").alias("item_id"), "source", "lang", "label", "prob"), "held-out")
+
+
+@query()
+def m03_model_scores(spark, d):
+    """Held-out probabilities of the fitted model."""
+    return model_scores(spark, d)
+
+
+@query()
+def m03_model_all_scores(spark, d):
+    """The model, fitted on the training split of the labelled documents, over all documents."""
+    t = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    fitted = model.Model.of(model.fit(t.where(model.train_part(F.col("doc_id"))), "text", "label"))
+    p = fitted.probability(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", p.alias("prob"), (p >= 0.5).cast("int").alias("label"))
+
+
+@query()
+def a05_model_metrics(spark, d):
+    """The metric block of the model on held-out documents, overall and by language."""
+    s = model_scores(spark, d)
+    every = s.withColumn("lang", F.lit("all")).unionByName(s)
+    counts = metrics.derived(metrics.confusion(every, "lang"))
+    return counts.join(metrics.curve_metrics(every, 0.01, "lang"), "lang").select("lang", "tp", "fp", "tn", "fn", "precision", "recall", "f1", "fpr", "auroc", "ap", F.col("tpr").alias("tpr_at_1pct"))
+
+
+@query()
+def a27_model_intervals(spark, d):
+    """Seven metrics of the model on held-out documents with intervals."""
+    out = resampled.intervals(model_scores(spark, d), "item_id", "label", ["prob"])
+    return out.select("score", "metric", *[F.round(c, 6).alias(c) for c in ("point", "low", "high")], "n_valid")
+
+
+@query()
+def w01_model_curve(spark, d):
+    """True and false positives of the model down its held-out scores."""
+    return metrics.curve(model_scores(spark, d)).select("prob", "tp", "fp", "pos", "neg")
+
+
+@query()
+def m11_temperature(spark, d):
+    """The model's temperature, fitted on one half of its held-out scores, and loss, Brier and ECE of the other half."""
+    out = calibration.calibration_report(model_scores(spark, d), "item_id", "prob", "label")
+    return out.select("score", "n", *[F.round(c, 6).alias(c) for c in ("temperature", "nll", "brier", "ece")])
+
+
+@query()
+def m13_conformal_bound(spark, d):
+    """Thresholds whose false-alarm rate is bounded by calibration on half of the clean held-out documents, and what the
+    other half and the toxic ones show."""
+    out = calibration.conformal(model_scores(spark, d), "item_id", [0.05, 0.1, 0.15, 0.2, 0.4])
+    return out.select("alpha", "n_calibration", "n_test", *[F.round(c, 6).alias(c) for c in ("tau", "bound", "test_rate", "recall")])
+
+
+def embedded(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"), (F.col("label") % 2).cast("int").alias("concept"))
+
+
+@query()
+def m07_concept_rounds(spark, d):
+    """Directions of a concept that leave the task's alone: what a linear fit still explains of either, round by round."""
+    m = probes.centred(probes.moments(embedded(spark, d), "embedding", ["concept", "y"], 64), 64)
+    found = probes.deflate(*m)
+    return spark.createDataFrame([(k, round(c, 6), round(t, 6)) for k, (c, t) in enumerate(zip(found.concept, found.task))], "round int, concept double, task double")
+
+
+@query()
+def m07_concept_projector(spark, d):
+    """Embeddings without these directions: the longest part left along any of them, which is none."""
+    e = embedded(spark, d)
+    found = probes.deflate(*probes.centred(probes.moments(e, "embedding", ["concept", "y"], 64), 64))
+    p = probes.project(e, "embedding", found.directions, "projected")
+    along = [F.abs(F.aggregate(F.zip_with("projected", F.array(*[F.lit(float(v)) for v in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)) for w in found.directions]
+    return p.select("vec_id", F.round(F.array_max(F.array(F.lit(0.0), *along)), 6).alias("along"))
+
+
+@query()
+def m08_linear_probe(spark, d):
+    """Ten penalties over five folds: mean step-wise average precision, and which one is chosen."""
+    found = probes.grid_search(embedded(spark, d), "vec_id", "embedding", "y")
+    return spark.createDataFrame([(round(c, 6), round(v, 6), c == found.best) for c, v in found.table], "c double, mean_ap double, chosen boolean")
+
+
+@query()
+def m08_held_out_probe(spark, d):
+    """A probe fitted on 70 % of each class, and its scores of the rest."""
+    return probes.held_out_probe(embedded(spark, d), "vec_id", "embedding", "y", 1.0).withColumn("prob", F.round("prob", 6))
+
+
 QUERIES, SQL = query.queries, query.sql

@@ -59,18 +59,6 @@ def test_mcnemar(spark, tiny, rows):
     assert (r["a_only"], r["b_only"]) == (x, y) and r["p_value"] == pytest.approx(p, abs=2e-6)
 
 
-def test_conformal_bound(spark, tiny, rows):
-    clean = rows.prob[rows.label == 0]
-    want = {}
-    for alpha in (0.05, 0.1, 0.15, 0.2, 0.4):
-        want[alpha] = None
-        for t in sorted(GRID, reverse=True):
-            if limits(int((clean >= t).sum()), len(clean))[1] > alpha:
-                break
-            want[alpha] = t
-    assert {r["alpha"]: r["tau"] for r in QUERIES["m13_conformal_bound"](spark, tiny).collect()} == want
-
-
 def f1(y, p):
     den = 2 * (y & p).sum(-1) + (y ^ p).sum(-1)
     return 2 * (y & p).sum(-1) / den

@@ -154,18 +154,6 @@ def test_sample_and_remainder(spark):
     assert {r.k for r in s.collect()} == {r.k for r in splits.sample(df, "k", 20).collect()}
 
 
-def test_projection_removes_the_concept(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    rows = [(i, [float(v) for v in rng.normal(size=4) + (i % 2) * np.array([3, 0, 0, 0])], float(i % 2)) for i in range(100)]
-    df = spark.createDataFrame(rows, "id long, e array<double>, y double")
-    w = ml.concept_direction(df, "e", "y", 4)
-    assert abs(abs(w[0]) - 1) < 0.2
-    for r in ml.project_out(df, "e", w, "p").collect():
-        assert abs(np.dot(r["p"], w)) < 1e-9
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "m1.jsonl").write_text('{"query_id": "a", "refusal_rate": 0.5}\n\nnot json\n{"query_id": "b"}\n')
     good, bad = readers.jsonl(spark, str(tmp_path / "m1.jsonl"), "query_id string, refusal_rate double")
