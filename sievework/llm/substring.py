@@ -13,7 +13,7 @@ merge-joined with the runs and with itself:
 * where blocks with one anchor differ (edits, ends of passages), only the first document of each different block is
   looked at again, and its windows are verified one by one by two such hashes of their full words.
 
-The batch's blocks become a new run of the lowest tier; ``fanout`` runs of a tier are compacted into one of the next, so
+The batch's blocks become a new run of the lowest tier, listed in a manifest by which a later session opens the index again; ``fanout`` runs of a tier are compacted into one of the next, so
 that a row is rewritten a logarithmic number of times. Pre-aggregation before each shuffle makes hot passages cheap;
 blocks on very many documents are joined by a broadcast of bounded size. Tables of a batch go once its spans are written.
 
@@ -25,6 +25,8 @@ its words.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ._common import discard, durable_path, hot_join
 from ._common import durable as _durable
-from ._words import SPACES, Chunk, chunks, run_hashes, sliding_argmin
+from ._words import SEED, SPACES, Chunk, chunks, run_hashes, sliding_argmin
 
 GRAM = 10
 BLOCK_SCHEMA = "fp bigint, bh bigint, doc_id bigint, tag int, start int, n int"
@@ -142,30 +144,71 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class FingerprintIndex:
-    """The runs, oldest first, in the shared folder. ``add`` takes documents with ids above all of history's."""
+    """The runs, oldest first, in a folder, and which of them are valid: numbered manifests, of which the last counts.
 
-    def __init__(self, spark: SparkSession, window: int = 50, fanout: int = 2):
-        self.spark, self.window, self.fanout = spark, window, fanout
-        self.runs: list[tuple[int, str]] = []  # tier, path
+    ``path``: a folder that all executors share; an index that lives there already is opened, in this session or any later
+    one. Without a path the index is made anew in the shared folder and goes when the Python process ends. ``add`` takes
+    documents with ids above all of history's. A batch that fails leaves the index as its last manifest says."""
 
-    def _read(self, paths: list[str]) -> DataFrame | None:
-        return self.spark.read.schema("fp bigint, bh bigint, m bigint").parquet(*paths) if paths else None
+    def __init__(self, spark: SparkSession, window: int = 50, fanout: int = 2, path: str | None = None):
+        self.spark, self.window, self.fanout = spark, window, fanout
+        self.root = (path or durable_path(spark, "index")).rstrip("/")
+        self.runs: list[tuple[int, str]] = []  # tier, name of the run's folder
+        self.highest: int | None = None
+        self.generation = 0
+        self._open()
+
+    def _at(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _open(self) -> None:
+        path, fs = self._at("manifests")
+        if not fs.exists(path):
+            return
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+        if not numbers:
+            return
+        self.generation = max(numbers)
+        said = json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.root}/manifests/{self.generation:012d}.json").collect()))
+        if (said["window"], said["gram"], said["seed"]) != (self.window, GRAM, SEED):
+            raise ValueError(f"the index at {self.root} holds windows of {said['window']} words, grams of {said['gram']} and hashes of seed {said['seed']}")
+        self.runs, self.highest = [tuple(r) for r in said["runs"]], said["highest"]
+
+    def _commit(self) -> None:
+        """The next manifest, under a name that only one writer can create; then runs that it does not list go."""
+        self.generation += 1
+        said = {"window": self.window, "gram": GRAM, "seed": SEED, "highest": self.highest, "runs": self.runs}
+        unfinished, fs = self._at("manifests", f"{self.generation:012d}.part-{uuid.uuid4().hex}")
+        out = fs.create(unfinished, True)
+        out.write(bytearray(json.dumps(said).encode()))
+        out.close()
+        final = self._at("manifests", f"{self.generation:012d}.json")[0]
+        if fs.exists(final) or not fs.rename(unfinished, final):
+            raise RuntimeError(f"another writer has added to the index at {self.root}")
+        listed = {name for _, name in self.runs}
+        folder = self._at("runs")[0]
+        for status in fs.listStatus(folder) if fs.exists(folder) else ():
+            if status.getPath().getName() not in listed:
+                fs.delete(status.getPath(), True)
+
+    def _read(self, names: list[str]) -> DataFrame | None:
+        return self.spark.read.schema("fp bigint, bh bigint, m bigint").parquet(*(f"{self.root}/runs/{n}" for n in names)) if names else None
 
     def history(self) -> DataFrame | None:
-        return self._read([p for _, p in self.runs])
+        return self._read([name for _, name in self.runs])
 
     def _append(self, run: DataFrame, tier: int = 0) -> None:
-        path = durable_path(self.spark, "run")
-        _durable(run.sortWithinPartitions("fp", "bh"), path=path)
-        self.runs.append((tier, path))
+        name = f"{tier}-{uuid.uuid4().hex}"
+        _durable(run.sortWithinPartitions("fp", "bh"), path=f"{self.root}/runs/{name}")
+        self.runs.append((tier, name))
 
     def compact(self, tier: int) -> None:
         """Merges the runs of a tier into one of the next that keeps the smallest doc_id of each block."""
-        old = [p for t, p in self.runs if t == tier]
+        old = [name for t, name in self.runs if t == tier]
         self._append(self._read(old).groupBy("fp", "bh").agg(F.min("m").alias("m")), tier + 1)
-        self.runs = [(t, p) for t, p in self.runs if p not in old]
-        for p in old:
-            discard(self.spark, p)
+        self.runs = [(t, name) for t, name in self.runs if name not in old]
 
     def add(self, batch: DataFrame, store: DataFrame) -> DataFrame:
         """Duplicate spans (doc_id, tag, spans of start and n words) of the batch, which joins the index.
@@ -177,7 +220,10 @@ class FingerprintIndex:
             return _durable(df, path=used[-1])
 
         own = durable(batch.where("doc_id IS NOT NULL").mapInArrow(_find_blocks(w), BLOCK_SCHEMA), "blocks")
-        lowest = own.agg(F.min("doc_id").alias("m")).first()["m"]
+        ends = own.agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).first()
+        lowest = ends["m"]
+        if lowest is not None and self.highest is not None and lowest <= self.highest:
+            raise ValueError(f"the batch begins at doc_id {lowest}, the index holds ids up to {self.highest}")
         past = self.history()
         counted = durable(own.groupBy("fp", "bh").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x"), F.count(F.lit(1)).alias("_n")), "counted")
         new = counted.select("fp", "bh", "m")
@@ -208,10 +254,26 @@ class FingerprintIndex:
         while sum(t == tier for t, _ in self.runs) >= self.fanout:
             self.compact(tier)
             tier += 1
+        if ends["x"] is not None:
+            self.highest = ends["x"]
+        self._commit()
         release(spark)
         return spans
 
 
+def dedup_batch(batch: DataFrame, store: DataFrame, index: FingerprintIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of a new ``batch``, as `dedup_substrings` gives: what documents of earlier batches or smaller ids of this one
+    hold already is removed, and the batch joins the index. ``store``: all documents so far, the batch among them, of which only
+    those are read as texts that hold the first of several blocks with one anchor."""
+    rows = _rows(batch, id_col, text_col)
+    return _removed(rows, index.add(rows, _rows(store, id_col, text_col)))
+
+
+def _removed(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    joined = rows.join(spans.withColumnRenamed("doc_id", "_d").withColumnRenamed("tag", "_t"), (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t")), "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, n_batches: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (the kept words joined by one space).
 
@@ -228,5 +290,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         got = index.add(batch, store)
         spans = got if spans is None else spans.unionByName(got)
         below = upto
-    joined = rows.join(spans.withColumnRenamed("doc_id", "_d").withColumnRenamed("tag", "_t"), (F.col("doc_id") == F.col("_d")) & (F.col("tag") == F.col("_t")), "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(_remove, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return _removed(rows, spans)

@@ -1,5 +1,6 @@
 """The registered queries against brute force on whole small tables, and the operators on awkward rows."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -496,6 +497,35 @@ def test_substring_small_windows(spark, n_batches):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["h"]) for r in got} == want
 
 
+def test_index_lives_on_in_other_sessions(spark, tmp_path):
+    """Three crawls by three sessions on one folder give what one pass gives; wrong batches and windows are refused."""
+    import random
+
+    rng = random.Random(6)
+    passages = [" ".join(f"p{k}w{rng.randrange(400)}" for _ in range(70)) for k in range(6)]
+    texts = [(k, " ".join([f"own{k}x{i}" for i in range(rng.randrange(60))] + [rng.choice(passages)] * rng.randrange(1, 3) + [f"end{k}x{i}" for i in range(rng.randrange(30))])) for k in range(90)]
+    want = brute.substring(texts, 50)
+    at, cuts, got = f"{tmp_path}/index", (0, 30, 61, 90), {}
+    for lo, hi in zip(cuts, cuts[1:]):
+        session = spark.newSession()
+        table = lambda rows, s=session: s.createDataFrame(rows, "doc_id bigint, text string")
+        index = substring.FingerprintIndex(session, 50, path=at)
+        assert index.highest == (None if lo == 0 else lo - 1)
+        out = substring.dedup_batch(table(texts[lo:hi]), table(texts[:hi]), index)
+        got |= {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept_text"].encode()).hexdigest()) for r in out.collect()}
+    assert got == want and sum(x[1] for x in got.values()) > 2000
+    again = substring.FingerprintIndex(spark, 50, path=at)
+    assert again.generation == 3 and sorted(p.name for p in (tmp_path / "index" / "runs").iterdir()) == sorted(n for _, n in again.runs)
+    with pytest.raises(ValueError, match="holds ids up to 89"):
+        substring.dedup_batch(spark.createDataFrame(texts[5:6], "doc_id bigint, text string"), spark.createDataFrame(texts, "doc_id bigint, text string"), again)
+    with pytest.raises(ValueError, match="windows of 50 words"):
+        substring.FingerprintIndex(spark, 20, path=at)
+    late = substring.FingerprintIndex(spark, 50, path=at)
+    late.generation -= 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        late._commit()
+
+
 def test_mixing(spark, small, nasty):
     import duckdb
 
