@@ -234,12 +234,12 @@ def x18_terms(spark, d):
     return docs(spark, d).select("doc_id", F.size(x.terms(F.col("text"), ["the", "license"])).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, sha256(lower(regexp_replace(text, '[0-9]', '', 'g'))) AS digest FROM documents")
-def x14_de_leet(spark, d):
-    """Words spelt with a digit for their first e, i or o, and mostly letters otherwise, come back."""
-    plain = F.lower(F.regexp_replace("text", "[0-9]", ""))
-    spelt = F.regexp_replace(plain, r"(?<![^ ])([a-z]{2,})e([a-z]{2,})(?![^ ])", "$13$2")
-    return docs(spark, d).select("doc_id", sha(x.de_leet(spelt)).alias("digest"))
+@query()
+def x14_undo_evasion(spark, d):
+    """Texts spelt with signs for letters and, every third word, letter by letter, through the evasion normaliser."""
+    spaced = F.transform(F.split("text", " "), lambda w, i: F.when(i % 3 == 0, F.array_join(F.split(w, ""), " ")).otherwise(F.translate(w, "aeio", "@31\u200b0")))
+    t = docs(spark, d).select("doc_id", F.array_join(spaced, " ").alias("text"))
+    return x.undo_evasion_columns(t, "text").select("doc_id", sha(F.col("text")).alias("digest"))
 
 
 FAMILIES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url": r"https?://[^\s)>\]]+", "path": r"/(?:home|Users|tmp)/[A-Za-z0-9_./-]+", "phone": r"\+[0-9][0-9 ().-]{8,}[0-9]", "token": "token = \"[0-9a-f]+\"", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"}

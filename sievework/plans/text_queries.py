@@ -271,10 +271,22 @@ def x20_mask_terms(spark, d):
     return docs(spark, d).select("doc_id", sha(t).alias("digest"))
 
 
-@query("SELECT doc_id, contains(lower(text), 'license') AS has_license, starts_with(lower(text), 'the') AS the_prefix, regexp_matches(text, '!!') AS shouts FROM documents")
+def any_sql(t, phrases):
+    return "(" + " OR ".join("contains(lower(coalesce({0}, '')), '{1}')".format(t, p.replace("'", "''")) for p in phrases) + ")::INTEGER"
+
+
+#: What the assistant says, with phrases of every kind put before it by the turn's number.
+SAID = ["Of course. ", "I cannot help with this. That said, ", "I'm not able to say. ", "", "Certainly: "]
+TONE = ["however", "therefore", "the "]
+SAID_SQL = "CASE turn % 5 " + " ".join(f"WHEN {i} THEN '" + p.replace("'", "''") + "'" for i, p in enumerate(SAID)) + " END || text"
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, text AS prompt, {SAID_SQL} AS said FROM conversations) SELECT conv_id, turn, {any_sql('prompt', x.FRAMES)} AS frame, (trim(said, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = 'Certainly:')::INTEGER AS template, {any_sql('said', x.OPENINGS)} AS opening, {any_sql('said', x.REFUSALS)} * {any_sql('said', x.TURNS)} AS turned, {any_sql('said', TONE)} AS toned FROM t")
 def x19_markers(spark, d):
-    t = F.lower("text")
-    return docs(spark, d).select("doc_id", F.contains(t, F.lit("license")).alias("has_license"), F.startswith(t, F.lit("the")).alias("the_prefix"), F.col("text").rlike("!!").alias("shouts"))
+    """Framing, template, opening, refusal turned round and tone of a turn."""
+    said = F.concat(F.get(F.array(*map(F.lit, SAID)), (F.col("turn") % 5).cast("int")), F.col("text"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", x.markers(F.col("text"), said, "Certainly:", TONE).alias("m"))
+    return t.select("conv_id", "turn", "m.*")
 
 
 @query("SELECT page_id, regexp_extract(url, '^[^:]*://(.*)$', 1) AS rest FROM pages")
@@ -282,15 +294,42 @@ def x21_strip_wrapper(spark, d):
     return table(spark, d, "pages").select("page_id", F.element_at(F.split("url", "://", 2), 2).alias("rest"))
 
 
-VERDICT = r"list_filter(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: CASE w WHEN 'the' THEN 'yes' WHEN 'of' THEN 'no' END), lambda w: w IS NOT NULL)"
+#: Verdicts in five forms, by the turn's number, before or after the text.
+FORMS = ["Harmful request: {a}\nHarmful response: {b}\n", "Safety: {c}\n", "\n\n{d}\n", "<think>it is {e}</think> {f} ", "{f} Response harm: harmful "]
+WORDS = {"a": ("yes", "no"), "b": ("No", "Yes"), "c": ("Unsafe", "controversial"), "d": ("unsafe", "Safe"), "e": ("dangerous", "benign"), "f": ("it should not be flagged.", "I would flag it.")}
+
+
+def _form(k, odd):
+    return FORMS[k].format(**{name: pair[odd] for name, pair in WORDS.items()})
+
+
+def raw_sql():
+    cases = " ".join("WHEN {} THEN '{}'".format(2 * k + odd, _form(k, odd).replace("\n", "' || chr(10) || '")) for k in range(5) for odd in (0, 1))
+    return f"(CASE (2 * (turn % 5) + conv_id % 2) {cases} END) || text"
+
+
+def last_sql(tail):
+    cues = [("harmful", k, c) for k, c in x.HARM_CUES.items()] + [("unharmful", k, c) for k, c in x.SAFE_CUES.items()]
+    hits = ", ".join(f"struct_pack(e := length(regexp_extract({tail}, '(?is)^(.*{c})', 1)), r := {i}, verdict := '{v}', cue := '{k}')" for i, (v, k, c) in enumerate(cues))
+    return f"list_max([{hits}])"
 
 
-@query(f"SELECT conv_id, turn, {VERDICT}[-1] AS verdict FROM conversations")
-def x23_last_cue(spark, d):
-    """W11: the last cue of a text decides."""
-    cues = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    said = F.array_compact(F.transform(cues, lambda w: F.when(w == "the", "yes").when(w == "of", "no")))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.try_element_at(said, F.lit(-1)).alias("verdict"))
+@query(f"""WITH t AS (SELECT conv_id, turn, {raw_sql()} AS raw FROM conversations),
+h AS (SELECT *, lower(regexp_extract(raw, '[Rr]esponse\\s+harm:\\s*(harmful|unharmful)', 1)) AS line, string_split(raw, '</think>')[-1] AS tail FROM t),
+m AS (SELECT *, {last_sql("tail")} AS m FROM h)
+SELECT conv_id, turn, CASE lower(regexp_extract(raw, '(?i)Harmful request:\\s*(yes|no)', 1)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS request,
+       CASE lower(regexp_extract(raw, '(?i)Harmful response:\\s*(yes|no)', 1)) WHEN 'yes' THEN 1 WHEN 'no' THEN 0 END AS response,
+       CASE lower(regexp_extract(raw, '(?i)Safety:\\s*(safe|unsafe|controversial)', 1)) WHEN 'unsafe' THEN 1 WHEN 'controversial' THEN 1 WHEN 'safe' THEN 0 END AS graded,
+       CASE lower(regexp_extract(raw, '(?i)^\\s*(safe|unsafe)', 1)) WHEN 'safe' THEN 0 WHEN 'unsafe' THEN 1 END AS leading,
+       CASE WHEN line <> '' THEN line WHEN m.e > 0 THEN m.verdict ELSE 'unknown' END AS verdict, CASE WHEN line <> '' THEN 'structured' WHEN m.e > 0 THEN m.cue ELSE '' END AS cue FROM m""")
+def x23_verdicts(spark, d):
+    """Three parsers of verdict lines, and the one for free words (W11: the last cue decides)."""
+    forms = F.array(*[F.lit(_form(k, odd)) for k in range(5) for odd in (0, 1)])
+    raw = F.concat(F.get(forms, (2 * (F.col("turn") % 5) + F.col("conv_id") % 2).cast("int")), F.col("text"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", raw.alias("raw"))
+    r = F.col("raw")
+    out = t.select("conv_id", "turn", x.yes_no(r, "Harmful request").alias("request"), x.yes_no(r, "Harmful response").alias("response"), x.graded(r, unsure=1).alias("graded"), x.leading(r).alias("leading"), x.free_verdict(r).alias("v"))
+    return out.select("conv_id", "turn", "request", "response", "graded", "leading", "v.verdict", "v.cue")
 
 
 @query("SELECT doc_id, pmod_hash AS bucket FROM (SELECT doc_id, ('0x' || substr(md5(text), 1, 8))::BIGINT % 1000 AS pmod_hash FROM documents)")

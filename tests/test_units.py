@@ -208,3 +208,32 @@ def test_running_sums_and_quantiles(spark):
     ranks = {r["v"]: r["rank"] for r in metrics.average_ranks(df, "v", "rank").collect()}
     values = sorted(v for _, v, _ in data if v is not None)
     assert all(ranks[v] == pytest.approx((2 * values.index(v) + values.count(v) + 1) / 2) for v in set(values))
+
+
+def test_undo_evasion_against_plain_python(spark, tiny):
+    """Whole texts and hostile ones through the evasion normaliser, against its rules in plain Python."""
+    import re
+    import unicodedata
+
+    def plain(t):
+        t = unicodedata.normalize("NFKC", t)
+        t = "".join(c for c in t if c not in "​‌‍⁠﻿­")
+        t = re.sub(r"\b(?:\w\s){2,}\w\b", lambda m: m.group(0).replace(" ", ""), t)
+        table = str.maketrans("@310$!54", "aeiosisa")
+        return " ".join(w.translate(table) if sum(c.isalpha() for c in w) >= 2 and any(c in "@310$!54" for c in w) else w for w in t.split(" "))
+
+    texts = ["h0w t0 m@ke a c@k3", "k i l o   t h e   c e l l", "normal text 2024", "a b", "a b c", "a b\nc d e", "s​t­op", "ﬁne ①②", "é è à ô", "a  b  c", "5o5 $100 !!", "", "x " * 30_000, "a b cd e f g"]
+    texts += [r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").select("text").limit(120).collect() if r["text"]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: r["text"] for r in x.undo_evasion_columns(df, "text").collect()}
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts]
+
+
+def test_verdict_parsers(spark):
+    rows = ["Harmful request: YES\nHarmful response: no", "safety:  Controversial", "  UNSAFE\nS1", "safety first", "", "<think>unsafe</think> it is safe, though dangerous", "should be flagged, no: not flagged", "unharmful", "Response harm: unharmful but flag it", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string")
+    t = F.col("t")
+    got = df.select("i", x.yes_no(t, "Harmful request").alias("q"), x.yes_no(t, "Harmful response").alias("r"), x.graded(t).alias("g"), x.graded(t, unsure=1).alias("u"), x.leading(t).alias("l"), x.free_verdict(t).alias("v")).orderBy("i").collect()
+    assert [(r["q"], r["r"]) for r in got][:2] == [(1, 0), (None, None)]
+    assert (got[1]["g"], got[1]["u"], got[2]["g"]) == (0, 1, None) and [r["l"] for r in got[2:5]] == [1, 0, None]
+    assert [tuple(r["v"]) for r in got[4:]] == [("unknown", ""), ("harmful", "dangerous"), ("unharmful", "not-flagged"), ("unharmful", "unharmful"), ("unharmful", "structured"), ("unknown", "")]
