@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+from .metrics import auroc
 from .splits import hash32
 
 
@@ -29,6 +31,15 @@ def bag_of_words(df: DataFrame, text: str, vocabulary: int = 5000) -> DataFrame:
     return Pipeline(stages=steps).fit(df).transform(df).drop("_tok", "_kept")
 
 
+def predictability(df: DataFrame, key: str, text: str, label: str) -> DataFrame:  # M01
+    """One row: n, AUROC of out-of-fold probabilities of a bag of words, rows told with a confidence above 0.9 (trivial) and
+    their share."""
+    p = durable(out_of_fold(bag_of_words(df, text), key, "features", label).select(F.col(label).cast("int").alias("label"), F.col("p").alias("prob")), "predictability")
+    sure = F.when(F.col("label") == 1, F.col("prob")).otherwise(1 - F.col("prob")) > 0.9
+    n = p.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(sure, 1)).alias("trivial"))
+    return n.crossJoin(auroc(p)).select("n", "auroc", "trivial", F.round(F.try_divide(F.col("trivial").cast("double"), F.col("n")), 6).alias("share"))
+
+
 def group_contrast(df: DataFrame, key: str, col: str, group: str) -> DataFrame:  # M06
     """Per group its size and the mean dot product of its pairs (positive), and the mean over all pairs of different
     groups (negative). Only sums per group and coordinate move."""

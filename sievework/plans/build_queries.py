@@ -254,9 +254,11 @@ def x25_pattern_families(spark, d):
 
 @query()
 def x13_pair_normalize(spark, d):
-    """Prompt and response normalised alike."""
-    t = table(spark, d, "conversations")
-    return t.select("conv_id", "turn", sha(x.normalize(F.col("text"))).alias("prompt"), sha(x.normalize(F.upper("text"))).alias("response"))
+    """A turn and the one that answers it, normalised alike; a turn without an answer keeps a null one."""
+    t = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("prompt"))
+    reply = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("prompt").alias("response"))
+    pairs = x.normalize_columns(t.join(reply, ["conv_id", "turn"], "left"), "prompt", "response")
+    return pairs.select("conv_id", "turn", sha(F.col("prompt")).alias("prompt"), sha(F.col("response")).alias("response"))
 
 
 @query()

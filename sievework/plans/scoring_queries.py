@@ -123,23 +123,6 @@ def m16_ood_deltas(spark, d):
     return r.where("lang <> 'en'").join(F.broadcast(home), how="left").select("lang", "n", "flag_rate", "hit", r6(F.col("hit") - F.col("home")).alias("delta"))
 
 
-@query(f"WITH {TEXT}, b AS (SELECT item_id, label, prob AS a, (('0x' || substr(md5(item_id::VARCHAR), 1, 8))::BIGINT % 1000) / 1000.0::DOUBLE AS o FROM scored), e AS (SELECT (a >= 0.5::DOUBLE)::INTEGER <> label AS wa, (o >= 0.5::DOUBLE)::INTEGER <> label AS wo, ((0.7::DOUBLE * a + 0.3::DOUBLE * o) >= 0.5::DOUBLE)::INTEGER <> label AS we FROM b) SELECT count(*) AS n, count(*) FILTER (wa) AS errors_a, count(*) FILTER (wo) AS errors_b, count(*) FILTER (we) AS errors_ensemble, count(*) FILTER (wa AND wo) AS both, round(count(*) FILTER (wa <> wo) / nullif(count(*) FILTER (wa OR wo), 0)::DOUBLE, 6) AS complementarity, count(*) FILTER (we) <= least(count(*) FILTER (wa), count(*) FILTER (wo)) AS gate FROM e")
-def m10_ensemble_gate(spark, d):
-    """Text scorer, a second scorer and their weighted ensemble: errors, how far they complement each other, the gate."""
-    o = (F.conv(F.substring(F.md5(F.col("item_id").cast("string")), 1, 8), 16, 10).cast("long") % 1000) / 1000.0
-    s = text_scored(spark, d).select("label", F.col("prob").alias("a"), o.alias("o"))
-    wrong = lambda p: (p >= 0.5).cast("int") != F.col("label")
-    e = s.select(wrong(F.col("a")).alias("wa"), wrong(F.col("o")).alias("wo"), wrong(0.7 * F.col("a") + 0.3 * F.col("o")).alias("we"))
-    c = e.agg(F.count(F.lit(1)).alias("n"), count_if(F.col("wa")).alias("errors_a"), count_if(F.col("wo")).alias("errors_b"), count_if(F.col("we")).alias("errors_ensemble"), count_if(F.col("wa") & F.col("wo")).alias("both"), count_if(F.col("wa") != F.col("wo")).alias("one"), count_if(F.col("wa") | F.col("wo")).alias("any"))
-    return c.select("n", "errors_a", "errors_b", "errors_ensemble", "both", r6(m.ratio(F.col("one"), F.col("any"))).alias("complementarity"), (F.col("errors_ensemble") <= F.least("errors_a", "errors_b")).alias("gate"))
-
-
-@query("SELECT * FROM (VALUES ('documents', 'ok', (SELECT count(*) FROM documents), NULL), ('flagged', 'ok', (SELECT count(*) FROM labels WHERE toxic = 1), NULL), ('broken', 'failed', NULL, 'AnalysisException')) v(experiment, status, n_rows, error)")
-def m20_orchestrate(spark, d):
-    """Experiments one after the other; the one that asks for a missing column fails by itself."""
-    return scoring.run_all(spark, {"documents": lambda: table(spark, d, "documents"), "flagged": lambda: table(spark, d, "labels").where("toxic = 1"), "broken": lambda: table(spark, d, "labels").select("no_such_column")})
-
-
 CHUNKS = "string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))"
 
 
@@ -202,4 +185,13 @@ def m02_bow_elimination(spark, d):
     return c.crossJoin(F.broadcast(total)).select("label", "n", "eliminated", "left", r6(m.ratio(F.col("total"), F.col("k") * F.col("left"))).alias("weight"))
 
 
+EXPERIMENTS = ["m12_escalation_report", "m15_external_validation", "m16_ood_deltas", "m17_baseline_errors", "m18_chunk_flags", "a34_suite_summary", "t05_first_tau"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{e}' AS experiment, 'ok' AS status, (SELECT count(*) FROM ({query.sql[e]})) AS n_rows, NULL::VARCHAR AS error" for e in EXPERIMENTS))
+def m20_orchestrate(spark, d):
+    """All experiments on text scores, one after the other, each with its rows or its error."""
+    return scoring.run_all(spark, {e: (lambda e=e: query.queries[e](spark, d)) for e in EXPERIMENTS})
+
+
 QUERIES, SQL = query.queries, query.sql

@@ -1,11 +1,11 @@
-"""Queries A27, M03, M06-M08, M11, M13, W14: fitted models and what is measured on their held-out scores, resampled
+"""Queries A27, M01, M03, M06-M08, M10, M11, M13, M16, W14: fitted models and what is measured on their held-out scores, resampled
 metrics, contrastive loss, batches of whole groups."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import batches, calibration, contrast, metrics, model, probes, resampled
+from ..operators import batches, calibration, contrast, metrics, ml, model, probes, resampled, scoring, splits
 from ..session import durable
 from ._base import HASH32, Plan, scored, table
 
@@ -114,6 +114,51 @@ def m13_conformal_bound(spark, d):
     return out.select("alpha", "n_calibration", "n_test", *[F.round(c, 6).alias(c) for c in ("tau", "bound", "test_rate", "recall")])
 
 
+@query()
+def m10_ensemble_gate(spark, d):
+    """The word scorer, the fitted model and their weighted ensemble on held-out documents, for eleven weights: errors, how
+    far the two complement each other, and whether the ensemble is no worse than the better one."""
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), scoring.score(F.col("text")).alias("a"))
+    s = t.join(model_scores(spark, d).select("item_id", "label", F.col("prob").alias("b")), "item_id")
+    wrong = lambda p: (p >= 0.5).cast("int") != F.col("label")
+    n = lambda c: F.count(F.when(c, 1))
+    each = s.select(wrong(F.col("a")).alias("wa"), wrong(F.col("b")).alias("wb"), F.inline(F.array(*[F.struct(F.lit(k / 10).alias("weight"), wrong(F.lit(k / 10) * F.col("a") + F.lit(1 - k / 10) * F.col("b")).alias("we")) for k in range(11)])))
+    c = each.groupBy("weight").agg(F.count(F.lit(1)).alias("n"), n(F.col("wa")).alias("errors_a"), n(F.col("wb")).alias("errors_b"), n(F.col("we")).alias("errors_ensemble"), n(F.col("wa") & F.col("wb")).alias("both"), n(F.col("wa") != F.col("wb")).alias("one"))
+    return c.select("weight", "n", "errors_a", "errors_b", "errors_ensemble", "both", F.round(metrics.ratio(F.col("one"), F.col("one") + F.col("both")), 6).alias("complementarity"), (F.col("errors_ensemble") <= F.least("errors_a", "errors_b")).alias("gate"))
+
+
+def choices_of(scores):
+    """Questions of four choices out of scored items: within a language the k-th positive by hash with the three negatives
+    from the 3 k-th on. Rows: lang, question, label, prob."""
+    order = splits.ranked(scores, "item_id", "lang", "label")
+    place = F.col("_rn") - 1
+    question = F.when(F.col("label") == 1, place).otherwise(F.floor(place / 3)).cast("long")
+    rows = order.select("lang", question.alias("question"), "label", "prob")
+    whole = rows.groupBy("lang", "question").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).where("n = 4 AND y = 1")
+    return rows.join(whole.select("lang", "question"), ["lang", "question"], "left_semi")
+
+
+@query()
+def m16_mcq_deltas(spark, d):
+    """Multiple choice on held-out documents: by language how often the right choice is flagged at two thresholds and scored
+    highest, average precision over all choices, and the differences to the home language."""
+    rows = choices_of(model_scores(spark, d))
+    right = F.max(F.when(F.col("label") == 1, F.col("prob")))
+    per = rows.groupBy("lang", "question").agg(right.alias("right"), F.max(F.when(F.col("label") == 0, F.col("prob"))).alias("rival"))
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    hits = per.groupBy("lang").agg(F.count(F.lit(1)).alias("questions"), share(F.col("right") >= 0.5).alias("hit"), share(F.col("right") >= 0.65).alias("hit_strict"), share(F.col("right") > F.col("rival")).alias("top"))
+    out = hits.join(metrics.average_precision(rows, "lang"), "lang")
+    home = out.where("lang = 'en'").select(*[F.col(c).alias(f"home_{c}") for c in ("hit", "top", "ap")])
+    return out.join(F.broadcast(home), how="left").select("lang", "questions", "hit", "hit_strict", "top", "ap", *[F.round(F.col(c) - F.col(f"home_{c}"), 6).alias(f"{c}_delta") for c in ("hit", "top", "ap")])
+
+
+@query()
+def m01_bow_auroc(spark, d):
+    """How well a bag of words tells toxic documents out of fold, and how many it tells with confidence."""
+    t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "text", F.col("toxic").cast("double").alias("label"))
+    return ml.predictability(t, "doc_id", "text", "label")
+
+
 def embedded(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("y"), (F.col("label") % 2).cast("int").alias("concept"))
 

@@ -234,3 +234,44 @@ def test_groups_stay_whole_and_labels_keep_their_shares(spark):
 def test_conversations_are_in_one_split(spark, small):
     out = QUERIES["d12_group_split"](spark, small)
     assert out.groupBy("conv_id").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty()
+
+
+def test_ensemble_and_multiple_choice_against_pandas(spark, small):
+    from sievework.operators import scoring
+    from sievework.plans._base import table
+
+    model_p = QUERIES["m03_model_scores"](spark, small).toPandas()
+    words = table(spark, small, "documents").select(F.col("doc_id").alias("item_id"), scoring.score(F.col("text")).alias("a")).toPandas()
+    s = model_p.merge(words, on="item_id")
+    wa, wb = (s.a >= 0.5) != (s.label == 1), (s.prob >= 0.5) != (s.label == 1)
+    for r in QUERIES["m10_ensemble_gate"](spark, small).collect():
+        k = r["weight"]
+        we = (k * s.a + (1 - k) * s.prob >= 0.5) != (s.label == 1)
+        assert (r["n"], r["errors_a"], r["errors_b"], r["errors_ensemble"], r["both"]) == (len(s), wa.sum(), wb.sum(), we.sum(), (wa & wb).sum())
+        assert r["complementarity"] == pytest.approx((wa ^ wb).sum() / (wa | wb).sum(), abs=1e-6) and r["gate"] == (we.sum() <= min(wa.sum(), wb.sum()))
+    h = lambda x: int(__import__("hashlib").md5(f"42:{x}".encode()).hexdigest()[:8], 16)
+    got = {r["lang"]: r for r in QUERIES["m16_mcq_deltas"](spark, small).collect()}
+    for lang, g in model_p.groupby("lang"):
+        pos, neg = ([p for _, _, p in sorted((h(i), i, p) for i, p in zip(g.item_id[g.label == y], g.prob[g.label == y]))] for y in (1, 0))
+        questions = [(p, max(neg[3 * k : 3 * k + 3])) for k, p in enumerate(pos) if len(neg[3 * k : 3 * k + 3]) == 3]
+        if not questions:
+            assert lang not in got
+            continue
+        r = got[lang]
+        assert (r["questions"], r["hit"], r["top"]) == (len(questions), pytest.approx(np.mean([a >= 0.5 for a, _ in questions]), abs=1e-6), pytest.approx(np.mean([a > b for a, b in questions]), abs=1e-6))
+
+
+def test_bag_of_words_tells_what_can_be_told(spark):
+    from sievework.operators import ml
+
+    apart = [(k, f"calm harbour morning boats {'quiet' if k % 2 else 'storm'} water number{k % 7}", float(k % 2)) for k in range(80)]
+    alike = [(k, "the same few words in every text", float(k % 2)) for k in range(80)]
+    a, b = (ml.predictability(spark.createDataFrame(r, "id long, text string, y double"), "id", "text", "y").first() for r in (apart, alike))
+    assert a["auroc"] > 0.9 and a["share"] > 0.5 and b["auroc"] < 0.75 and b["trivial"] == 0
+
+
+def test_orchestrated_experiments_fail_alone(spark):
+    from sievework.operators import scoring
+
+    rows = scoring.run_all(spark, {"good": lambda: spark.range(3), "bad": lambda: spark.range(3).select("nothing")}).collect()
+    assert [tuple(r) for r in rows] == [("good", "ok", 3, None), ("bad", "failed", None, "AnalysisException")]

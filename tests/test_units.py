@@ -237,3 +237,28 @@ def test_verdict_parsers(spark):
     assert [(r["q"], r["r"]) for r in got][:2] == [(1, 0), (None, None)]
     assert (got[1]["g"], got[1]["u"], got[2]["g"]) == (0, 1, None) and [r["l"] for r in got[2:5]] == [1, 0, None]
     assert [tuple(r["v"]) for r in got[4:]] == [("unknown", ""), ("harmful", "dangerous"), ("unharmful", "not-flagged"), ("unharmful", "unharmful"), ("unharmful", "structured"), ("unknown", "")]
+
+
+def test_pairs_and_release_form_against_plain_python(spark, tiny):
+    """X13 and X15 on whole tables."""
+    import hashlib
+    import unicodedata
+
+    from sievework import registry
+
+    sha = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    turns = {}
+    for r in spark.read.parquet(f"{tiny}/conversations.parquet").collect():
+        at = (r["conv_id"], r["turn"])
+        turns[at] = min(turns.get(at, r["text"]), r["text"])
+    want = {at: (sha(plain_normalize(t)), sha(plain_normalize(turns[at[0], at[1] + 1])) if (at[0], at[1] + 1) in turns else None) for at, t in turns.items()}
+    got = {(r["conv_id"], r["turn"]): (r["prompt"], r["response"]) for r in registry.queries()["x13_pair_normalize"](spark, tiny).collect()}
+    assert got == want
+
+    def short(t):
+        t = "".join(c for c in t if not ("​" <= c <= "‏" or "‪" <= c <= "‮" or "⁠" <= c <= "⁤" or c in "﻿­" or "︀" <= c <= "️" or "\U000e0000" <= c <= "\U000e007f" or "\U000e0100" <= c <= "\U000e01ef"))
+        return unicodedata.normalize("NFKC", "".join(c for c in t if unicodedata.category(c) not in ("Mn", "Mc")))
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+    out = {r["doc_id"]: r["digest"] for r in registry.queries()["x15_release_normalize"](spark, tiny).collect()}
+    assert out == {i: sha(short(t)) if t is not None else None for i, t in texts.items()}
