@@ -112,3 +112,24 @@ def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:  # W02
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:  # A29
     ranked = average_ranks(average_ranks(df, a, "_ra"), b, "_rb")
     return ranked.agg(r6(F.corr("_ra", "_rb")).alias("rho"))
+
+
+def gated(candidates: DataFrame, gates: dict[str, Column]) -> DataFrame:  # M19, F18
+    """``candidates`` (one row each) with a column a gate, null where what it asks about is missing; how many are missing;
+    whether all known ones pass (none known: no)."""
+    out = candidates.select("*", *[g.alias(name) for name, g in gates.items()])
+    known = F.array_compact(F.array(*gates))
+    return out.withColumn("missing", (F.lit(len(gates)) - F.size(known)).cast("long")).withColumn("passes", (F.size(known) > 0) & F.forall(known, lambda g: g))
+
+
+def mixtures(df: DataFrame, a: str, b: str, shares: list[float]) -> DataFrame:
+    """Rows once a share: ``share`` and ``prob``, the first score by one less the share and the second by the share."""
+    each = F.array(*[F.struct(F.lit(x).alias("share"), (F.lit(1 - x) * F.col(a) + F.lit(x) * F.col(b)).alias("prob")) for x in shares])
+    return df.select(*[c for c in df.columns if c not in (a, b)], F.inline(each))
+
+
+def best_of(df: DataFrame, *order: Column) -> Column:
+    """Whether a row of a table of few rows comes first in an order among those that pass."""
+    from pyspark.sql import Window
+
+    return F.col("passes") & (F.row_number().over(Window.orderBy(F.col("passes").desc(), *order)) == 1)

@@ -363,11 +363,6 @@ def m06_group_contrast(spark, d):
     return ml.group_contrast(table(spark, d, "embeddings"), "vec_id", "embedding", "label")
 
 
-@query(f"WITH {SCORED} SELECT source, max(CASE WHEN lang = 'en' THEN m END) AS en, max(CASE WHEN lang = 'de' THEN m END) AS de FROM (SELECT source, lang, round(avg(prob), 6) AS m FROM scored GROUP BY source, lang) GROUP BY source")
-def m19_candidate_table(spark, d):
-    return scored(spark, d).groupBy("source").pivot("lang", ["en", "de"]).agg(F.round(F.avg("prob"), 6))
-
-
 @query("SELECT date_trunc('hour', ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS flagged FROM events GROUP BY 1")
 def st_tumbling_rate(spark, d):
     """Extension: the table form of the windowed stream."""

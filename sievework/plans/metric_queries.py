@@ -400,4 +400,25 @@ def m14_logit_fusion(spark, d):
     return f.agg(count_if((F.col("z") >= 0) & (F.col("label") == 1)).alias("tp"), count_if((F.col("z") >= 0) & (F.col("label") == 0)).alias("fp"), r6(F.avg(1 / (1 + F.exp(-F.col("z"))))).alias("mean_prob"))
 
 
+SHARES = [0.0, 0.03, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5]
+
+
+@query(f"""WITH {SCORED}, g AS (SELECT unnest({SHARES}::DOUBLE[]) AS share),
+m AS (SELECT share, lang, label, (1 - share) * prob + share * prob_b AS prob FROM scored, g),
+c AS (SELECT share, {CELLS} FROM m GROUP BY share), d AS (SELECT share, {DERIVED} FROM c),
+o AS (SELECT share, {CELLS} FROM m WHERE lang = 'es' GROUP BY share), e AS (SELECT share, round(tp::DOUBLE / nullif(tp + fn, 0), 6) AS es_recall FROM o),
+k AS (SELECT d.share, f1, recall, fpr, es_recall, fpr < 0.2::DOUBLE AS g_fpr, recall >= 0.3::DOUBLE AS g_recall, f1 >= 0.2::DOUBLE AS g_f1, es_recall >= 0.2::DOUBLE AS g_es FROM d LEFT JOIN e USING (share)),
+p AS (SELECT *, (g_fpr IS NULL)::BIGINT + (g_recall IS NULL)::BIGINT + (g_f1 IS NULL)::BIGINT + (g_es IS NULL)::BIGINT AS missing, coalesce(g_fpr, true) AND coalesce(g_recall, true) AND coalesce(g_f1, true) AND coalesce(g_es, true) AND coalesce(g_fpr, g_recall, g_f1, g_es) IS NOT NULL AS passes FROM k)
+SELECT *, passes AND row_number() OVER (ORDER BY passes DESC, f1 DESC, share) = 1 AS best FROM p""")
+def m19_lambda_grid(spark, d):
+    """Candidates by the share of the second score: metrics, four gates (one on a subgroup that may lack positives), and
+    the candidate of the best F1 among those that pass."""
+    mixed = m.mixtures(scored(spark, d).select("lang", "label", "prob", "prob_b"), "prob", "prob_b", SHARES)
+    every = m.derived(m.confusion(mixed, "share")).select("share", "f1", "recall", "fpr")
+    es = m.confusion(mixed.where("lang = 'es'"), "share").select(F.col("share").alias("_s"), m.r6(m.ratio(F.col("tp"), F.col("tp") + F.col("fn"))).alias("es_recall"))
+    c = every.join(F.broadcast(es), F.col("share") == F.col("_s"), "left").drop("_s")
+    c = m.gated(c, {"g_fpr": F.col("fpr") < 0.2, "g_recall": F.col("recall") >= 0.3, "g_f1": F.col("f1") >= 0.2, "g_es": F.col("es_recall") >= 0.2})
+    return c.withColumn("best", m.best_of(c, F.desc("f1"), F.col("share")))
+
+
 QUERIES, SQL = query.queries, query.sql
