@@ -9,8 +9,6 @@ their functions side by side, the functions are composed in order, and a second
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import builds, decon, splits
+from ..operators import builds, splits
 from ..operators import metrics as m
 from ._base import HASH32, NORM, SCORED, Plan, scored, table
 
@@ -67,19 +67,30 @@ def d19_sample_and_remainder(spark, d):
     return r.select("doc_id", "source", F.when(F.col("_rn") <= 20, "train").otherwise("held_out").alias("part"))
 
 
-PREPARED = f"l AS (SELECT doc_id, source, toxic AS label FROM documents JOIN labels USING (doc_id)), h AS (SELECT doc_id, row_number() OVER (ORDER BY {HASH32.format('doc_id')}, doc_id) AS rn, count(*) OVER () AS n FROM l WHERE label = 0), k AS (SELECT l.* FROM l LEFT JOIN h USING (doc_id) WHERE h.rn IS NULL OR h.rn > greatest(1, floor(h.n * 0.2::DOUBLE))), g AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {HASH32.format('doc_id')}, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM k), s AS (SELECT doc_id, label, CASE WHEN rn <= floor(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM g)"
+PREPARED = f"""l AS (SELECT doc_id, md5({NORM.format("text")}) AS base, toxic AS label, coalesce(source, '') || ' [SEP] ' || coalesce(text, '') AS text FROM documents JOIN labels USING (doc_id)),
+h AS (SELECT base, row_number() OVER (ORDER BY {HASH32.format("base")}, base) AS rn, count(*) OVER () AS n FROM (SELECT base FROM l GROUP BY base HAVING max(label) = 0)),
+o AS (SELECT base FROM h WHERE rn <= greatest(1, floor(n * 0.2::DOUBLE))),
+c AS (SELECT base, label::VARCHAR || ':' || lpad(count(*)::VARCHAR, 12, '0') AS c FROM l WHERE base NOT IN (SELECT base FROM o) GROUP BY base, label),
+v AS (SELECT base, string_agg(c, ',' ORDER BY c) AS v FROM c GROUP BY base),
+i AS (SELECT base, (row_number() OVER (ORDER BY v, {HASH32.format("base")}, base) - 1) * {splits.GOLDEN}::DOUBLE AS x FROM v),
+s AS (SELECT doc_id, label, text, CASE WHEN x IS NULL THEN 'held_out' WHEN x - floor(x) < 0.7::DOUBLE THEN 'train' WHEN x - floor(x) < 0.7::DOUBLE + 0.15::DOUBLE THEN 'val' ELSE 'test' END AS split FROM l LEFT JOIN i USING (base))"""
 
 
-@query(f"WITH {PREPARED}, c AS (SELECT split, label, count(*) AS n FROM s GROUP BY split, label), w AS (SELECT label, sum(count(*)) OVER () / (count(*) OVER () * count(*)::DOUBLE) AS weight FROM s WHERE split = 'train' GROUP BY label) SELECT split, label, n, round(weight, 6) AS weight FROM c JOIN w USING (label)")
+def prepared(spark, d):
+    """Labelled documents; copies of one text (in normal form) are one base."""
+    t = labelled(spark, d).select("doc_id", F.md5(x.collapse(F.col("text"))).alias("base"), F.col("toxic").alias("label"), "source", "text")
+    return builds.formatted(builds.prepare(t, "base"), "source", "text")
+
+
+@query(f"WITH {PREPARED}, n AS (SELECT split, label, count(*) AS n FROM s GROUP BY split, label), w AS (SELECT label, sum(count(*)) OVER () / (count(*) OVER () * count(*)::DOUBLE) AS weight FROM s WHERE split = 'train' GROUP BY label) SELECT split, label, n, round(weight, 6) AS weight FROM n JOIN w USING (label)")
 def d20_prepare_data(spark, d):
-    """Hold-out of clean rows, split by group and label, class weights of the training part: the summary."""
-    t = labelled(spark, d).select("doc_id", F.col("toxic").alias("label"))
-    return builds.summary(builds.prepare(t, "doc_id"))
+    """Hold-out of clean bases, the rest split by base, class weights of the training part: the summary."""
+    return builds.summary(prepared(spark, d))
 
 
-@query(f"WITH {PREPARED} SELECT doc_id, label, split FROM s")
+@query(f"WITH {PREPARED} SELECT doc_id, label, split, md5(text) AS digest FROM s")
 def d20_prepared_rows(spark, d):
-    return builds.prepare(labelled(spark, d).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    return prepared(spark, d).select("doc_id", "label", "split", F.md5("text").alias("digest"))
 
 
 BLOCKS = f"""b1 AS (SELECT 'b1_keyword' AS block, doc_id AS id, text, 0 AS label FROM documents WHERE contains(lower(text), 'license') ORDER BY {HASH32.format('doc_id')}, doc_id LIMIT 30),

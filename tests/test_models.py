@@ -275,3 +275,28 @@ def test_orchestrated_experiments_fail_alone(spark):
 
     rows = scoring.run_all(spark, {"good": lambda: spark.range(3), "bad": lambda: spark.range(3).select("nothing")}).collect()
     assert [tuple(r) for r in rows] == [("good", "ok", 3, None), ("bad", "failed", None, "AnalysisException")]
+
+
+def test_elimination_counts_the_predictable(spark, tiny):
+    """M02's classes are M01's rows counted."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{tiny}/labels.parquet").collect()}
+    rows = QUERIES["m01_bow_predictability"](spark, tiny).collect()
+    assert {r["doc_id"] for r in rows} <= set(labels) and all(r["trivial"] == ((r["p_unsafe"] if labels[r["doc_id"]] else 1 - r["p_unsafe"]) > 0.9) for r in rows if abs(r["p_unsafe"] - 0.5) < 0.399)
+    got = {int(r["label"]): r for r in QUERIES["m02_bow_elimination"](spark, tiny).collect()}
+    left = {y: sum(labels[r["doc_id"]] == y and not r["trivial"] for r in rows) for y in got}
+    for y, r in got.items():
+        assert (r["n"], r["left"]) == (sum(labels[q["doc_id"]] == y for q in rows), left[y])
+        assert r["weight"] == (None if not left[y] else pytest.approx(sum(left.values()) / (len(got) * left[y]), abs=1e-6))
+
+
+def test_prepared_copies_stay_together(spark):
+    from sievework.operators import builds
+
+    df = spark.createDataFrame([(k, f"b{k % 90}", int(k % 9 == 0)) for k in range(900)], "id long, base string, label int")
+    got = builds.prepare(df, "base")
+    assert got.count() == 900 and got.groupBy("base").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty()
+    counts = {r["split"]: r["count"] for r in got.groupBy("split").count().collect()}
+    assert counts["held_out"] == 160 and got.where("split = 'held_out' AND label = 1").isEmpty()
+    weights = {(r["split"], r["label"]): r for r in builds.summary(got).collect()}
+    train = {y: weights["train", y]["n"] for y in (0, 1)}
+    assert all(weights["train", y]["weight"] == pytest.approx(sum(train.values()) / (2 * n), abs=1e-6) for y, n in train.items())
