@@ -144,7 +144,7 @@ def test_group_split_is_disjoint(spark):
     got = splits.group_split(df, F.col("g"), "label")
     assert got.count() == 400
     assert got.groupBy("g").agg(F.count_distinct("split").alias("n")).where("n > 1").isEmpty()
-    assert {r["split"]: r["n"] for r in got.groupBy("split").agg(F.count_distinct("g").alias("n")).collect()} == {"train": 42, "val": 8, "test": 10}
+    assert {r["split"]: r["n"] for r in got.groupBy("split").agg(F.count_distinct("g").alias("n")).collect()} == {"train": 42, "val": 9, "test": 9}
 
 
 def test_sample_and_remainder(spark):
