@@ -8,7 +8,9 @@ Texts never leave the task that reads them. The EM works on counts of vote patte
 one small aggregate whose single row of sums comes to the driver.
 
 Defined results: a null text is an empty one (no words, so it fails the base rule); a null doc_id stays null; equal
-rows get equal results; an empty table gives an empty result; ties of the posterior (0.5) are kept.
+rows get equal results; an empty table gives an empty result; ties of the posterior (0.5) are kept. Columns of any names may
+come along; only ``_f``, ``_quality`` and ``_kept`` are replaced by `judge`. A very long text costs time and memory in proportion to
+its words, in the task that reads it.
 """
 
 from __future__ import annotations

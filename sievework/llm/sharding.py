@@ -9,7 +9,7 @@ memory holds, so that the buckets don't become too many.
 
 Defined results: null and empty texts have size 16; a null doc_id hashes like any value; rows equal in doc_id and text
 lie in one bucket; an empty table gives an empty result; all columns stay, whatever their names, except ``shard`` and
-``slot``, which are replaced.
+``slot``, which are replaced. A very long text makes its bucket larger by its own size.
 """
 
 from __future__ import annotations
