@@ -3,7 +3,13 @@ written and read again as the next stage's docs. All stages but the last return
 adds the shard and the slot of each row.
 
 A rejected document leaves at the stage that rejects it. A document that the mix takes several times is that many
-rows from there on."""
+rows from there on.
+
+Defined results, stage by stage: null and empty texts fail the quality rules, as do texts of fewer than 20 words; ties of the
+posterior stay. Of rows equal in doc_id and text one stays at the near-duplicate stage, rows of one doc_id with different texts
+stay or go together, a null doc_id is no one's copy. Without benchmark items nothing is contaminated. A null source is a source
+of its own in the mix. An empty table passes through all stages and gives no rows. Further columns are kept, whatever their
+names, but for shard and slot. Very long texts are worked on whole, each by one task at a time."""
 
 from __future__ import annotations
 
