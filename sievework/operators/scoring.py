@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,18 +69,6 @@ def fit_weights(labelled: DataFrame, text: str, label: str, most: int = 50, leas
     return per.select("word", F.floor(100 * odds + 0.5).cast("int").alias("weight"), F.round(F.abs(z), 6).alias("z")).orderBy(F.desc("z"), "word").limit(most)
 
 
-def timings(calls: list[tuple[str, Callable[[], DataFrame]]]) -> list[tuple[str, float, float]]:  # A44
-    """(name, seconds, rows a second) of each DataFrame written to nothing."""
-    out = []
-    for name, f in calls:
-        df = f()
-        n, start = df.count(), time.time()
-        df.write.format("noop").mode("overwrite").save()
-        took = max(1e-9, time.time() - start)
-        out.append((name, took, n / took))
-    return out
-
-
 def latency(df: DataFrame, by: str, ms: str) -> DataFrame:  # A44
     """Items, mean, median, 95th percentile (by counts of whole values) and items a second."""
     per = df.groupBy(by, F.floor(ms).alias("v")).agg(F.count(F.lit(1)).alias("k"), F.sum(ms).alias("s"))

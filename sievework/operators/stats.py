@@ -67,11 +67,6 @@ def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:  # A26
     return pd.Series([1.0 if x + y == 0 else min(1.0, 2 * (1 - _binom_tail(int(min(x, y)) + 1, int(x + y), 0.5))) for x, y in zip(b, c)])
 
 
-@F.pandas_udf(T.DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:  # A25
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
-
-
 def bootstrap_f1(df: DataFrame, replicates: int = 10_000, seed: int = 42, threshold: float = 0.5) -> DataFrame:  # A27
     """Percentile interval of F1. The rows collapse to the four confusion cells and the cells are resampled: exact in
     distribution, with one aggregate over the data whatever their size. Degenerate resamples are dropped."""
