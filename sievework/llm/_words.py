@@ -74,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """The hash of values[s:e] for each s, e; both ascend. Long arrays are taken in slabs, so that memory beyond the
     arrays themselves depends on the longest run only."""
-    if len(values) <= 4 * CHUNK_BYTES:
+    if len(values) <= CHUNK_BYTES:
         return _run_hashes(values, starts, ends, which)
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
