@@ -1,4 +1,4 @@
-"""A text scorer that stays inside the JVM, and what is reported about scorers: windows, errors, timings, experiments."""
+"""A text scorer that stays inside the JVM, and what is reported about scorers: windows, errors, experiments."""
 
 from __future__ import annotations
 
