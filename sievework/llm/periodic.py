@@ -10,8 +10,9 @@ A run is a stretch of consecutive words with smallest period q, at least ``expon
   on the right: the repetition crosses that midpoint. One pass compares the 16 words before each midpoint with those
   before its partner at every q, as one hash each. Where any agree, Z-functions of the words after the midpoint and, backwards,
   of those before it give how far the text matches its shifted self in both directions, in time linear in B.
-* A match that reaches the end of what the Z-functions saw is extended. Stretches within a run known already, of the same or a
-  smaller period, are passed over; of equal intervals the smallest period stays.
+* A match that reaches the end of what the Z-functions saw is extended. Stretches within a run of the same period or of one of a
+  smaller block size are passed over; of equal intervals the smallest period stays. A run of another period of the same block
+  size tells nothing: it may cover twice the smaller period around a midpoint and still be a different run.
 
 All texts of a chunk go through the leaves and midpoint passes at once as NumPy arrays; only midpoints where something
 repeats are looked at one by one. The work is proportional to words times the log of a text's length for any input.
@@ -116,7 +117,7 @@ def find_runs(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, exponent: int = 4
     """(start, length, period) of all runs, by start, then period. ``ids``: non-negative word ids of several texts,
     text i at lo[i]:hi[i], with a value of its own (negative, never repeated) after each. ``exponent``: 4 or more."""
     found = _short_periods(ids, exponent, least)
-    # the furthest end of a known run that begins at or before each place
+    # the furthest end of a run, known from smaller block sizes, that begins at or before each place
     reach = np.zeros(len(ids) + 1, np.int64)
     for start, length, _ in found:
         np.maximum.at(reach, start, start + length)
@@ -134,6 +135,8 @@ def find_runs(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, exponent: int = 4
         padded = np.concatenate([grams, np.zeros(2 * half, np.uint64)])
         shifted = np.lib.stride_tricks.sliding_window_view(padded, half)
         rows = max(1, MATRIX // half)
+        ends: dict[int, int] = {}  # where the last run of each period of this block size ends
+        level: list[tuple[int, int, int]] = []
         for i in range(0, len(mids), rows):
             m = mids[i : i + rows]
             row, col = np.nonzero(shifted[m - BASE + half] == grams[m - BASE][:, None])
@@ -145,12 +148,16 @@ def find_runs(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, exponent: int = 4
                 mid, own = int(at[k[0]]), int(owner[i + row[k[0]]])
                 if own not in texts:
                     texts[own] = _Text(ids, int(lo[own]), int(hi[own]))
-                periods = [int(x) for x in q[k] if reach[mid - x] < mid + x]
+                periods = [int(x) for x in q[k] if ends.get(int(x), 0) < mid + x]
                 for start, matched, p in texts[own].crossing(mid, half, periods) if periods else ():
                     length = matched + p
                     if length >= max(least, exponent * p) and reach[start] < start + length:
-                        found.append((np.array([start]), np.array([length]), np.array([p])))
-                        reach[start : start + length] = np.maximum(reach[start : start + length], start + length)
+                        level.append((start, length, p))
+                        ends[p] = start + length
+        if level:
+            found.append(tuple(np.array(level, np.int64).T))
+        for start, length, _ in level:
+            reach[start : start + length] = np.maximum(reach[start : start + length], start + length)
         half *= 2
     start, length, period = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found) if found else ((), (), ())))
     order = np.lexsort((period, length, start))

@@ -179,6 +179,40 @@ def test_periodic_runs_of_hostile_sequences(monkeypatch, matrix):
         assert g == brute.periodic_runs(t)
 
 
+def _of_two_periods(p, q, n):
+    """The word of ``n`` letters with both periods and as many different letters as they allow."""
+    s = list(range(n))
+    while True:
+        was = list(s)
+        for d in (p, q):
+            for i in range(n - d):
+                s[i] = s[i + d] = min(s[i], s[i + d])
+        if s == was:
+            return s
+
+
+def test_periodic_runs_that_overlap():
+    """Two runs of barely four periods each share almost as many words as they can; both are found, wherever the midpoints lie."""
+    rng, texts = random.Random(5), []
+    for p, q, shared in [(31, 18, 46), (30, 16, 41), (62, 35, 85), (59, 33, 80), (28, 17, 40), (31, 29, 50)]:
+        both = _of_two_periods(p, q, shared)
+        for first, second in ((p, q), (q, p)):
+            s = list(both)
+            while len(s) < 4 * first:
+                s.insert(0, s[first - 1])
+            for _ in range(4 * second - shared):
+                s.append(s[-second])
+            for before in range(0, 64, 3):
+                texts.append([1000 + k for k in range(before)] + s + [2000 + k for k in range(rng.randrange(40))])
+    ids, lo, hi = _with_sentinels(texts)
+    got = [[] for _ in texts]
+    for s, n, q in zip(*(x.tolist() for x in periodic.find_runs(ids, lo, hi))):
+        k = int(np.searchsorted(lo, s, "right")) - 1
+        got[k].append((s - int(lo[k]), n, q))
+    for t, g in zip(texts, got):
+        assert g == brute.periodic_runs(t)
+
+
 def test_periodic_runs_stay_fast_on_long_texts():
     """A million words of one word, of a Fibonacci word, and of a period of 300,000: near-linear time."""
     rng = random.Random(1)
