@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .splits import hash32, ranked_by
+from .splits import BIN_BITS, hash32, ranked_by
 
 #: Groups of one block, unless there would be more than `BLOCKS` blocks.
 BLOCK, BLOCKS = 100_000, 10_000
@@ -94,7 +94,7 @@ def pack(df: DataFrame, group: Column, key: str, size: int, seed: int = 42) -> D
     # the k-th singleton takes the k-th free place; behind the last closed batch come the open one's places, then new batches
     slots = both.where("room > 0").select("batch", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("room") - 1)).alias("_k"))
     h = hash32(F.col(key), seed)
-    alone = ranked_by(rows.where("_g IS NULL"), [h, F.col(key)], F.shiftright(h, 22)).withColumn("_k", F.col("_rn") - 1).drop("_rn", "_n")
+    alone = ranked_by(rows.where("_g IS NULL"), [h, F.col(key)], F.shiftright(h, BIN_BITS)).withColumn("_k", F.col("_rn") - 1).drop("_rn", "_n")
     behind = F.lit(batch) + F.floor((F.col("_k") - before + level) / size)
     filled = alone.join(slots, "_k", "left").withColumn("batch", F.coalesce("batch", behind.cast("bigint")))
     whole = rows.join(both.where("room IS NULL").select(F.col("group").alias("_g"), "batch"), "_g", "left").where("_g IS NOT NULL")

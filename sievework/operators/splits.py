@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+
+from ..session import durable
 
 
 def hash32(key: Column, seed: int = 42) -> Column:
@@ -12,11 +13,15 @@ def hash32(key: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
-def ranked_by(df: DataFrame, order: list[Column], bin_: Column, *by: str) -> DataFrame:
-    """_rn and _n: the place of a row within its stratum and the stratum's size. ``bin_`` must ascend with ``order``:
-    places within a stratum and bin are counted by a window, the rows of the bins before are added. So no stratum is
-    sorted in one task."""
-    rows = df.withColumn("_bin", bin_)
+#: A hash below 2**32 loses so many bits to give 65,536 bins: at 10**11 rows a bin holds 1.5 million.
+BIN_BITS = 16
+
+
+def ranked_by(df: DataFrame, order: list[Column], bin_: Column | None, *by: str) -> DataFrame:
+    """_rn and _n: the place of a row within its stratum and the stratum's size. ``bin_`` must ascend with ``order``
+    (None: ``df`` has its ``_bin``): places within a stratum and bin are counted by a window, the rows of the bins before are
+    added. So no stratum is sorted in one task."""
+    rows = df if bin_ is None else df.withColumn("_bin", bin_)
     per = rows.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_by__bin"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(*by)).alias("_n"))
@@ -25,18 +30,11 @@ def ranked_by(df: DataFrame, order: list[Column], bin_: Column, *by: str) -> Dat
     return placed.withColumn("_rn", (F.col("_rn") + F.col("_before")).cast("long")).drop("_bin", "_by__bin", "_before", *[f"_by_{c}" for c in by])
 
 
-def quantile_bin(df: DataFrame, key: str, bins: int = 1024) -> Column:
-    """A bin that ascends with a numeric key, cut at its approximate quantiles; null keys are in the first. A key is
-    looked up in two steps, first among every 32nd cut."""
-    constant = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(ArrayType(kind))
-    shares = constant([k / bins for k in range(1, bins)], DoubleType())
-    cuts, width = df.agg(F.percentile_approx(key, shares, 10_000).alias("c")).first()["c"], 32
-    if not cuts:
-        return F.lit(0)
-    cuts, kind = sorted(set(cuts)), df.schema[key].dataType
-    reached = lambda a: F.coalesce(F.size(F.filter(a, lambda c: c <= F.col(key))), F.lit(0))
-    first = reached(constant(cuts[::width], kind))
-    return first * (width + 1) + F.when(first > 0, reached(F.slice(constant(cuts, kind), (first - 1) * width + 1, width))).otherwise(0)
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """``df`` with a ``_bin`` that ascends with the order: the partition of a range sort. There are as many bins as Spark makes
+    shuffle partitions, so a bin stays as large as a partition may be, whatever the size of the table or of a stratum. The
+    table is written once, since a second sort could cut elsewhere."""
+    return durable(df.repartitionByRange(*order).withColumn("_bin", F.spark_partition_id()), "ranged")
 
 
 def same(by: tuple[str, ...], prefix: str) -> Column:
@@ -53,9 +51,9 @@ def running(df: DataFrame, key: str, sums: dict[str, str], *by: str, descending:
     total as ``<new name>_all``, per stratum. Rows are summed within bins of the key, bins over bins, so no stratum is
     sorted in one task. Keys are unique within a stratum."""
     way = F.desc if descending else F.asc
-    rows = df.withColumn("_bin", quantile_bin(df, key))
+    rows = ranged(df, [*by, way(key)])
     per = rows.groupBy(*by, "_bin").agg(*[F.sum(c).alias(c) for c in sums.values()])
-    before = Window.partitionBy(*by).orderBy(way("_bin")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     earlier = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{new}") for new, c in sums.items()]
     totals = [F.sum(c).over(Window.partitionBy(*by)).alias(f"{new}_all") for new, c in sums.items()]
     per = per.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_by__bin"), *earlier, *totals)
@@ -67,14 +65,14 @@ def running(df: DataFrame, key: str, sums: dict[str, str], *by: str, descending:
 
 def numbered(df: DataFrame, key: str, *by: str) -> DataFrame:
     """`ranked_by` in the order of a numeric key."""
-    return ranked_by(df, [F.col(key)], quantile_bin(df, key), *by)
+    return ranked_by(ranged(df, [*by, key]), [F.col(key)], None, *by)
 
 
 def ranked(df: DataFrame, key: str, *by: str, seed: int = 42) -> DataFrame:
     """_rn and _n: the rank of a row by hash within its stratum, and the stratum's size. Bins are the hash's first
     bits."""
     h = hash32(F.col(key), seed)
-    return ranked_by(df, [h, F.col(key)], F.shiftright(h, 22), *by)
+    return ranked_by(df, [h, F.col(key)], F.shiftright(h, BIN_BITS), *by)
 
 
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:  # T07
