@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..operators import edits
 from ._base import NORM, SCORED, Plan, scored, table
 
 query = Plan()
@@ -423,13 +424,37 @@ def p03_wrap_and_replace(spark, d):
     return docs(spark, d).select("doc_id", sha(F.concat(F.lit("Topic: "), F.replace(F.lower("text"), F.lit("idiot"), F.lit("person")), F.lit(" End."))).alias("digest"))
 
 
-@query()
+def _edits_sql():
+    bound = lambda numbers, k: f"list_sort(list_filter({numbers}, lambda v: v IS NOT NULL))[least({k}, len(list_filter({numbers}, lambda v: v IS NOT NULL)))]"
+    changed = lambda c, pair: f"translate({c}, '{pair[0]}', '{pair[1]}')"
+    open_to = lambda pair, h: f"list_transform(c, lambda v, i: CASE WHEN {changed('v', pair)} <> v THEN {h}[i] END)"
+    share = lambda n, rate: f"greatest(1, floor({n} * {rate}::DOUBLE)::BIGINT)"
+    numbers = ", ".join(f"list_transform(d, lambda v: ('0x' || substr(v, {1 + 8 * k}, 8))::BIGINT) AS h{k}" for k in range(4))
+    each = {
+        "lookalike": f"CASE WHEN h0[i] <= b0 THEN {changed('v', edits.LOOKALIKE)} ELSE v END",
+        "digit": f"CASE WHEN h1[i] <= b1 THEN {changed('v', edits.DIGIT)} ELSE v END",
+        "typo": "CASE WHEN h2[i] <= b2 THEN CASE WHEN h2[i] % 2 = 1 AND h2[i + 1] > b2 THEN c[i + 1] || v ELSE '' END WHEN i > 1 AND h2[i - 1] <= b2 AND h2[i - 1] % 2 = 1 THEN '' ELSE v END",
+        "case": f"CASE WHEN h3[i] % 2 = 1 THEN {changed('v', (x.LOWER, x.UPPER))} ELSE {changed('v', (x.UPPER, x.LOWER))} END",
+        "mark": f"CASE WHEN h3[i] <= b3 THEN v || substr('{edits.MARKS}', (h3[i] % {len(edits.MARKS)} + 1)::INTEGER, 1) ELSE v END",
+    }
+    names, texts = ", ".join(f"'{k}'" for k in each), ", ".join(f"array_to_string(list_transform(c, lambda v, i: {e}), '')" for e in each.values())
+    return f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '(?s).') AS c FROM conversations),
+      d AS (SELECT *, list_transform(range(0, len(c)), lambda i: md5(conv_id::VARCHAR || ':' || turn::VARCHAR || ':' || i::VARCHAR)) AS d FROM t),
+      h AS (SELECT *, {numbers} FROM d),
+      b AS (SELECT *, {open_to(edits.LOOKALIKE, 'h0')} AS o0, {open_to(edits.DIGIT, 'h1')} AS o1 FROM h),
+      e AS (SELECT *, {bound('o0', share('len(c)', 0.15))} AS b0, {bound('o1', share('len(list_filter(o1, lambda v: v IS NOT NULL))', 0.3))} AS b1,
+            {bound('h2', share('len(c)', 0.05))} AS b2, {bound('h3', 5)} AS b3 FROM b),
+      u AS (SELECT conv_id, turn, unnest([{names}]) AS edit, unnest([{texts}]) AS changed FROM e)
+      SELECT conv_id, turn, edit, length(changed)::BIGINT AS n_chars, sha256(changed) AS digest FROM u"""
+
+
+@query(_edits_sql())
 def p02_random_edits(spark, d):
-    """About 15 % of the letters swap case, at places drawn by a hash of id and position."""
-    swap = lambda c: F.when(c == F.lower(c), F.upper(c)).otherwise(F.lower(c))
-    t = table(spark, d, "conversations")
-    out = F.array_join(F.transform(F.split("text", ""), lambda c, i: F.when(F.pmod(F.xxhash64("conv_id", "turn", i), F.lit(100)) < 15, swap(c)).otherwise(c)), "")
-    return t.select("conv_id", "turn", sha(out).alias("digest"), (F.lower(out) == F.lower("text")).alias("recovered"))
+    """Five kinds of random edits of every turn, each at its own rate, at places drawn by digest."""
+    t = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    # the outer form, since for the inner one the optimiser filters by the array's size and makes all edits twice
+    out = edits.random_edits(t, "text", F.concat_ws(":", "conv_id", "turn")).select("conv_id", "turn", F.inline_outer("edits"))
+    return out.select("conv_id", "turn", "edit", F.length("changed").cast("long").alias("n_chars"), sha("changed").alias("digest"))
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -2,14 +2,13 @@
 
 import math
 import re
-import struct
 import unicodedata
 from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
 import pytest
-import xxhash
+from pyspark.sql import functions as F
 
 from sievework import registry
 from sievework.plans._base import scored, table
@@ -92,25 +91,58 @@ def test_water_filling(spark, tiny):
     assert all(taken[k] <= min(n, 80) for k, n in sizes.items()) and (not rest or max(rest) - min(rest) <= 1)
 
 
-def chained_hash(*parts):
-    """The engine's 64-bit hash of numbers: each part's hash seeds the next."""
-    seed = 42
-    for kind, value in parts:
-        seed = xxhash.xxh64_intdigest(struct.pack(kind, value), seed)
-    return seed - (1 << 64) if seed >> 63 else seed
+def edited(key, text):
+    """The five random edits in plain Python."""
+    import hashlib
+
+    c = list(text)
+    digests = [hashlib.md5(f"{key}:{i}".encode()).hexdigest() for i in range(len(c))]
+    h = [[int(d[8 * k : 8 * k + 8], 16) for d in digests] for k in range(4)]
+    looks = dict(zip("aeorcxisl", "\u0430\u0435\u043e\u0440\u0441\u0445\u0456\u0455\u04cf"))
+    leet = dict(zip("aeiost", "431057"))
+    pick = lambda k, places, n: set(sorted(places, key=lambda i: h[k][i])[:n])
+    out = {}
+    for name, k, table_, rate in (("lookalike", 0, looks, 0.15), ("digit", 1, leet, 0.3)):
+        may = [i for i, v in enumerate(c) if v in table_ or v.lower() in table_ and v.isascii()]
+        drawn = pick(k, may, max(1, int((len(c) if k == 0 else len(may)) * rate)))
+        out[name] = "".join(table_[v.lower()] if i in drawn else v for i, v in enumerate(c))
+    drawn, typo, i = pick(2, range(len(c)), max(1, int(len(c) * 0.05))), [], 0
+    while i < len(c):
+        if i not in drawn:
+            typo.append(c[i])
+        elif h[2][i] % 2 and i + 1 < len(c) and i + 1 not in drawn:
+            typo += [c[i + 1], c[i]]
+            i += 1
+        i += 1
+    out["typo"] = "".join(typo)
+    out["case"] = "".join((v.upper() if h[3][i] % 2 else v.lower()) if v.isascii() else v for i, v in enumerate(c))
+    drawn = pick(3, range(len(c)), 5)
+    out["mark"] = "".join(v + "\u200b\u200c\u200d\ufeff"[h[3][i] % 4] * (i in drawn) for i, v in enumerate(c))
+    return out
 
 
 def test_random_edits(spark, tiny):
     import hashlib
 
-    t = table(spark, tiny, "conversations")
-    kinds = {"bigint": "<q", "int": "<i"}
-    conv, turn = (kinds[dict(t.dtypes)[c]] for c in ("conv_id", "turn"))
     want = Counter()
-    for r in t.collect():
-        out = "".join((c.upper() if c == c.lower() else c.lower()) if chained_hash((conv, r["conv_id"]), (turn, r["turn"]), ("<i", i)) % 100 < 15 else c for i, c in enumerate(r["text"]))
-        want[r["conv_id"], r["turn"], hashlib.sha256(out.encode()).hexdigest()] += 1
-    assert Counter((r["conv_id"], r["turn"], r["digest"]) for r in QUERIES["p02_random_edits"](spark, tiny).collect()) == want
+    for r in table(spark, tiny, "conversations").collect():
+        for name, text in edited(f"{r['conv_id']}:{r['turn']}", r["text"] or "").items():
+            want[r["conv_id"], r["turn"], name, len(text), hashlib.sha256(text.encode()).hexdigest()] += 1
+    got = QUERIES["p02_random_edits"](spark, tiny).collect()
+    assert Counter((r["conv_id"], r["turn"], r["edit"], r["n_chars"], r["digest"]) for r in got) == want
+
+
+def test_random_edits_awkward(spark):
+    """Null, empty, one letter, nothing that can change, characters beyond 16 bits, line feeds, repeated rows, 200,000 letters."""
+    from sievework.operators import edits
+
+    texts = [None, "", "a", "zzz", "\U0001f600\nA\u00e9\U0001f680s", "tt", "a\tb", "a\tb", "Sea " * 50_000]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "k int, t string, edits_ string")
+    for r in edits.random_edits(df, "t", F.col("k").cast("string")).collect():
+        got = {e["edit"]: e["changed"] for e in r["edits"]}
+        assert got == edited(str(r["k"]), r["t"] or "")
+        if len(r["t"] or "") > 1000:
+            assert sum(a != b for a, b in zip(got["lookalike"], r["t"])) == 30_000 and len(got["mark"]) == 200_005
 
 
 def test_perturbations_undone(spark, tiny):
