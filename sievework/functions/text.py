@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,27 +23,41 @@ ENGLISH = [
 ]
 
 
+ROTATED = [w.translate(str.maketrans(LOWER, ROT)) for w in ENGLISH]
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once: a column that a lambda mentions would be computed per element."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def ascii_only(t: Column) -> Column:
+    """One byte a character: most steps have nothing to do on such a text, and are not run on it."""
+    return F.octet_length(t) == F.length(t)
+
+
 def strip_invisible(t: Column) -> Column:  # X01
-    return F.regexp_replace(t, INVISIBLE, "")
+    return let(t, lambda v: F.when(ascii_only(v), v).otherwise(F.regexp_replace(v, r"(?=[\x{00AD}\x{200B}-\x{206F}\x{FE00}-\x{FEFF}\x{E0000}-\x{E01EF}])" + INVISIBLE, "")))
 
 
 def fold_homoglyphs(t: Column) -> Column:  # X02
-    return F.translate(t, *HOMOGLYPHS)
+    return F.when(~ascii_only(t) & t.rlike(f"[{min(HOMOGLYPHS[0])}-{max(HOMOGLYPHS[0])}]"), F.translate(t, *HOMOGLYPHS)).otherwise(t)
 
 
 def plausible(t: Column, least: float = 0.85) -> Column:  # X03
     """At least three characters, enough of them printable."""
     n = F.length(t)
-    return (n >= 3) & ((n - F.regexp_count(t, F.lit(r"[\p{C}\x{FFFD}]"))) >= n * least)
+    return (n >= 3) & ((n - F.regexp_count(t, F.lit(r"(?=[^\x20-\x7E])[\p{C}\x{FFFD}]"))) >= n * least)
+
+
+def whole_words(words: list[str]) -> str:
+    """A pattern of words of a-z with no other such letter at either end, by first letters, so that few are tried at a place."""
+    by = {c: sorted((w[1:] for w in words if w[0] == c), key=len, reverse=True) for c in sorted({w[0] for w in words})}
+    return f"(?=[{''.join(by)}])(?<![a-z])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items()) + ")(?![a-z])"
 
 
 def english_score(t: Column, markers: list[str] = ENGLISH) -> Column:  # X04
-    return F.size(F.filter(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{2,}"), F.lit(0)), lambda w: w.isin(list(markers))))
+    return F.regexp_count(F.lower(t), F.lit(whole_words(markers)))
 
 
 def rot13(t: Column) -> Column:
@@ -51,8 +65,14 @@ def rot13(t: Column) -> Column:
 
 
 def decode_rot13(t: Column) -> Column:  # X05
-    """The rotation, where it is plausible, differs and reads more like English."""
-    return let(rot13(t), lambda turned: F.when(plausible(turned) & (turned != t) & (english_score(turned) > english_score(t)), turned))
+    """The rotation, where it is plausible, differs and reads more like English. Whether it does is told from the text as it is,
+    by counting rotated markers, so that few texts are rotated: a rotation keeps length and classes of characters, and one
+    with another score is another text. Two signs that become a letter of a-z only in lower case need the rotation itself."""
+    count = lambda low, words: F.regexp_count(low, F.lit(whole_words(words)))
+    more = let(F.lower(t), lambda low: low.rlike(whole_words(ROTATED)) & (count(low, ROTATED) > count(low, ENGLISH)))
+    full = let(rot13(t), lambda turned: F.when(plausible(turned) & (turned != t) & (english_score(turned) > english_score(t)), turned))
+    odd = ~ascii_only(t) & t.rlike(r"[\x{0130}\x{212A}]")
+    return F.when(odd, full).when(more & plausible(t), rot13(t))
 
 
 def _as_text(raw: Column) -> Column:
@@ -68,18 +88,18 @@ def decode_base64(t: Column) -> Column:  # X06
         padded = F.concat(body, F.repeat(F.lit("="), F.pmod(-F.length(body), F.lit(4))))
         return F.when((F.length(bare) >= 20) & bare.rlike(r"^[A-Za-z0-9+/]+=*$") & (F.length(body) % 4 != 1), _as_text(F.try_to_binary(padded, F.lit("base64"))))
 
-    return let(F.regexp_replace(t, r"(?U)\s", ""), run)
+    return F.when(~t.rlike(r"(?U)[^A-Za-z0-9+/=\s]"), let(F.regexp_replace(t, r"(?U)\s", ""), run))
 
 
 def decode_hex(t: Column) -> Column:  # X08
     """Prefixes 0x and white space anywhere are allowed; they count for the least length."""
     wide = F.length(F.regexp_replace(t, r"(?U)^\s+|\s+$", "")) >= 20
-    return let(F.regexp_replace(t, r"(?U)0[xX]|\s", ""), lambda bare: F.when(wide & (F.length(bare) % 2 == 0) & bare.rlike("^[0-9A-Fa-f]+$"), _as_text(F.unhex(bare))))
+    return F.when(~t.rlike(r"(?U)[^0-9A-Fa-fxX\s]"), let(F.regexp_replace(t, r"(?U)0[xX]|\s", ""), lambda bare: F.when(wide & (F.length(bare) % 2 == 0) & bare.rlike("^[0-9A-Fa-f]+$"), _as_text(F.unhex(bare)))))
 
 
 def decode_url(t: Column) -> Column:  # X07
     out = F.try_url_decode(F.replace(t, F.lit("+"), F.lit("%2B")))
-    return F.when(t.rlike("%[0-9A-Fa-f]{2}") & plausible(out), out)
+    return F.when(F.contains(t, F.lit("%")) & t.rlike("%[0-9A-Fa-f]{2}"), let(out, lambda o: F.when(plausible(o), o)))
 
 
 def erase_backspaces(t: Column) -> Column:  # X09
@@ -98,17 +118,35 @@ def erase_backspaces(t: Column) -> Column:  # X09
 
 def strip_marks(t: Column) -> Column:  # X11
     """Combining marks that stand by themselves; those with a place around the letter count as well as those above."""
-    return F.regexp_replace(t, r"[\p{Mn}\p{Mc}]", "")
+    return F.when(ascii_only(t), t).otherwise(F.regexp_replace(t, r"(?=[^\x00-\x{02FF}])[\p{Mn}\p{Mc}]", ""))
+
+
+def settled(form: str) -> str:
+    """The inside of a character class: code points below U+0300 and of general punctuation that every text keeps in this
+    normal form. None of them is a mark or joins the one before, so a text of such ones alone is in the form."""
+    points = [c for c in (*range(0x300), *range(0x2000, 0x2070)) if unicodedata.normalize(form, chr(c)) == chr(c)]
+    starts = [c for c in points if c - 1 not in points]
+    ends = [c for c in points if c + 1 not in points]
+    return "".join(rf"\x{{{a:04X}}}-\x{{{b:04X}}}" for a, b in zip(starts, ends))
 
 
 def normal_form(form: str):  # X10
-    """ASCII is its own normal form: only other texts go to Python."""
+    """Only texts with a character that may change go to Python, and there one at a time: of a batch no more than the Arrow
+    arrays and a few texts are held."""
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        def form_of(part: pa.Array) -> pa.Array:
+            return pa.array([None if v is None else unicodedata.normalize(form, v) for v in part.to_pylist()], pa.string())
+
+        return pa.concat_arrays([form_of(texts.slice(i, 64)) for i in range(0, len(texts), 64)] or [pa.array([], pa.string())])
 
-    @F.pandas_udf(T.StringType())
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(form, x))
+    def changed(t: Column) -> Column:
+        # the class of one range comes first: one of many is slow, and few characters need it
+        open_to = ~ascii_only(t) & t.rlike(rf"[^\x00-\x7F](?<![{settled(form)}])")
+        return F.coalesce(run(F.when(open_to, t)), t)
 
-    return lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), run(F.when(t.rlike(r"[^\x00-\x7F]"), t))).otherwise(t)
+    return changed
 
 
 def decode(t: Column) -> Column:
@@ -129,7 +167,7 @@ def normalize(t: Column) -> Column:  # X12
 def normalize_columns(df: DataFrame, *cols: str) -> DataFrame:
     """X12 on columns of a table. Each step is a projection of its own, which the optimizer does not merge as the next one
     uses it more than once: the steps before it are computed once, where a single expression repeats them."""
-    for step in (strip_invisible, erase_backspaces, decode, lambda t: strip_marks(fold_homoglyphs(t)), normal_form("NFKC")):
+    for step in (strip_invisible, erase_backspaces, decode, fold_homoglyphs, strip_marks, normal_form("NFKC")):
         df = df.withColumns({c: step(F.col(c)) for c in cols})
     return df
 
@@ -140,7 +178,8 @@ def release_normalize(t: Column) -> Column:  # X15
 
 
 def collapse(t: Column) -> Column:  # X16
-    return F.trim(F.regexp_replace(F.lower(t), r"\s+", " "))
+    # a single space stays as it is and is no match: the pattern begins with any white space, then asks for more or another sign
+    return F.trim(F.regexp_replace(F.lower(t), r"\s(?:(?<! )\s*+|\s++)", " "))
 
 
 def ngrams(words: Column, n: int) -> Column:  # X17

@@ -414,8 +414,8 @@ def p01_roundtrip(spark, d):
     t = F.col("text")
     changed = {k: f(t) for k, (f, _) in PERTURBATIONS.items()} | {"nfkd": x.normal_form("NFKD")(t)}
     each = F.array(*[F.struct(F.lit(k).alias("perturbation"), v.alias("t")) for k, v in changed.items()])
-    rows = x.normalize_columns(docs(spark, d).select("text", F.col("text").alias("plain")), "plain").select("plain", F.inline(each))
-    same = x.collapse(F.col("t")) == x.collapse(F.col("plain"))
+    rows = x.normalize_columns(docs(spark, d).select("text", F.col("text").alias("plain")), "plain").withColumn("plain", x.collapse(F.col("plain"))).select("plain", F.inline_outer(each))
+    same = x.collapse(F.col("t")) == F.col("plain")
     return x.normalize_columns(rows, "t").groupBy("perturbation").agg(F.count(F.lit(1)).alias("n"), count_if(same).alias("recovered"))
 
 
