@@ -236,8 +236,10 @@ def x09_backspaces(spark, d):
 @query("SELECT doc_id, sha256(text) AS digest FROM (SELECT doc_id, nfc_normalize(regexp_replace(text, '[\\p{Mn}\\p{Mc}]', '', 'g')) AS text FROM documents)")
 def x10_x11_marks_and_form(spark, d):
     """Standalone marks put after every letter go again; what is left is in normal form C."""
-    marked = F.regexp_replace("text", "([a-z])", "$1̕")
-    return docs(spark, d).select("doc_id", sha(x.normal_form("NFC")(x.strip_marks(marked))).alias("digest"))
+    t = docs(spark, d).select("doc_id", F.regexp_replace("text", "([a-z])", "$1̕").alias("text"))
+    for step in (x.strip_marks, x.normal_form("NFC")):
+        t = t.withColumn("text", step(F.col("text")))
+    return t.select("doc_id", sha(F.col("text")).alias("digest"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(' ' || regexp_replace(lower(text), '[^a-z]', '  ', 'g') || ' ', ' (the license|license|the) ')) AS n FROM documents")
