@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .splits import running, same
 
 
@@ -39,7 +40,7 @@ def sweep(df: DataFrame, thresholds: list[float], *by: str) -> DataFrame:  # A09
     """Counts at each threshold from a histogram over the grid and a reverse running sum: the data are read once and
     only (thresholds x groups) rows move."""
     grid = F.array(*[F.lit(float(t)) for t in thresholds])
-    k = F.size(F.filter(grid, lambda t: F.col("prob") >= t))
+    k = let(F.col("prob"), lambda p: F.size(F.filter(grid, lambda t: p >= t)))
     hist = df.groupBy(*by, k.alias("k")).agg(F.count(F.when(F.col("label") == 1, 1)).alias("p"), F.count(F.when(F.col("label") == 0, 1)).alias("q"))
     totals = hist.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("q").alias("neg"), F.collect_list(F.struct("k", "p", "q")).alias("h"))
     rows = totals.select(*by, "pos", "neg", "h", F.posexplode(grid).alias("i", "threshold"))
@@ -99,7 +100,7 @@ def wilson(k: Column, n: Column, z: float = 1.959964) -> tuple[Column, Column]:
 
 def ece(df: DataFrame, bins: int = 10) -> DataFrame:  # A16
     edges = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    b = F.size(F.filter(edges, lambda e: F.col("prob") >= e))
+    b = let(F.col("prob"), lambda p: F.size(F.filter(edges, lambda e: p >= e)))
     per = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("p"), F.avg(F.col("label").cast("double")).alias("y"))
     return per.agg(r6(F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import let, strip_invisible, windows
+from ..functions.text import let, strip_invisible, whole_words, windows
 from .metrics import ratio
 
 #: Weights of words in hundredths of a logit, and the offset: whole numbers, so that sums do not depend on order.
@@ -26,6 +27,12 @@ def logit(ws: Column, weights: dict[str, int] = WEIGHTS, bias: int = BIAS) -> Co
     return F.aggregate(hits, F.lit(bias), lambda a, w: a + worth(w))
 
 
+def known_words(t: Column, known: list[str]) -> Column:
+    """Those of the ``words`` that are among ``known``; no array of all words is made."""
+    known = [w for w in known if re.fullmatch("[a-z]+", w)]
+    return F.regexp_extract_all(F.lower(strip_invisible(t)), F.lit(whole_words(known)), F.lit(0)) if known else F.array().cast("array<string>")
+
+
 def probability(z: Column) -> Column:
     """Four decimals of the logistic of hundredths of a logit."""
     return F.floor(10000 / (1 + F.exp(-z / 100.0)) + 0.5) / 10000.0
@@ -33,7 +40,7 @@ def probability(z: Column) -> Column:
 
 def score(t: Column, weights: dict[str, int] = WEIGHTS, bias: int = BIAS) -> Column:  # M03
     """The probability of a text; null counts as empty."""
-    return probability(logit(words(F.coalesce(t, F.lit(""))), weights, bias))
+    return probability(logit(known_words(F.coalesce(t, F.lit("")), list(weights)), weights, bias))
 
 
 def pair(prompt: Column, response: Column) -> Column:

@@ -130,7 +130,7 @@ CHUNKS = "string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1
 def m18_chunk_flags(spark, d):
     """Documents cut into K turns of sentences: flagged if any turn is, for several K. The turns stay in the row."""
     flag = lambda k: F.exists(x.split_k(F.col("text"), k), lambda c: scoring.score(c) >= 0.5)
-    t = table(spark, d, "documents").select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), flag(k).alias("f")) for k in (1, 2, 3, 5)])))
+    t = table(spark, d, "documents").select(F.inline_outer(F.array(*[F.struct(F.lit(k).alias("k"), flag(k).alias("f")) for k in (1, 2, 3, 5)])))
     return t.groupBy("k").agg(count_if(F.col("f")).alias("n_flagged"), F.count(F.lit(1)).alias("n"))
 
 
@@ -160,7 +160,8 @@ def p04_suite(spark, d):
 def _suite(spark, d):
     t = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
     each = F.array(*[F.struct(F.lit(k).alias("perturbation"), scoring.score(f(F.col("text"))).alias("p")) for k, (f, _) in PERTURBED.items()])
-    rows = t.select("label", scoring.score(F.col("text")).alias("base"), F.inline(each))
+    # the base score in a step of its own: beside a generator it would be made once a perturbation
+    rows = t.withColumn("base", scoring.score(F.col("text"))).select("label", "base", F.inline_outer(each))
     right = lambda p: ((p >= 0.5).cast("int") == F.col("label")).cast("int")
     held = (F.col("label") == 1) & (F.col("base") >= 0.5)
     r = rows.groupBy("perturbation").agg(F.count(F.lit(1)).alias("n"), count_if(held).alias("held"), count_if(held & (F.col("p") < 0.5)).alias("evaded"), (F.avg(right(F.col("base"))) - F.avg(right(F.col("p")))).alias("drop"))
