@@ -15,7 +15,8 @@ def out_of_fold(df: DataFrame, key: str, features: str, label: str, folds: int =
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import vector_to_array
 
-    parts, out = df.withColumn("_fold", hash32(F.col(key)) % folds), None
+    # every fit reads all rows more than once: the features are made once and written, not made again for each fold
+    parts, out = durable(df.select(key, features, label, (hash32(F.col(key)) % folds).alias("_fold")), "folds"), None
     for k in range(folds):
         model = LogisticRegression(featuresCol=features, labelCol=label, maxIter=30, regParam=0.01).fit(parts.where(F.col("_fold") != k))
         p = model.transform(parts.where(F.col("_fold") == k)).select(key, label, vector_to_array("probability")[1].alias("p"))
@@ -24,11 +25,14 @@ def out_of_fold(df: DataFrame, key: str, features: str, label: str, folds: int =
 
 
 def bag_of_words(df: DataFrame, text: str, vocabulary: int = 5000) -> DataFrame:  # M01
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StopWordsRemover
-
-    steps = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+"), StopWordsRemover(inputCol="_tok", outputCol="_kept"), CountVectorizer(inputCol="_kept", outputCol="features", vocabSize=vocabulary)]
-    return Pipeline(stages=steps).fit(df).transform(df).drop("_tok", "_kept")
+    """Counts of the most frequent words; of equally frequent ones the first by spelling, so that reruns agree."""
+    from pyspark.ml.feature import CountVectorizerModel, RegexTokenizer, StopWordsRemover
+
+    tokens = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+").transform(df)
+    kept = StopWordsRemover(inputCol="_tok", outputCol="_kept").transform(tokens)
+    often = kept.select(F.explode("_kept").alias("w")).groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary)
+    model = CountVectorizerModel.from_vocabulary([r["w"] for r in often.collect()], inputCol="_kept", outputCol="features")
+    return model.transform(kept).drop("_tok", "_kept")
 
 
 def predictability(df: DataFrame, key: str, text: str, label: str) -> DataFrame:  # M01
