@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import edits
+from ..operators import edits, roundtrip
 from ._base import NORM, SCORED, Plan, scored, table
 
 query = Plan()
@@ -410,13 +410,15 @@ def p01_perturb(spark, d):
 @query()
 def p01_roundtrip(spark, d):
     """How many texts normalisation brings back from each perturbation: both sides normalised, then compared without
-    regard to case and white space. Leet spelling is not undone by it, so its rate is near zero."""
+    regard to case and white space. Leet spelling is not undone by it, so its rate is near zero. Texts are judged where
+    they are read; the columns judge those that ``roundtrip`` hands back."""
+    rows = docs(spark, d).select(F.col("text").cast("binary").alias("text")).mapInArrow(roundtrip.judge, roundtrip.SCHEMA)
     t = F.col("text")
     changed = {k: f(t) for k, (f, _) in PERTURBATIONS.items()} | {"nfkd": x.normal_form("NFKD")(t)}
-    each = F.array(*[F.struct(F.lit(k).alias("perturbation"), v.alias("t")) for k, v in changed.items()])
-    rows = x.normalize_columns(docs(spark, d).select("text", F.col("text").alias("plain")), "plain").withColumn("plain", x.collapse(F.col("plain"))).select("plain", F.inline_outer(each))
+    each = F.when(t.isNull(), F.array(F.struct("perturbation", t.alias("t")))).otherwise(F.array(*[F.struct(F.lit(k).alias("perturbation"), v.alias("t")) for k, v in changed.items()]))
+    rows = x.normalize_columns(rows.withColumn("plain", t), "plain").withColumn("plain", x.collapse(F.col("plain"))).select("n", "recovered", "plain", F.inline(each))
     same = x.collapse(F.col("t")) == F.col("plain")
-    return x.normalize_columns(rows, "t").groupBy("perturbation").agg(F.count(F.lit(1)).alias("n"), count_if(same).alias("recovered"))
+    return x.normalize_columns(rows, "t").groupBy("perturbation").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"), F.sum(F.coalesce("recovered", same.cast("bigint"), F.lit(0))).alias("recovered"))
 
 
 @query("SELECT doc_id, sha256('Topic: ' || replace(lower(text), 'idiot', 'person') || ' End.') AS digest FROM documents")
