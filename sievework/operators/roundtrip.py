@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import re
-import sys
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -66,16 +65,23 @@ PLAIN = re.compile(rb"[^A-Za-z0-9+/=\t-\r \xc2\xe1-\xe3\x80-\xbf]")  # a byte th
 CODED = re.compile(f"[A-Za-z0-9+/={WHITE}]*+")
 ESCAPE = re.compile(rb"%[0-9A-Fa-f]{2}")
 FOLD = str.maketrans(*HOMOGLYPHS)
-_every = "".join(chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000)
+# Bytes of ASCII, those that continue a character, and first ones whose characters no step after decoding changes.
+_firsts = defaultdict(list)
+for _c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+    _firsts[_c.encode()[0]].append(_c)
+_kept = lambda c: not (ODD.match(c) or MARKS.match(c) or c in HOMOGLYPHS[0] or unicodedata.normalize("NFKC", c) != c)
+INERT = bytes([*range(0xC0), *(b for b, cs in _firsts.items() if all(map(_kept, cs)))])
+_every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000), *range(0xE0000, 0xE1000)]))
 SIGN_LEADS, MARK_LEADS, FOLD_LEADS = (_leads(c) for c in (SIGNS.findall(_every), MARKS.findall(_every), HOMOGLYPHS[0]))
-del _every
+del _every, _firsts, _kept, _c
 ROTATE = _table(LOWER + UPPER, ROT + ROT.upper())
+BLANK = _table("\t\n\x0b\f\r", " " * 5)
 LEET = _table("aeiost", "431057")
 WORDS = bytes(c | 32 if chr(c) in LOWER + UPPER else 32 for c in range(256))
 # What a word adds to the markers of the rotated text over those of the text.
 MARKERS, TURNS = {w.encode() for w in ENGLISH}, {w.encode().translate(ROTATE) for w in ENGLISH}
 GAIN = dict.fromkeys(TURNS - MARKERS, 1) | dict.fromkeys(MARKERS - TURNS, -1)
-CONTROLS, CONTINUED, WIDE = bytes([*range(32), 127]), bytes(range(0xC0)), bytes(range(0x80, 0x100))
+CONTROLS, CONTINUED, LOOSE = bytes([*range(32), 127]), bytes(range(0xC0)), bytes([*b" \t\n\x0b\f\r", *range(0x80, 0x100)])
 HEX = np.array([int(chr(c), 16) if chr(c) in "0123456789ABCDEFabcdef" else 16 for c in range(256)], np.uint8)
 GONE = 0xFF  # no byte of UTF-8
 
@@ -122,9 +128,14 @@ def _refuse_coded(s: str) -> None:
         raise Odd
 
 
+def _open(t: bytes) -> bool:
+    """Whether the text has a character that may be odd or change when it is composed."""
+    return not t.isascii() and bool(t.translate(None, INERT))
+
+
 @lru_cache(maxsize=1)
 def _checked(t: bytes) -> bytes:
-    if b"\b" in t or not t.isascii() and ODD.search(t.decode()):
+    if b"\b" in t or _open(t) and ODD.search(t.decode()):
         raise Odd
     return t
 
@@ -142,14 +153,15 @@ def _decoded(t: bytes, gain: int | None) -> bytes:
             return out
     if not PLAIN.search(t) and CODED.fullmatch(t.decode()):
         _refuse_coded(t.decode())
-    gain = _gain(t) if gain is None else gain
+    if gain is None:
+        gain = 0 if TURNS.isdisjoint(t.translate(WORDS).split()) else _gain(t)
     return t.translate(ROTATE) if gain > 0 and _plausible(t) else t
 
 
 @lru_cache(maxsize=1)
 def _composed(t: bytes) -> bytes:
     """Look-alikes, marks, NFKC; ASCII letters in lower case."""
-    if not t.isascii():
+    if _open(t):
         s = t.decode()
         if _may_have(t, FOLD_LEADS):
             s = s.translate(FOLD)
@@ -159,13 +171,20 @@ def _composed(t: bytes) -> bytes:
     return t.lower()
 
 
-def _collapsed(t: bytes) -> bytes:
-    return b" ".join(t.split())
+def _spaced(t: bytes) -> bytes:
+    """Each run of white space as one blank."""
+    t = t.translate(BLANK)
+    while b"  " in t:
+        t = t.replace(b"  ", b" ")
+    return t
 
 
 def _same(a: bytes, b: bytes) -> bool:
-    """Without regard to case. ASCII letters are small already, and no other sign judged here becomes one of ASCII."""
-    return a == b or a.translate(None, WIDE) == b.translate(None, WIDE) and a.decode().lower() == b.decode().lower()
+    """Without regard to case and white space. ASCII letters are small already, and no other sign judged here becomes one of ASCII."""
+    if a == b or a.translate(None, LOOSE) != b.translate(None, LOOSE):
+        return a == b
+    a, b = _spaced(a).strip(b" "), _spaced(b).strip(b" ")
+    return a == b or a.decode().lower() == b.decode().lower()
 
 
 def _spelled(spelling):
@@ -174,21 +193,16 @@ def _spelled(spelling):
     return lambda t: ways[np.frombuffer(t, np.uint8)].tobytes().translate(None, bytes([GONE]))
 
 
-def _double_space(t: bytes) -> bytes:
-    words = t.split()
-    return b"  " * t[:1].isspace() + b"  ".join(words) + b"  " * (bool(words) and t[-1:].isspace())
-
-
 def _one(c: int) -> bytes:
     return bytes([c])
 
 
-#: P01, from UTF-8 to UTF-8, with what it makes of the gain: as often as not the words stay, or are rotated themselves. Those that
-#: come back to the text itself stand first, so that it is composed once.
+#: P01, from UTF-8 to UTF-8, with what each makes of the gain: 1 where the words stay, -1 where they are rotated, None where
+#: they are counted again. Those that come back to the text itself stand first, so that it is composed once.
 CHANGES = {
     "zero_width": (_spelled(lambda c: _one(c) + (ZERO_WIDTH if chr(c) in LOWER else b"")), None),
     "url_encode": (_spelled(lambda c: _one(c) if c < 128 and (chr(c).isalnum() or chr(c) in "-._~") else b"%%%02X" % c), None),
-    "double_space": (_double_space, 1),
+    "double_space": (lambda t: _spaced(t).replace(b" ", b"  "), 1),
     "rot13": (lambda t: t.translate(ROTATE), -1),
     "full_width": (_spelled(lambda c: chr(c + 0xFEE0).encode() if 0x21 <= c <= 0x7E else _one(c)), None),
     "leet": (lambda t: t.translate(LEET), None),
@@ -203,12 +217,10 @@ def recovered(t: bytes) -> list[str]:
         own = _checked(_stripped(t))
         gain = _gain(own)
         plain = _composed(_decoded(own, gain))
-        flat = _collapsed(plain)
 
         def back(changed: bytes, times: int | None) -> bool:
             bare = _stripped(changed)
-            got = plain if bare == own else _composed(_decoded(bare, times and gain * times))
-            return got == plain or _same(_collapsed(got), flat)
+            return bare == own or _same(_composed(_decoded(bare, times and gain * times)), plain)
 
         return [k for k, (change, times) in CHANGES.items() if back(change(t), times)]
     except UnicodeDecodeError:
