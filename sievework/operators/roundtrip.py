@@ -2,7 +2,7 @@
 
 As columns, nine normal forms a text are well over a hundred passes over it. Here a text is UTF-8 bytes and a step one call of
 a built-in function, skipped where the text has no byte that can take part in it. Only texts on which all engines agree
-are judged here: characters of the first plane that Unicode 3.2 had, no backspaces, nothing that may be Base64 or hex, escapes that
+are judged here: characters of the first plane that Unicode 3.2 had, and pictures; no backspaces, nothing that may be Base64 or hex, escapes that
 are all well-formed. The others are handed back, for the columns of ``functions.text`` that say what the normal form is."""
 
 from __future__ import annotations
@@ -56,7 +56,9 @@ def _may_have(t: bytes, leads: dict[bytes, set[bytes]]) -> bool:
     return not t.isascii() and any(a in t and any(b in t and a + b in t for b in more) for a, more in leads.items())
 
 
-ODD = re.compile(f"[^{_points(_settled_class)}]")
+# Fixed value: a block of pictures, whole since Unicode 8.
+PICTURES = "\U0001f300-\U0001f64f"
+ODD = re.compile(f"[^{_points(_settled_class)}{PICTURES}]")
 MARKS = re.compile(f"[{_points(lambda c: unicodedata.category(c) in ('Mn', 'Mc'))}]")
 SIGNS = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), INVISIBLE))
 ZERO_WIDTH = "\u200b".encode()
